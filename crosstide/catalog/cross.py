@@ -13,6 +13,7 @@ from crosstide.operators.crosssection import FACTOR_PARTS, LOWER_IS_BETTER, METR
 from crosstide.operators.ranking import rank_pct
 from crosstide.plans import panels, reports, strategy
 from crosstide.plans.scenarios import Rules
+from crosstide.session import settle
 
 MIN_PAIRS = 30
 
@@ -58,15 +59,19 @@ ortho AS (SELECT r.*, CASE WHEN sd > 0 THEN (e - mu) / sd ELSE e END AS lowvol_s
 BASE = (UNIVERSE, MONTH_PANEL)
 
 
+def kept_panel(spark, sf):
+    """The month panel, kept because the normalisation reads it several times."""
+    return settle(panels.month_panel(spark, sf))
+
+
 def scored_panel(spark, sf):
-    return crosssection.factor_scores(
-        crosssection.sector_zscores(crosssection.winsorise(panels.month_panel(spark, sf)))
-    )
+    return crosssection.factor_scores(crosssection.sector_zscores(crosssection.winsorise(kept_panel(spark, sf))))
 
 
-@query("winsorise", with_(*BASE, WINSOR, select="SELECT symbol, sector, calc_date, " + ", ".join(f"{r(m)} AS {m}" for m in METRICS) + " FROM wins"))
+@query("winsorise", with_(*BASE, WINSOR, select="SELECT symbol, sector, calc_date, " + ", ".join(f"{r(m)} AS {m}" for m in METRICS[1:]) + f", {r('ln(pb_ratio)')} AS log_pb FROM wins"))
 def winsorise(spark, sf):
-    return tidy(crosssection.winsorise(panels.month_panel(spark, sf)))
+    clipped = crosssection.winsorise(kept_panel(spark, sf))
+    return tidy(clipped.withColumn("log_pb", F.log("pb_ratio")).drop("pb_ratio"))
 
 
 @query(
@@ -74,7 +79,7 @@ def winsorise(spark, sf):
     with_(*BASE, WINSOR, ZSCORE, select="SELECT symbol, sector, calc_date, " + ", ".join(f"{r('z_' + m)} AS z_{m}" for m in METRICS) + " FROM zs"),
 )
 def sector_zscore(spark, sf):
-    z = crosssection.sector_zscores(crosssection.winsorise(panels.month_panel(spark, sf)))
+    z = crosssection.sector_zscores(crosssection.winsorise(kept_panel(spark, sf)))
     return tidy(z.drop(*METRICS))
 
 
@@ -102,7 +107,7 @@ def orthogonalise(spark, sf):
     ),
 )
 def rank_pct_sector(spark, sf):
-    p = panels.month_panel(spark, sf).select("symbol", "sector", "calc_date", "leverage")
+    p = settle(panels.month_panel(spark, sf).select("symbol", "sector", "calc_date", "leverage"))
     return tidy(rank_pct(p, ["sector", "calc_date"], "leverage", "rank_pct").drop("leverage"))
 
 
@@ -161,8 +166,8 @@ wpairs AS (SELECT w.d, w.lb, s.month, factor_name, score, ret FROM wins w
 
 
 def ic_inputs(spark, sf):
-    prices = panels.prices(spark, sf)
-    return panels.month_scores(spark, sf), prices, rebalance_calendar(prices)
+    prices = settle(panels.prices(spark, sf))
+    return settle(panels.month_scores(spark, sf)), prices, rebalance_calendar(prices)
 
 
 @query(
@@ -181,7 +186,7 @@ means AS (SELECT d, lb, factor_name, avg(ic_value) AS ic FROM wics GROUP BY 1, 2
 grid AS (SELECT scenario_id, c.d, runs.lb, excl, f AS factor_name FROM cal c, runs, (SELECT unnest(['value', 'quality', 'momentum', 'low_vol']) AS f)
   WHERE c.d > (SELECT min(score_date) FROM scores)),
 raw AS (SELECT g.*, CASE WHEN coalesce(n, 0) >= 12 THEN coalesce(ic, 0) ELSE 0 END AS ic_mean,
-    CASE WHEN excl IS NULL OR excl <> factor_name THEN 1.0 ELSE 0.0 END AS used FROM grid g
+    CASE WHEN excl IS NULL OR excl <> g.factor_name THEN 1.0 ELSE 0.0 END AS used FROM grid g
   LEFT JOIN months m ON g.d = m.d AND g.lb = m.lb LEFT JOIN means x ON g.d = x.d AND g.lb = x.lb AND g.factor_name = x.factor_name),
 tot AS (SELECT *, greatest(ic_mean, 0) * used AS fl, sum(greatest(ic_mean, 0) * used) OVER w AS total, sum(used) OVER w AS n_used
   FROM raw WINDOW w AS (PARTITION BY scenario_id, d)),

@@ -1,12 +1,14 @@
 """Exact ranks and quantiles of groups of any size.
 
-A window over a whole (sector, date) or (date) group would put the group into
-one task.  Here every group is cut into value buckets by a fixed monotone
-function of the value, bucket counts are summed on the map side, and only the
-running totals over the buckets of a group (a bounded number, whatever the
-data) are computed per group.  Ranks inside a bucket then start from the
-bucket's offset.  Equal values are counted before anything is sorted, so a
-value shared by a large part of the rows is one row too.
+A window over a whole (sector, date) or (date) group puts the group into one
+task.  That is the cheapest plan while the largest group, which is counted
+first, fits a task.  Beyond that every group is cut into value buckets by a
+fixed monotone function of the value, bucket counts are summed on the map side,
+and only the running totals over the buckets of a group (a bounded number,
+whatever the data) are computed per group.  Ranks inside a bucket then start
+from the bucket's offset.  Equal values are counted before anything is sorted,
+so a value shared by a large part of the rows is one row too.  Both ways give
+the same result.
 """
 
 from __future__ import annotations
@@ -19,10 +21,18 @@ from pyspark.sql import functions as F
 
 from crosstide.session import settle
 
+TASK_ROWS = 1_000_000  # rows of one group that one task may sort
 BUCKETS_PER_E_FOLD = 64
 _SHIFT = BUCKETS_PER_E_FOLD * 760  # above -ln of the smallest double
 
 
+def needs_split(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
+    """True if some group has more rows than one task should hold (one small action)."""
+    limit = TASK_ROWS if limit is None else limit
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) > limit
+
+
 def value_bucket(value: str | Column) -> Column:
     """Monotone integer bucket: equal log-width steps on each side of zero."""
     v = F.col(value) if isinstance(value, str) else value
@@ -43,13 +53,31 @@ def _offsets(counted: DataFrame, by: list[str], n: str) -> DataFrame:
     )
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, rank: str, size: str | None = None) -> DataFrame:
+def average_rank(
+    df: DataFrame, by: Sequence[str], value: str, rank: str, size: str | None = None, split: bool | None = None
+) -> DataFrame:
     """Add the 1-based average-tie rank of ``value`` inside each ``by`` group.
 
     Null values get a null rank and do not count.  ``size`` optionally names a
-    column for the number of ranked rows of the group.
+    column for the number of ranked rows of the group.  ``split`` forces or
+    forbids the bucketed plan; by default the group sizes decide.
     """
     by = list(by)
+    if split is None:
+        split = needs_split(df, by)
+    return (_rank_split if split else _rank_window)(df, by, value, rank, size)
+
+
+def _rank_window(df: DataFrame, by: list[str], value: str, rank: str, size: str | None) -> DataFrame:
+    group = W.partitionBy(*by)
+    ordered = group.orderBy(F.col(value).asc_nulls_last())
+    ties = F.count(F.lit(1)).over(ordered.rangeBetween(W.currentRow, W.currentRow))
+    average = F.rank().over(ordered) + (ties - 1) / 2.0
+    ranked = df.withColumn(rank, F.when(F.col(value).isNotNull(), average))
+    return ranked.withColumn(size, F.count(value).over(group)) if size else ranked
+
+
+def _rank_split(df: DataFrame, by: list[str], value: str, rank: str, size: str | None) -> DataFrame:
     cells = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
@@ -67,18 +95,32 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, rank: str, size:
     return df.join(ranked, [*by, value], "left").select(*df.columns, rank, *([size] if size else []))
 
 
-def rank_pct(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+def rank_pct(df: DataFrame, by: Sequence[str], value: str, out: str, split: bool | None = None) -> DataFrame:
     """Average-tie rank divided by the number of non-null values (1.0 = highest)."""
-    ranked = average_rank(df, by, value, "_rank", "_size")
+    ranked = average_rank(df, by, value, "_rank", "_size", split)
     return ranked.withColumn(out, F.col("_rank") / F.col("_size")).drop("_rank", "_size")
 
 
-def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles: one row per group with n, q0, q1, ...
-
-    Only the rows of the few buckets that hold a wanted position are sorted.
-    """
+def group_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], split: bool | None = None
+) -> DataFrame:
+    """Linearly interpolated quantiles: one row per group with n, q0, q1, ..."""
     by = list(by)
+    if split is None:
+        split = needs_split(df, by)
+    if split:
+        return _quantiles_split(df, by, value, probs)
+    values = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+    return (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*by)
+        .agg(F.count(value).alias("n"), values.alias("_q"))
+        .select(*by, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+    )
+
+
+def _quantiles_split(df: DataFrame, by: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Only the rows of the few buckets that hold a wanted position are sorted."""
     data = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("_bucket", value_bucket(value))
     offsets = _offsets(data.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_bn")), by, "_bn")
 

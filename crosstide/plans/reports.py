@@ -66,7 +66,8 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
 def _with_extremes(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float], names: Sequence[str], *extra):
     quantiles = group_quantiles(df, by, value, probs)
     ends = df.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), *extra)
-    return quantiles.join(ends, list(by)).withColumnsRenamed({f"q{i}": n for i, n in enumerate(names)})
+    named = quantiles.select(*by, "n", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+    return named.join(ends, list(by))
 
 
 def distribution(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
