@@ -189,12 +189,12 @@ m2 AS (SELECT symbol, fiscal_year, fiscal_quarter, {", ".join(f"max({c}) AS {c}"
 open2 AS (SELECT DISTINCT symbol FROM m2 WHERE {HAS_NULL}),
 used AS (SELECT * FROM p2 UNION ALL SELECT * FROM sourced WHERE priority = 3 AND symbol IN (FROM open2) AND symbol IN (FROM open1))"""
 SHOWN = "symbol, fiscal_year, fiscal_quarter, source, " + ", ".join(
-    f"CAST({c} AS BIGINT) AS {c}" if c == "shares_outstanding" else f"{r(c, 3)} AS {c}" for c in FIELDS
+    f"CAST({c} AS BIGINT) AS {c}" if c == "shares_outstanding" else f"{r(c)} AS {c}" for c in FIELDS
 )
 
 
 def _shown(df):
-    return tidy(df.select("symbol", "fiscal_year", "fiscal_quarter", "source", *FIELDS), 3)
+    return tidy(df.select("symbol", "fiscal_year", "fiscal_quarter", "source", *FIELDS))
 
 
 @query("waterfall_merge", with_(FILINGS, SOURCED, MERGE.replace("$", "sourced"), select=f"SELECT {SHOWN} FROM fieldwise"))
