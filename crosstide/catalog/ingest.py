@@ -11,7 +11,7 @@ from crosstide.catalog.registry import FILINGS, PRICES, PRICES_NATION, RATES, UN
 from crosstide.operators import quality
 from crosstide.operators.timeline import latest_by
 from crosstide.plans import panels
-from crosstide.session import settle
+from crosstide.session import materialize, settle
 from crosstide.sources import control, landed, sinks
 
 # --- semi-structured ------------------------------------------------------------------
@@ -237,7 +237,7 @@ def line_item_melt(spark, sf):
 
 @query(
     "price_reshape",
-    with_(PRICES_NATION, select=f"SELECT symbol, trade_date, {r('adjusted_close')} AS adjusted_close, CAST(volume AS BIGINT) AS volume FROM prices"),
+    with_(PRICES_NATION, select=f"SELECT symbol, trade_date, {r('ln(adjusted_close)')} AS log_close, CAST(volume AS BIGINT) AS volume FROM prices"),
 )
 def price_reshape(spark, sf):
     p = panels.prices_nation(spark, sf)
@@ -248,7 +248,9 @@ def price_reshape(spark, sf):
     named = wide.withColumnsRenamed(
         {**{f"{n}_c": f"{n}|Adj Close" for n in nations}, **{f"{n}_v": f"{n}|Volume" for n in nations}}
     )
-    return tidy(landed.price_bars(named).select("symbol", "trade_date", "adjusted_close", "volume"))
+    file = materialize(named, "wide-prices")  # the landed file
+    bars_back = landed.price_bars(file)
+    return tidy(bars_back.select("symbol", "trade_date", F.log("adjusted_close").alias("log_close"), "volume"))
 
 
 @query("sdmx_rates", with_(RATES, select=f"SELECT CASE country WHEN 'NATION_1' THEN 'United States' WHEN 'NATION_2' THEN 'Spain' ELSE country END AS country, rate_date, {r('rate')} AS rate, 'oecd' AS source FROM rates"))

@@ -266,10 +266,11 @@ def cumulative_return(spark, sf):
     """SELECT o_orderkey, printf('%.2f%%', v * 100) AS pct, CASE WHEN v > 0 THEN '+' ELSE '' END || printf('%.3f', v) AS signed,
   CASE WHEN o_totalprice >= 1e6 THEN printf('%.1fM', o_totalprice / 1e6) WHEN o_totalprice >= 1e3 THEN printf('%.1fK', o_totalprice / 1e3)
     ELSE printf('%.0f', o_totalprice) END AS compact, strftime(o_orderdate, '%b %Y') AS month
-  FROM (SELECT *, sin(o_orderkey) AS v FROM orders) WHERE o_totalprice >= 1""",
+  FROM (SELECT * EXCLUDE (o_totalprice), o_totalprice * 1.000137::DOUBLE AS o_totalprice, sin(o_orderkey) AS v FROM orders) WHERE o_totalprice >= 1""",
 )
 def display_formats(spark, sf):
-    o = panels.table(spark, sf, "orders").where("o_totalprice >= 1").withColumn("v", F.sin("o_orderkey"))
+    orders = panels.table(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice") * 1.000137)
+    o = orders.where("o_totalprice >= 1").withColumn("v", F.sin("o_orderkey"))
     return o.select(
         "o_orderkey", text.percent("v").alias("pct"), text.number("v", signed=True).alias("signed"),
         text.compact("o_totalprice").alias("compact"), text.month_text("o_orderdate").alias("month"),

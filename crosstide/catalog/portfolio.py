@@ -103,14 +103,15 @@ def stock_card(spark, sf):
 @query(
     "selection_markers",
     with_(PRICES, *SELECT_CTE, recursive=True, select=f"""SELECT scenario_id, e.symbol, e.rebalance_date, status, p.trade_date AS asof_trade_date,
-  {r('p.adjusted_close')} AS adjusted_close
+  {r('ln(p.adjusted_close)')} AS log_close
   FROM (SELECT * FROM sel WHERE exit_reason IS NOT NULL OR entry_date = rebalance_date) e
   ASOF LEFT JOIN prices p ON e.symbol = p.symbol AND e.rebalance_date >= p.trade_date"""),
 )
 def selection_markers(spark, sf):
     changed = selection_table(spark, sf).where("exit_reason is not null or entry_date = rebalance_date")
     events = changed.select("scenario_id", "symbol", "rebalance_date", "status")
-    return tidy(reports.price_markers(events, panels.prices(spark, sf)))
+    marked = reports.price_markers(events, panels.prices(spark, sf))
+    return tidy(marked.withColumn("log_close", F.log("adjusted_close")).drop("adjusted_close"))
 
 
 # --- positions -------------------------------------------------------------------------------

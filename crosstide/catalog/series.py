@@ -133,11 +133,12 @@ ASOF = """held AS (
 
 @query(
     "asof_price",
-    with_(PRICES, CALENDAR, ASOF, select=f"SELECT symbol, calc_date, price_date, {r('price')} AS price FROM held"),
+    with_(PRICES, CALENDAR, ASOF, select=f"SELECT symbol, calc_date, price_date, {r('ln(price)')} AS log_price FROM held"),
 )
 def asof_price(spark, sf):
     p = panels.prices(spark, sf)
-    return tidy(timeline.month_end_prices(p, panels.last_month_end(spark, sf)))
+    held = timeline.month_end_prices(p, panels.last_month_end(spark, sf))
+    return tidy(held.withColumn("log_price", F.log("price")).drop("price"))
 
 
 @query(

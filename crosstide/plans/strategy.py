@@ -135,7 +135,7 @@ def build_positions(
     """(selection status, portfolio positions) of every scenario and date."""
     picked = materialize(selection.select_names(selection.sector_ranks(composite, universe), rules), "selection")
     vols = timeline.ewma_volatility(prices, last_date, lambdas, settings.ewma_window_days, settings.ewma_seed)
-    scored = materialize(positions.risk_adjusted(selection.selected(picked), vols, rules), "scored")
+    scored = materialize(positions.risk_adjusted(selection.selected(picked).drop("ord"), vols, rules), "scored")
     adv = timeline.trailing_liquidity(
         prices, last_date, settings.liquidity.adtv_rows, 1, settings.liquidity.sizing_window_days
     ).select("symbol", F.col("calc_date").alias("rebalance_date"), F.col("adtv").alias("adv_20d"))

@@ -35,31 +35,25 @@ def price_bars(wide: DataFrame, separator: str = "|", date: str = "Date") -> Dat
     names is found from the columns.  Currency, if landed, is 'Currency|ABC'.
     """
     wanted = {**PRICE_COLUMNS, "Currency": "currency"}
-    cells: dict[str, dict[str, str]] = {}
-    for name in wide.columns:
-        if separator not in name:
-            continue
-        first, second = name.split(separator, 1)
-        field, symbol = (first, second) if first in wanted else (second, first)
-        if field in wanted:
-            cells.setdefault(symbol, {})[field] = name
-    per_symbol = [
-        F.struct(
-            F.lit(symbol).alias("symbol"),
-            *[
-                (F.col(f"`{names[f]}`") if f in names else F.lit(None))
-                .cast("string" if f == "Currency" else "double")
-                .alias(stored)
-                for f, stored in wanted.items()
-            ],
-        )
-        for symbol, names in sorted(cells.items())
-    ]
-    long = wide.select(F.to_date(date).alias("trade_date"), F.inline(F.array(*per_symbol)))
-    some_price = F.coalesce(*[F.col(c) for c in PRICE_COLUMNS.values() if c != "volume"])
-    return long.where(some_price.isNotNull()).select(
-        "symbol", "trade_date", "open_price", "high_price", "low_price", "close_price",
-        "adjusted_close", "currency", F.col("volume").cast("bigint").alias("volume"),
+    levels = {c: c.split(separator, 1) for c in wide.columns if separator in c}
+    fields_first = any(first in wanted for first, _ in levels.values())
+    cells = wide.select(
+        F.to_date(date).alias("trade_date"), *[F.col(f"`{c}`").cast("string").alias(c) for c in levels]
+    ).unpivot(["trade_date"], [F.col(f"`{c}`") for c in levels], "name", "value")
+    parts = F.split("name", f"[{separator}]", 2)
+    field, symbol = (parts[0], parts[1]) if fields_first else (parts[1], parts[0])
+    bars = (
+        cells.where("value is not null")
+        .groupBy(symbol.alias("symbol"), "trade_date")
+        .agg(*[F.max(F.when(field == f, F.col("value"))).alias(stored) for f, stored in wanted.items()])
+    )
+    prices = [c for c in PRICE_COLUMNS.values() if c != "volume"]
+    return bars.where(F.coalesce(*prices).isNotNull()).select(
+        "symbol",
+        "trade_date",
+        *[F.col(c).try_cast("double").alias(c) for c in prices],
+        "currency",
+        F.col("volume").try_cast("double").cast("bigint").alias("volume"),
     )
 
 
