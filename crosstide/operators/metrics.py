@@ -26,9 +26,10 @@ def compound(c: str) -> Column:
 
 
 def annualised(c: str) -> Column:
-    """Geometric yearly return; 0 for no rows."""
-    n = F.count(c)
-    return F.when(n == 0, 0.0).otherwise(F.pow(F.product(1 + F.col(c)), F.lit(12.0) / F.nullif(n, F.lit(0))) - 1)
+    """Geometric yearly return; 0 for no rows, null where all wealth was lost."""
+    n, growth = F.count(c), F.product(1 + F.col(c))
+    yearly = F.pow(F.when(growth >= 0, growth), F.try_divide(F.lit(12.0), n)) - 1
+    return F.when(n == 0, 0.0).otherwise(yearly)
 
 
 def volatility(c: str | Column) -> Column:
@@ -42,8 +43,8 @@ def downside(c: str, monthly_rate: Column) -> Column:
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:
-    """0 where the denominator is 0."""
-    return _or_zero(F.try_divide(top, bottom))
+    """0 where the denominator is 0; null where a part is unknown."""
+    return F.when(bottom == 0, 0.0).otherwise(F.try_divide(top, bottom))
 
 
 def drawdowns(returns: DataFrame, value: str, out: str) -> DataFrame:

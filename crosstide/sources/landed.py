@@ -459,7 +459,9 @@ def tradable_universe(
     kept = trimmed.where(F.col("symbol").isNotNull())
     if exclude:
         kept = kept.where(~F.col("symbol").isin(*exclude))
-    named = kept.withColumn("symbol", F.replace("symbol", F.lit("."), F.lit("-"))).dropDuplicates(["symbol"])
+    named = kept.withColumn("symbol", F.replace("symbol", F.lit("."), F.lit("-")))
+    rest = [c for c in named.columns if c != "symbol"]
+    named = latest_by(named, ["symbol"], rest) if rest else named.distinct()
     return named.orderBy("symbol").limit(cap) if cap else named
 
 

@@ -16,7 +16,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "2",
             "spark.driver.memory": "4g",
-            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1 -XX:ReservedCodeCacheSize=400m",
             "spark.sql.codegen.wholeStage": "false",
         },
     )
