@@ -62,13 +62,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Keep a frame that several steps read, in memory or on local disk.
+
+    Lost parts are computed again, so the loss of an executor does no harm.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(kept)
+    return kept
+
+
 def settle(summary: DataFrame) -> DataFrame:
-    """Compute a grouped summary once and keep it (recomputable, on disk if needed).
+    """Compute a grouped summary once and keep it.
 
     A kept frame reports its real size, so a later join is planned as a
     broadcast only below ``spark.sql.autoBroadcastJoinThreshold`` and as a
     skew-aware sort-merge join above it.  No broadcast hint is needed.
     """
-    kept = summary.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = keep(summary)
     kept.count()
     return kept
+
+
+def release() -> None:
+    """Let go of everything kept so far (frames still in use are computed again)."""
+    current = SparkSession.getActiveSession()
+    while _kept:
+        frame = _kept.pop()
+        if frame.sparkSession is current:  # a session that has ended took its frames along
+            frame.unpersist()
