@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.operators.ranking import rank_pct
+from crosstide.session import settle
 
 # The stored states.
 LONG_CORE, LONG_BUFFER = "long_core", "long_buffer"
@@ -38,54 +39,76 @@ def _in(status: Column, *names: str) -> Column:
     return status.isin(*names)
 
 
-def _step(acc: Column, row: Column, threshold: Column, exit_at: Column, patience: Column) -> Column:
-    """Next state of one symbol.  A date without a row at the previous ordinal
-    means the symbol has no remembered state."""
-    follows = acc["ord"] == row["ord"] - 1
-    before = F.when(follows, acc["status"]).otherwise(F.lit(NOT_SELECTED))
-    was_long, was_short = _in(before, LONG_CORE, LONG_BUFFER), _in(before, SHORT_CORE, SHORT_BUFFER)
-    months = F.when(follows, acc["buffer"]).otherwise(0) + 1
-    rank = row["percentile_rank"]
-    zone = (
+def _zone(rank: Column, threshold: Column, exit_at: Column) -> Column:
+    """Where a rank lies between the entry and exit thresholds of both sides."""
+    return (
         F.when(rank >= 1.0 - threshold, "top")
         .when(rank >= 1.0 - exit_at, "upper")
         .when(rank <= threshold, "bottom")
         .when(rank <= exit_at, "lower")
         .otherwise("middle")
     )
-    buffered = ((zone == "upper") & was_long) | ((zone == "lower") & was_short)
-    stays = buffered & (months < patience)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once (the fold would repeat it)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _step(acc: Column, row: Column, patience: Column) -> Column:
+    """Next state of one symbol.  A date without a row at the previous ordinal
+    means the symbol has no remembered state."""
+    follows = acc["ord"] == row["ord"] - 1
+    past = F.struct(
+        (follows & _in(acc["status"], LONG_CORE, LONG_BUFFER)).alias("long"),
+        (follows & _in(acc["status"], SHORT_CORE, SHORT_BUFFER)).alias("short"),
+        (acc["buffer"] + 1).alias("months"),
+    )
+    return _let(past, lambda was: _decide(acc, row, was, patience))
+
+
+def _decide(acc: Column, row: Column, was: Column, patience: Column) -> Column:
+    zone = row["zone"]
+    in_buffer = ((zone == "upper") & was["long"]) | ((zone == "lower") & was["short"])
+    stays = in_buffer & (was["months"] < patience)
     status = (
         F.when(zone == "top", LONG_CORE)
         .when(zone == "bottom", SHORT_CORE)
-        .when(stays & was_long, LONG_BUFFER)
-        .when(stays & was_short, SHORT_BUFFER)
+        .when(stays, F.when(was["long"], LONG_BUFFER).otherwise(SHORT_BUFFER))
         .otherwise(NOT_SELECTED)
     )
-    kept_side = (_in(status, LONG_CORE, LONG_BUFFER) & was_long) | (_in(status, SHORT_CORE, SHORT_BUFFER) & was_short)
-    entry = F.when(kept_side, acc["entry"]).when(status != NOT_SELECTED, row["rebalance_date"])
-    count = F.when(stays, months).otherwise(0)
-    reason = F.when(
-        status == NOT_SELECTED, F.when(buffered, "timer_exit").when(was_long | was_short, "hard_stop")
-    )
-    record = F.struct(
+    choice = F.struct(status.alias("status"), in_buffer.alias("in_buffer"), stays.alias("stays"))
+    return _let(choice, lambda now: _let(_record(acc, row, was, now), lambda record: _next(acc, record)))
+
+
+def _record(acc: Column, row: Column, was: Column, now: Column) -> Column:
+    """The stored row of this date."""
+    status = now["status"]
+    out = status == NOT_SELECTED
+    same_side = (status.startswith("long") & was["long"]) | (status.startswith("short") & was["short"])
+    return F.struct(
         row["ord"].alias("ord"),
         row["rebalance_date"].alias("rebalance_date"),
         row["sector"].alias("sector"),
         row["composite_score"].alias("composite_score"),
-        rank.alias("percentile_rank"),
+        row["percentile_rank"].alias("percentile_rank"),
         status.alias("status"),
-        count.alias("buffer_months_count"),
-        entry.alias("entry_date"),
-        reason.alias("exit_reason"),
+        F.when(now["stays"], was["months"]).otherwise(0).alias("buffer_months_count"),
+        F.when(same_side, acc["entry"]).when(~out, row["rebalance_date"]).alias("entry_date"),
+        F.when(out & now["in_buffer"], "timer_exit")
+        .when(out & (was["long"] | was["short"]), "hard_stop")
+        .alias("exit_reason"),
     )
+
+
+def _next(acc: Column, record: Column) -> Column:
     return F.struct(
-        row["ord"].alias("ord"),
-        status.alias("status"),
-        count.alias("buffer"),
-        entry.alias("entry"),
+        record["ord"].alias("ord"),
+        record["status"].alias("status"),
+        record["buffer_months_count"].alias("buffer"),
+        record["entry_date"].alias("entry"),
         F.concat(acc["history"], F.array(record)).alias("history"),
-    ).cast(_STATE)
+    )
 
 
 def select_names(ranked: DataFrame, rules: DataFrame) -> DataFrame:
@@ -96,18 +119,16 @@ def select_names(ranked: DataFrame, rules: DataFrame) -> DataFrame:
     history is bounded by the calendar; it is folded as a sorted array inside
     the JVM.
     """
-    from crosstide.session import settle
-
     dates = settle(_dates_in_order(ranked))
-    row = F.struct("ord", "rebalance_date", "sector", "composite_score", "percentile_rank")
+    limits = rules.select("scenario_id", "selection_threshold", "buffer_exit_threshold", "buffer_max_months")
+    zone = _zone(F.col("percentile_rank"), F.col("selection_threshold"), F.col("buffer_exit_threshold"))
+    row = F.struct("ord", "rebalance_date", "sector", "composite_score", "percentile_rank", "zone")
     histories = (
         ranked.join(dates, ["scenario_id", "rebalance_date"])
+        .join(limits, "scenario_id")
+        .withColumn("zone", zone)
         .groupBy("scenario_id", "symbol")
-        .agg(F.array_sort(F.collect_list(row)).alias("rows"))
-        .join(
-            rules.select("scenario_id", "selection_threshold", "buffer_exit_threshold", "buffer_max_months"),
-            "scenario_id",
-        )
+        .agg(F.sort_array(F.collect_list(row)).alias("rows"), F.max("buffer_max_months").alias("patience"))
     )
     start = F.struct(
         F.lit(-2).alias("ord"),
@@ -119,12 +140,11 @@ def select_names(ranked: DataFrame, rules: DataFrame) -> DataFrame:
     folded = F.aggregate(
         "rows",
         start,
-        lambda acc, r: _step(
-            acc, r, F.col("selection_threshold"), F.col("buffer_exit_threshold"), F.col("buffer_max_months")
-        ),
+        lambda acc, r: _step(acc, r, F.col("patience")),
         lambda acc: acc["history"],
     )
-    return histories.select("scenario_id", "symbol", F.inline(folded))
+    # no history is empty; the outer form keeps the optimizer from folding twice for a size filter
+    return histories.select("scenario_id", "symbol", F.inline_outer(folded))
 
 
 def selected(selection: DataFrame) -> DataFrame:
