@@ -6,10 +6,63 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crosstide.llm.common import read
 from crosstide.llm.jaccard_join import similar_documents
+from crosstide.llm.mixing import mix_sources
+from crosstide.llm.quality import score_quality
+from crosstide.llm.token_files import token_documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_documents(read(spark, sf_dir, "documents"), vocabulary(), end_id=0)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents")).drop("copies", "source")
+
+
+def mixing_sql(documents: str = "documents") -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS size FROM {documents}),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+t AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM s),
+w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][CAST((turn - 1) % 3 + 1 AS INTEGER)] AS weight, source_size * 2.0::DOUBLE AS cap FROM t),
+r AS (SELECT *, cap / weight AS full_at FROM w),
+f AS (
+  SELECT *, (sum(source_size) OVER () * 150.0::DOUBLE / 100
+      - coalesce(sum(cap) OVER (ORDER BY full_at, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY full_at, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM r),
+g AS (
+  SELECT source, source_size, CASE WHEN rate >= full_at THEN cap
+    ELSE (SELECT x.rate FROM f x WHERE NOT x.rate >= x.full_at ORDER BY x.full_at, x.turn LIMIT 1) * weight
+    END AS target FROM f),
+c AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share,
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+o AS (
+  SELECT *, floor(share) AS certain, share - floor(share) AS p, target - floor(share) * source_size AS rest,
+    CASE WHEN share > floor(share) THEN u / (1 - u) / ((share - floor(share)) / (1 - (share - floor(share)))) END AS odds FROM c),
+k AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, u, doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS upto FROM o),
+m AS (SELECT *, CAST(certain AS BIGINT) + CASE WHEN p > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM k)"""
+
+
+OP8_SQL = mixing_sql() + " SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM m"
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read(spark, sf_dir, "documents"))
 
@@ -32,8 +85,12 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 """
 
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_token_files": op6_token_files,
+    "op8_source_mixing": op8_source_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 ORACLES = {
+    "op8_source_mixing": OP8_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
 }
