@@ -16,8 +16,12 @@ _LOWER[65:91] += 32
 _FOLDED = _TABLE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_TEXT_ONLY = _SPACE.copy()
+_TEXT_ONLY[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+SEPARATORS = {"space": _SPACE, "space and marks": _TEXT_ONLY}
 _BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, np.uint64)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -56,14 +60,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray, size: int = PIECE):
         first = end
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of an odd base modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
+def powers(base: int, n: int) -> np.ndarray:
+    """At least ``n`` powers of an odd base modulo 2**64."""
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(max(n, PIECE), base, np.uint64)
         steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,26 +76,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than white space) of all texts: 64-bit hash, text, first byte."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(data) == 0:
-        return none
-    inside = ~_SPACE[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    begins = offsets[:-1][offsets[:-1] < len(data)]
-    start[begins] = inside[begins]
-    at = np.flatnonzero(inside)
-    if len(at) == 0:
-        return none
-    first = np.flatnonzero(start[at])
-    sizes = np.diff(first, append=len(at))
-    step = np.arange(len(at)) - np.repeat(first, sizes)
-    values = (_FOLDED if lower else _TABLE)[data[at]] * powers(int(sizes.max()))[step]
-    hashes = mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))
-    starts = at[first]
-    return hashes, np.searchsorted(offsets, starts, side="right") - 1, starts
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: str = "space") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that are no separators) of all texts: 64-bit hash, text, first byte."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = ~SEPARATORS[between][data]
+    starting, ending = inside.copy(), inside.copy()
+    starting[1:] &= ~inside[:-1]
+    ending[:-1] &= ~inside[1:]
+    begins, ends = offsets[:-1][offsets[:-1] < n], offsets[1:][offsets[1:] > 0] - 1
+    starting[begins], ending[ends] = inside[begins], inside[ends]
+    starts, ends = np.flatnonzero(starting), np.flatnonzero(ending) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((_FOLDED if lower else _TABLE)[data] * powers(_BASE, n)[:n], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * powers(_INVERSE, n)[starts]
+    return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(offsets, starts, side="right") - 1, starts
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:

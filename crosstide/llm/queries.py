@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from crosstide.llm.common import read
+from crosstide.llm.decontaminate import contaminated
 from crosstide.llm.jaccard_join import similar_documents
 from crosstide.llm.mixing import mix_sources
 from crosstide.llm.quality import score_quality
@@ -27,6 +28,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(read(spark, sf_dir, "documents"), vocabulary(), end_id=0)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("copies", "source")
 
@@ -87,6 +92,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op6_token_files": op6_token_files,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_source_mixing": op8_source_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
