@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.llm.common import flat, pieces, small_batches, words
-from crosstide.session import materialize
 
 TERMS, RANK, BLOCK = 1 << 13, 48, 256
 COMMON = 250
@@ -231,8 +230,3 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         found = found.union(more)
     return found
 
-
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found (rows without an id stay when no such row holds one)."""
-    found = materialize(contaminated(docs, items).select(F.col("doc_id").alias("found_id")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
