@@ -8,6 +8,7 @@ from crosstide.llm.common import read
 from crosstide.llm.decontaminate import contaminated
 from crosstide.llm.jaccard_join import similar_documents
 from crosstide.llm.mixing import mix_sources
+from crosstide.llm.pii import personal_data_digest
 from crosstide.llm.quality import score_quality
 from crosstide.llm.token_files import token_documents
 
@@ -20,6 +21,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -90,6 +95,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 """
 
 QUERIES = {
+    "op3_personal_data": op3_personal_data,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_token_files": op6_token_files,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
