@@ -10,6 +10,7 @@ from crosstide.llm.jaccard_join import similar_documents
 from crosstide.llm.mixing import mix_sources
 from crosstide.llm.pii import personal_data_digest
 from crosstide.llm.quality import score_quality
+from crosstide.llm.suffix_dedup import remove_repeats
 from crosstide.llm.token_files import token_documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,6 +22,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(read(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 """
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_personal_data": op3_personal_data,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_token_files": op6_token_files,
