@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crosstide.llm.common import read
 from crosstide.llm.decontaminate import contaminated
 from crosstide.llm.jaccard_join import similar_documents
 from crosstide.llm.mixing import mix_sources
+from crosstide.llm.neighbours import search
 from crosstide.llm.pii import personal_data_digest
 from crosstide.llm.quality import score_quality
 from crosstide.llm.suffix_dedup import remove_repeats
@@ -99,6 +101,10 @@ SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY 1) m ON m.x = d.doc_id
 """
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_personal_data": op3_personal_data,
@@ -107,6 +113,7 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_source_mixing": op8_source_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 ORACLES = {
     "op8_source_mixing": OP8_SQL,
