@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crosstide.llm.common import read
 from crosstide.llm.decontaminate import contaminated
 from crosstide.llm.jaccard_join import similar_documents
+from crosstide.llm.language import identify_languages
 from crosstide.llm.mixing import mix_sources
 from crosstide.llm.neighbours import search
 from crosstide.llm.pii import personal_data_digest
@@ -24,6 +25,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -106,6 +111,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_personal_data": op3_personal_data,
     "op4_quality_classifier": op4_quality_classifier,
