@@ -41,7 +41,7 @@ from crosstide.session import materialize
 
 WHOLE = 64  # sets up to this size are routed by single tokens
 CELLS = 40  # groups of a larger set that route it
-DIMS = 64  # coordinates of a point
+DIMS = 256  # coordinates of a point
 BLOCK = 2048  # points of one cell in one task
 LEAF = 32  # points in a leaf of the R-tree
 
@@ -80,8 +80,16 @@ def routes(tokens: np.ndarray, percent: int = 80) -> np.ndarray:
 
 
 def point(tokens: np.ndarray) -> bytes:
-    """Counts of the set in DIMS groups."""
-    return np.bincount((mix(tokens ^ np.uint64(0xA5A5)) % np.uint64(DIMS)).astype(np.int64), minlength=DIMS).astype("<u4").tobytes()
+    """Counts of the set in DIMS groups; two bytes each, four if a count needs them."""
+    counts = np.bincount((mix(tokens ^ np.uint64(0xA5A5)) % np.uint64(DIMS)).astype(np.int64), minlength=DIMS)
+    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def counts_of(points: list[bytes]) -> np.ndarray:
+    """One row of DIMS counts for each point."""
+    if all(len(p) == 2 * DIMS for p in points):
+        return np.frombuffer(b"".join(points), "<u2").reshape(-1, DIMS)
+    return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * DIMS else "<u4").astype(np.uint32) for p in points])
 
 
 def survivors(points: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray, percent: int = 80):
@@ -108,12 +116,12 @@ def survivors(points: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_s
         for depth in range(len(levels) - 1, -1, -1):
             top, low, high = levels[depth]
             fits = (low[nodes] * percent <= 100 * most) & (high[nodes] * 100 >= percent * least)
-            fits &= np.minimum(top[nodes], corner).sum(1) >= needed(least, low[nodes], percent)
+            fits &= np.minimum(top[nodes], corner).sum(1, dtype=np.int64) >= needed(least, low[nodes], percent)
             below = (nodes[fits][:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = below[below < (len(levels[depth - 1][0]) if depth else len(order))]
         for cut in range(0, len(nodes), 16 * LEAF):
             near = order[nodes[cut : cut + 16 * LEAF]]
-            bound = np.minimum(points[leaf][:, None, :], others[near][None, :, :]).sum(2)
+            bound = np.minimum(points[leaf][:, None, :], others[near][None, :, :]).sum(2, dtype=np.int64)
             a, b = np.nonzero(bound >= needed(sizes[leaf][:, None], other_sizes[near][None, :], percent))
             found_a.append(leaf[a])
             found_b.append(near[b])
@@ -170,8 +178,7 @@ def _verify(percent: int):
                 need = needed(n, m, percent)
                 fits = min(n, m) >= need
                 if fits:
-                    pair = np.frombuffer(p[i].as_py(), "<u4"), np.frombuffer(q[i].as_py(), "<u4")
-                    fits = int(np.minimum(*pair).sum()) >= need
+                    fits = int(counts_of([p[i].as_py(), q[i].as_py()]).min(0).sum(dtype=np.int64)) >= need
                 if fits:
                     fits = len(np.intersect1d(x.to_numpy(), y.to_numpy(), assume_unique=True)) >= need
                 keep.append(fits)
@@ -189,7 +196,7 @@ def _tree_join(percent: int):
         table = table.sort_by("block")
         block, node = table["block"].to_numpy(), table["node"].to_numpy()
         component, side = table["component"].to_numpy(), table["side"].to_numpy()
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), "<u4").reshape(-1, DIMS).astype(np.int32)
+        points = counts_of(table["point"].to_pylist())
         sizes = points.sum(1, dtype=np.int64)
         pairs = [np.zeros((0, 2), np.int64)]
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
@@ -245,13 +252,14 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFra
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(texts.mapInArrow(_describe(percent, k), "doc_id long, n long, print long, cells array<long>"), "sets")
-    classes = rows.where("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("node")).where("node is not null")
+    # written first, so that the join below can split a large group of copies
+    classes = materialize(rows.where("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
     member = materialize(rows.select("doc_id", "n", "print").join(classes, ["print", "n"], "left"), "members")
     heads = member.where("doc_id = node").select("node").distinct()
 
     post = rows.where("n > 0").join(heads, F.col("doc_id") == F.col("node"), "left_semi").select(F.explode("cells").alias("cell"), F.col("doc_id").alias("node"))
     lead = post.groupBy("cell").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("cell", "leader")
-    met = materialize(post.join(lead, "cell"), "cells")
+    met = materialize(post.join(materialize(lead, "shared"), "cell"), "cells")
     chosen = (
         met.where("node > leader")
         .groupBy("node", "leader")

@@ -15,6 +15,7 @@ from crosstide.llm.pii import personal_data_digest
 from crosstide.llm.quality import score_quality
 from crosstide.llm.suffix_dedup import remove_repeats
 from crosstide.llm.token_files import token_documents
+from crosstide.llm.url_filter import judge_urls
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,6 +42,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(read(spark, sf_dir, "documents"), vocabulary(), end_id=0)
 
@@ -115,6 +120,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_personal_data": op3_personal_data,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_url_filter": op5_url_filter,
     "op6_token_files": op6_token_files,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_source_mixing": op8_source_mixing,
