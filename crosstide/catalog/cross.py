@@ -13,7 +13,7 @@ from crosstide.operators.crosssection import FACTOR_PARTS, LOWER_IS_BETTER, METR
 from crosstide.operators.ranking import rank_pct
 from crosstide.plans import panels, reports, strategy
 from crosstide.plans.scenarios import Rules
-from crosstide.session import settle
+from crosstide.session import materialize
 
 MIN_PAIRS = 30
 
@@ -60,8 +60,8 @@ BASE = (UNIVERSE, MONTH_PANEL)
 
 
 def kept_panel(spark, sf):
-    """The month panel, kept because the normalisation reads it several times."""
-    return settle(panels.month_panel(spark, sf))
+    """The month panel, written once because the normalisation reads it several times."""
+    return materialize(panels.month_panel(spark, sf), "month-panel")
 
 
 def scored_panel(spark, sf):
@@ -107,7 +107,7 @@ def orthogonalise(spark, sf):
     ),
 )
 def rank_pct_sector(spark, sf):
-    p = settle(panels.month_panel(spark, sf).select("symbol", "sector", "calc_date", "leverage"))
+    p = panels.month_panel(spark, sf).select("symbol", "sector", "calc_date", "leverage")
     return tidy(rank_pct(p, ["sector", "calc_date"], "leverage", "rank_pct").drop("leverage"))
 
 
@@ -166,8 +166,8 @@ wpairs AS (SELECT w.d, w.lb, s.month, factor_name, score, ret FROM wins w
 
 
 def ic_inputs(spark, sf):
-    prices = settle(panels.prices(spark, sf))
-    return settle(panels.month_scores(spark, sf)), prices, rebalance_calendar(prices)
+    prices = panels.prices(spark, sf)
+    return panels.month_scores(spark, sf), prices, rebalance_calendar(prices)
 
 
 @query(

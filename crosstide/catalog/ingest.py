@@ -11,7 +11,7 @@ from crosstide.catalog.registry import FILINGS, PRICES, PRICES_NATION, RATES, UN
 from crosstide.operators import quality
 from crosstide.operators.timeline import latest_by
 from crosstide.plans import panels
-from crosstide.session import materialize, settle
+from crosstide.session import materialize
 from crosstide.sources import control, landed, sinks
 
 # --- semi-structured ------------------------------------------------------------------
@@ -39,7 +39,7 @@ def ticker_cik(spark, sf):
 
 
 FORMS = """filed AS (SELECT DISTINCT o_custkey AS c, CAST(o_orderdate AS DATE) AS d FROM orders),
-forms AS (SELECT c, d, CASE WHEN (c * 7 + dayofyear(d)) % 4 = 0 THEN '10-K' ELSE '10-Q' END AS form FROM filed WHERE (c + dayofyear(d)) % 11 <> 0)"""
+forms AS (SELECT c, d, CASE WHEN (c * 7 + dayofyear(d)) % 4 = 0 THEN '10-K' ELSE '10-Q' END AS form FROM filed)"""
 PERIODS = """anchors0 AS (SELECT c, d, year(d) AS y, count(*) OVER w AS n, row_number() OVER (PARTITION BY c, year(d) ORDER BY d) AS i
   FROM forms WHERE form = '10-K' WINDOW w AS (PARTITION BY c, year(d))),
 anchors AS (SELECT c, d, CASE WHEN n > 1 THEN CASE WHEN i = n THEN y ELSE y - 1 END WHEN month(d) <= 6 THEN y - 1 ELSE y END AS label,
@@ -58,8 +58,7 @@ def filing_forms(spark, sf):
         F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("report_date")
     ).distinct()
     day = F.dayofyear("report_date")
-    kept = o.where((F.col("c") + day) % 11 != 0)
-    return kept.withColumn("form", F.when((F.col("c") * 7 + day) % 4 == 0, "10-K").otherwise("10-Q"))
+    return o.withColumn("form", F.when((F.col("c") * 7 + day) % 4 == 0, "10-K").otherwise("10-Q"))
 
 
 @query(
@@ -141,7 +140,7 @@ def facts_documents(spark, sf):
   {r('book_equity', 6)} AS book_equity, {r('shares_outstanding', 0)} AS shares_outstanding, {r('debt * 0.75 + debt * 0.25', 4)} AS total_debt, {r('eps')} AS eps FROM x"""),
 )
 def concept_fields(spark, sf):
-    out = landed.filing_fields(settle(landed.concept_facts(facts_documents(spark, sf))))
+    out = landed.filing_fields(landed.concept_facts(facts_documents(spark, sf)))
     return tidy(out, {"total_assets": 2, "total_debt": 4, "shares_outstanding": 0})
 
 
@@ -161,7 +160,7 @@ def company_filings(spark, sf):
     f = panels.fundamentals(spark, sf)
     form = F.when(F.col("fiscal_quarter") == 4, "10-K").otherwise("10-Q")
     filed = f.select(landed.padded_cik(F.col("symbol")).alias("cik"), form.alias("form"), "report_date")
-    facts = settle(landed.concept_facts(facts_documents(spark, sf)))
+    facts = landed.concept_facts(facts_documents(spark, sf))
     out = landed.company_filings(ticker_cik(spark, sf), filed, facts)
     return tidy(out.drop("currency", "book_equity"), {"total_assets": 2, "total_debt": 4, "net_income": 5})
 
@@ -289,24 +288,26 @@ def universe_load(spark, sf):
         F.concat(F.lit("  "), F.replace("security", F.lit("#"), F.lit("."))).alias("symbol"), "sector",
         F.concat(F.lower("country"), F.lit(" ")).alias("country"),
     )
-    banned = [f"Supplier.{k:09d}" for k in (7, 8)]
+    banned = u.where("cast(symbol as int) in (7, 8)").select(F.replace("security", F.lit("#"), F.lit(".")).alias("symbol"))
     return landed.tradable_universe(named, "nation_1", banned).select("symbol", "sector")
 
 
-@query("universe_intersect", with_(FILINGS, PRICES, select="SELECT symbol FROM prices WHERE trade_date < DATE '1995-02-01' INTERSECT SELECT symbol FROM filings WHERE net_income < 0"))
+@query("universe_intersect", with_(FILINGS, PRICES, select="SELECT symbol FROM prices INTERSECT SELECT symbol FROM filings WHERE net_income < 0"))
 def universe_intersect(spark, sf):
-    return landed.common_symbols(panels.prices(spark, sf).where("trade_date < '1995-02-01'"), panels.fundamentals(spark, sf).where("net_income < 0"))
+    return landed.common_symbols(panels.prices(spark, sf), panels.fundamentals(spark, sf).where("net_income < 0"))
 
 
 @query(
     "missing_symbols",
-    with_(UNIVERSE, PRICES, select="""SELECT symbol, CASE WHEN CAST(symbol AS BIGINT) % 2 = 0 THEN 'fetch_error' ELSE 'delisted' END AS reason
-  FROM universe WHERE symbol NOT IN (SELECT symbol FROM prices WHERE trade_date < DATE '1995-01-08')"""),
+    with_(UNIVERSE, PRICES, select="""SELECT 'X' || symbol AS symbol, CASE WHEN CAST(symbol AS BIGINT) % 2 = 0 THEN 'fetch_error' ELSE 'delisted' END AS reason FROM universe
+  UNION ALL SELECT symbol, CASE WHEN CAST(symbol AS BIGINT) % 2 = 0 THEN 'fetch_error' ELSE 'delisted' END FROM universe WHERE symbol NOT IN (SELECT symbol FROM prices)"""),
 )
 def missing_symbols(spark, sf):
-    u = panels.universe(spark, sf)
-    status = u.where(F.col("symbol").cast("bigint") % 3 != 5).select("symbol", (F.col("symbol").cast("bigint") % 2 == 0).alias("active"))
-    return landed.missing_symbols(u, panels.prices(spark, sf).where("trade_date < '1995-01-08'"), status)
+    wanted = expected_symbols(spark, sf)
+    number = F.regexp_replace("symbol", "X", "").cast("bigint")
+    # every seventh odd name has no status row, which also means delisted
+    status = wanted.where((number % 2 == 0) | (number % 7 != 0)).select("symbol", (number % 2 == 0).alias("active"))
+    return landed.missing_symbols(wanted, panels.prices(spark, sf), status)
 
 
 # --- sinks ---------------------------------------------------------------------------------
@@ -360,7 +361,7 @@ def run_stage_counts(spark, sf):
 # --- quality -------------------------------------------------------------------------------
 
 BARS = """bars AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS trade_date,
-  CASE WHEN l_linenumber <> 7 THEN l_extendedprice - 1000 END AS close_price, l_discount AS open_price FROM lineitem)"""
+  CASE WHEN l_linenumber <> 7 THEN l_extendedprice - 1000 END AS close_price, l_discount AS open_price, l_tax - 0.01 AS high_price, l_tax AS low_price FROM lineitem)"""
 
 
 def bars(spark, sf):
@@ -368,7 +369,7 @@ def bars(spark, sf):
     return l.select(
         F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("trade_date"),
         F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice") - 1000).alias("close_price"),
-        F.col("l_discount").alias("open_price"), F.lit(1.0).alias("high_price"), F.lit(1.0).alias("low_price"),
+        F.col("l_discount").alias("open_price"), (F.col("l_tax") - 0.01).alias("high_price"), F.col("l_tax").alias("low_price"),
     )
 
 
@@ -379,7 +380,9 @@ def expected_symbols(spark, sf):
 
 
 PRICE_STATS = """s AS (SELECT count(*) AS n, count(*) FILTER (open_price <= 0) AS lo, count(*) FILTER (close_price <= 0) AS lc,
-  count(*) - count(close_price) AS nc, (max(trade_date) - min(trade_date)) / 365.25 AS years, (SELECT count(*) FROM (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) < 200)) AS thin,
+  count(*) FILTER (high_price <= 0) AS hi, count(*) FILTER (low_price <= 0) AS lw,
+  (SELECT min(k) FROM (SELECT count(*) AS k FROM bars GROUP BY symbol)) AS least, (SELECT median(k) FROM (SELECT count(*) AS k FROM bars GROUP BY symbol)) AS med,
+  (SELECT 2 * count(*) FROM universe) - count(DISTINCT symbol) AS miss, count(*) - count(close_price) AS nc, (max(trade_date) - min(trade_date)) / 365.25 AS years, (SELECT count(*) FROM (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) < 200)) AS thin,
   count(*) - count(DISTINCT (symbol, trade_date)) AS dup, count(DISTINCT symbol) / (SELECT 2.0 * count(*) FROM universe) AS cov FROM bars)"""
 
 
@@ -392,11 +395,14 @@ def _rule(name, value, severity, threshold="NULL"):
     with_(BARS, UNIVERSE, PRICE_STATS, select=" UNION ALL ".join([
         _rule("empty", "CASE WHEN n = 0 THEN 1 ELSE 0 END", "CASE WHEN n = 0 THEN 'error' ELSE 'ok' END"),
         _rule("non_positive_open_price", "lo", "CASE WHEN lo > 0 THEN 'warning' ELSE 'ok' END"),
-        _rule("non_positive_high_price", "0", "'ok'"),
-        _rule("non_positive_low_price", "0", "'ok'"),
+        _rule("non_positive_high_price", "hi", "CASE WHEN hi > 0 THEN 'warning' ELSE 'ok' END"),
+        _rule("non_positive_low_price", "lw", "CASE WHEN lw > 0 THEN 'warning' ELSE 'ok' END"),
         _rule("non_positive_close_price", "lc", "CASE WHEN lc > 0.01 * n THEN 'error' WHEN lc > 0 THEN 'warning' ELSE 'ok' END", "0.01"),
         _rule("span_years", "years", "CASE WHEN years < 4 THEN 'warning' ELSE 'ok' END", "4"),
         _rule("thin_symbols", "thin", "CASE WHEN thin > 0 THEN 'warning' ELSE 'ok' END", "200"),
+        _rule("rows_per_symbol_min", "least", "'ok'"),
+        _rule("rows_per_symbol_median", "med", "'ok'"),
+        _rule("missing_symbols", "miss", "CASE WHEN miss > 0 THEN 'warning' ELSE 'ok' END"),
         _rule("duplicate_keys", "dup", "CASE WHEN dup > 0 THEN 'error' ELSE 'ok' END"),
         _rule("null_close", "nc / n", "CASE WHEN nc / n > 0.5 THEN 'error' ELSE 'ok' END", "0.5"),
         _rule("symbol_coverage", "cov", "CASE WHEN cov < 0.95 THEN 'error' ELSE 'ok' END", "0.95"),
@@ -423,26 +429,44 @@ def duplicate_keys(spark, sf):
 
 @query(
     "symbol_coverage",
-    with_(UNIVERSE, select=f"SELECT 2 * count(*) AS expected, count(*) AS present, count(*) AS missing, {r('0.5')} AS coverage FROM (SELECT DISTINCT l_suppkey FROM lineitem)"),
+    with_(UNIVERSE, select=f"""SELECT 2 * count(*) AS expected, count(*) FILTER (symbol IN (SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem)) AS present,
+  2 * count(*) - count(*) FILTER (symbol IN (SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem)) AS missing,
+  {r('count(*) FILTER (symbol IN (SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem)) / (2.0 * count(*))')} AS coverage FROM universe"""),
 )
 def symbol_coverage(spark, sf):
     return tidy(quality.symbol_coverage(bars(spark, sf), expected_symbols(spark, sf)))
 
 
+FINANCIAL_RULES = (
+    ("empty", "0", "CASE WHEN n = 0 THEN 'error' ELSE 'ok' END", "NULL"),
+    ("non_positive_total_assets", "low", "CASE WHEN low > 0 THEN 'warning' ELSE 'ok' END", "NULL"),
+    ("duplicate_keys", "dup", "CASE WHEN dup > 0 THEN 'error' ELSE 'ok' END", "NULL"),
+    ("null_total_assets", "na / n", "CASE WHEN na / n > 0.5 THEN 'warning' ELSE 'ok' END", "0.5"),
+    ("null_book_equity", "nb / n", "CASE WHEN nb / n > 0.5 THEN 'warning' ELSE 'ok' END", "0.5"),
+    ("null_net_income", "nn / n", "CASE WHEN nn / n > 0.5 THEN 'warning' ELSE 'ok' END", "0.5"),
+    ("symbol_coverage", "cov", "CASE WHEN cov < 1 THEN 'warning' ELSE 'ok' END", "NULL"),
+)
+
+
 @query(
     "financials_report",
-    with_(FILINGS, UNIVERSE, """g AS (SELECT *, CASE WHEN fiscal_quarter <= 3 THEN NULL ELSE net_income END AS ni FROM filings),
-s AS (SELECT count(*) AS n, count(*) - count(ni) AS nn, count(DISTINCT symbol) / (SELECT count(*) FROM universe) AS cov FROM g)""",
+    with_(FILINGS, UNIVERSE, """g0 AS (SELECT symbol, fiscal_year, fiscal_quarter, CASE WHEN fiscal_year = 1995 THEN total_assets - total_assets WHEN fiscal_year = 1996 THEN NULL ELSE total_assets END AS ta,
+    CASE WHEN net_income < 0 THEN book_equity END AS be, CASE WHEN fiscal_quarter > 3 THEN net_income END AS ni FROM filings WHERE CAST(symbol AS BIGINT) % 10 <> 9),
+g AS (SELECT * FROM g0 UNION ALL SELECT * FROM g0 WHERE fiscal_year = 1997 AND fiscal_quarter = 2),
+s AS (SELECT count(*) AS n, count(*) FILTER (ta <= 0) AS low, count(*) - count(DISTINCT (symbol, fiscal_year, fiscal_quarter)) AS dup, count(*) - count(ta) AS na,
+    count(*) - count(be) AS nb, count(*) - count(ni) AS nn, count(DISTINCT symbol) / (SELECT count(*) FROM universe) AS cov FROM g)""",
           select=" UNION ALL ".join(
               f"SELECT 'financials' AS dataset, '{n}' AS rule, {sev} AS severity, {r(v)} AS affected, CAST({t} AS DOUBLE) AS threshold FROM s"
-              for n, v, sev, t in (
-                  ("empty", "0", "'ok'", "NULL"), ("non_positive_total_assets", "0", "'ok'", "NULL"), ("duplicate_keys", "0", "'ok'", "NULL"),
-                  ("null_total_assets", "0", "'ok'", "0.5"), ("null_book_equity", "0", "'ok'", "0.5"),
-                  ("null_net_income", "nn / n", "CASE WHEN nn / n > 0.5 THEN 'warning' ELSE 'ok' END", "0.5"), ("symbol_coverage", "cov", "'ok'", "NULL")))),
+              for n, v, sev, t in FINANCIAL_RULES)),
 )
 def financials_report(spark, sf):
-    f = panels.fundamentals(spark, sf)
-    holed = f.withColumn("net_income", F.when(F.col("fiscal_quarter") > 3, F.col("net_income")))
+    f = panels.fundamentals(spark, sf).where("cast(symbol as bigint) % 10 <> 9").select(
+        "symbol", "fiscal_year", "fiscal_quarter",
+        F.when(F.col("fiscal_year") == 1995, 0.0).when(F.col("fiscal_year") != 1996, F.col("total_assets")).alias("total_assets"),
+        F.when(F.col("net_income") < 0, F.col("book_equity")).alias("book_equity"),
+        F.when(F.col("fiscal_quarter") > 3, F.col("net_income")).alias("net_income"),
+    )
+    holed = f.unionByName(f.where("fiscal_year = 1997 and fiscal_quarter = 2"))
     return tidy(quality.validate_financials(holed, panels.universe(spark, sf)))
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosstide.catalog.performance import RETURNS, returns
-from crosstide.catalog.portfolio import BOOK, FINAL, plain_positions
+from crosstide.catalog.portfolio import BOOK, FINAL, SELECT_CTE, plain_positions, selection_table
 from crosstide.catalog.registry import FILINGS, MONTH_PANEL, PRICES, RATES, SCORES, UNIVERSE, query, r, tidy, with_
-from crosstide.operators import merging
+from crosstide.operators import merging, metrics
 from crosstide.operators.ic import FACTORS
 from crosstide.plans import panels, reports
 from crosstide.plans.scenarios import pending, portfolio_scenarios, rules_table
-from crosstide.session import settle
 
 BASE = (UNIVERSE, MONTH_PANEL)
 
@@ -97,7 +96,7 @@ def position_history(spark, sf):
 )
 def source_fallback(spark, sf):
     """Countries without rows of the first source take the second one."""
-    rates = settle(panels.rates(spark, sf))
+    rates = panels.rates(spark, sf)
     first = rates.where("country < 'NATION_2'").withColumn("source", F.lit("oecd")).withColumn("priority", F.lit(1))
     second = rates.withColumn("rate", F.col("rate") + 1).withColumn("source", F.lit("yfinance")).withColumn("priority", F.lit(2))
     return tidy(merging.first_nonempty_source(first.unionByName(second), ["country"]).drop("priority"))
@@ -111,3 +110,57 @@ def source_fallback(spark, sf):
 def pending_scenarios(spark, sf):
     finished = returns(spark, sf).select("scenario_id").distinct()
     return pending(rules_table(spark, portfolio_scenarios()), finished).agg(F.count(F.lit(1)).alias("pending"))
+
+
+# --- look-ups of the stock and portfolio pages -------------------------------------------------
+
+STATUS_COLUMNS = "scenario_id, symbol, rebalance_date, sector, status, CAST(buffer_months_count AS INTEGER) AS buffer_months_count, entry_date, exit_reason"
+STATUS_NAMES = ("scenario_id", "symbol", "rebalance_date", "sector", "status", "buffer_months_count", "entry_date", "exit_reason")
+
+
+@query("selection_at_date", with_(*SELECT_CTE, recursive=True, select=f"SELECT {STATUS_COLUMNS} FROM sel WHERE rebalance_date = DATE '1997-06-30'"))
+def selection_at_date(spark, sf):
+    return selection_table(spark, sf).where("rebalance_date = '1997-06-30'").select(*STATUS_NAMES)
+
+
+@query("selection_history", with_(*SELECT_CTE, recursive=True, select=f"SELECT {STATUS_COLUMNS} FROM sel WHERE symbol = '3'"))
+def selection_history(spark, sf):
+    return reports.history_of(selection_table(spark, sf), "3", "rebalance_date").select(*STATUS_NAMES)
+
+
+@query("all_positions", with_(*BASE, BOOK, FINAL, select=f"SELECT scenario_id, rebalance_date, symbol, sector, direction, {r('final_weight')} AS final_weight FROM pos"))
+def all_positions(spark, sf):
+    out = reports.holdings(plain_positions(spark, sf), panels.universe(spark, sf))
+    return tidy(out.select("scenario_id", "rebalance_date", "symbol", "sector", "direction", "final_weight"))
+
+
+@query("price_history", with_(PRICES, select=f"SELECT trade_date, {r('ln(adjusted_close)')} AS log_close, volume FROM prices WHERE symbol = '3'"))
+def price_history(spark, sf):
+    rows = reports.history_of(panels.prices(spark, sf), "3", "trade_date")
+    return tidy(rows.select("trade_date", F.log("adjusted_close").alias("log_close"), "volume"))
+
+
+@query("metric_history", with_(*BASE, select=f"SELECT calc_date, {r('roe')} AS roe, {r('leverage')} AS leverage, {r('volatility_12m')} AS volatility_12m FROM month_panel WHERE symbol = '3'"))
+def metric_history(spark, sf):
+    rows = reports.history_of(panels.month_panel(spark, sf), "3", "calc_date")
+    return tidy(rows.select("calc_date", "roe", "leverage", "volatility_12m"))
+
+
+@query("score_history", with_(*BASE, SCORES, select="SELECT score_date, " + ", ".join(f"{r(c)} AS {c}" for c in FACTORS.values()) + " FROM scores WHERE symbol = '3'"))
+def score_history(spark, sf):
+    return tidy(reports.history_of(panels.month_scores(spark, sf), "3", "score_date").drop("symbol"))
+
+
+@query("scenario_returns", with_(RETURNS, select=f"SELECT rebalance_date, {r('net_return')} AS net_return, {r('turnover')} AS turnover FROM returns WHERE scenario_id = 'baseline'"))
+def scenario_returns(spark, sf):
+    return tidy(returns(spark, sf).where("scenario_id = 'baseline'").select("rebalance_date", "net_return", "turnover"))
+
+
+@query("rebalance_dates", with_(*BASE, BOOK, FINAL, select="SELECT DISTINCT scenario_id, rebalance_date FROM pos"))
+def rebalance_dates(spark, sf):
+    return plain_positions(spark, sf).select("scenario_id", "rebalance_date").distinct()
+
+
+@query("average_rate", with_(RATES, select=f"SELECT {r('coalesce(avg(rate), 0)')} AS risk_free_rate FROM rates WHERE country = 'NATION_3'"))
+def average_rate(spark, sf):
+    return tidy(metrics.average_rate(panels.rates(spark, sf), "NATION_3"))

@@ -3,36 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from crosstide.functions.numeric import rounded
 from crosstide.plans.panels import bme_sql
-from crosstide.session import release
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _fresh(f):
-    """Drop what earlier queries kept before a query starts."""
-
-    @wraps(f)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        release()
-        return f(spark, sf_dir)
-
-    return run
-
-
 def query(name: str, sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under ``name``."""
 
     def register(f):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = _fresh(f)
+        QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
         return f

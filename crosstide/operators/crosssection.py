@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.functions.numeric import clip, mean_of
-from crosstide.operators.ranking import group_quantiles, needs_split
-from crosstide.session import settle
+from crosstide.operators.ranking import group_quantiles
 
 # The nine metrics, the ones where lower is better, and the
 # metrics that make up each factor.
@@ -46,13 +45,12 @@ def winsorise(
     lower: float = 0.05,
     upper: float = 0.95,
     by: Sequence[str] = GROUP,
-    split: bool | None = None,
 ) -> DataFrame:
     """Clip each metric to its group quantiles; groups under 5 values stay as they are.
 
     Rows without a sector become null, as they belong to no group.
     """
-    wide = settle(_metric_bounds(panel.where(F.col("sector").isNotNull()), metrics, (lower, upper), list(by), split))
+    wide = _metric_bounds(panel.where(F.col("sector").isNotNull()), metrics, (lower, upper), list(by))
 
     def clipped(m: str) -> Column:
         low, high = F.col(f"_q0_{m}"), F.col(f"_q1_{m}")
@@ -63,30 +61,12 @@ def winsorise(
     return joined.select(*[clipped(c) if c in metrics else F.col(c) for c in panel.columns])
 
 
-def _metric_bounds(
-    placed: DataFrame, metrics: Sequence[str], probs: tuple[float, float], by: list[str], split: bool | None
-) -> DataFrame:
-    """Quantiles of every metric per group as columns ``_q0_<metric>``, ``_q1_<metric>``.
-
-    Groups that fit a task take one aggregate over all metrics; larger ones go
-    metric by metric through the bucketed quantiles.
-    """
-    if split is None:
-        split = needs_split(placed, by)
-    if not split:
-        pair = F.array(*[F.lit(float(p)) for p in probs])
-        found = placed.groupBy(*by).agg(
-            *[F.when(F.count(m) >= MIN_GROUP, F.percentile(m, pair)).alias(f"_q_{m}") for m in metrics]
-        )
-        return found.select(*by, *[F.col(f"_q_{m}")[i].alias(f"_q{i}_{m}") for m in metrics for i in (0, 1)])
+def _metric_bounds(placed: DataFrame, metrics: Sequence[str], probs: tuple[float, float], by: list[str]) -> DataFrame:
+    """Quantiles of every metric per group as columns ``_q0_<metric>``, ``_q1_<metric>``."""
     long = placed.unpivot(by, list(metrics), "metric", "value")
-    bounds = group_quantiles(long, [*by, "metric"], "value", probs, True).where(F.col("n") >= MIN_GROUP)
+    bounds = group_quantiles(long, [*by, "metric"], "value", probs).where(F.col("n") >= MIN_GROUP)
     return bounds.groupBy(*by).agg(
-        *[
-            F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"_{q}_{m}")
-            for m in metrics
-            for q in ("q0", "q1")
-        ]
+        *[F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"_{q}_{m}") for m in metrics for q in ("q0", "q1")]
     )
 
 
@@ -96,7 +76,7 @@ def sector_zscores(panel: DataFrame, metrics: Sequence[str] = METRICS, by: Seque
     Fewer than 5 values give null; no spread gives 0 for every row of the
     group, missing values included.
     """
-    stats = settle(
+    stats = (
         panel.where(F.col("sector").isNotNull())
         .groupBy(*by)
         .agg(
@@ -142,7 +122,7 @@ def orthogonalise(
     points leaves the raw residual.
     """
     sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
-    line = settle(
+    line = (
         scores.groupBy(by)
         .agg(
             F.regr_count(y, x).alias("_n"),

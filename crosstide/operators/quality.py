@@ -97,6 +97,7 @@ def validate_prices(prices: DataFrame, expected: DataFrame, **limits) -> DataFra
     per_symbol = prices.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).agg(
         F.count_if(F.col("_n") < t["min_price_rows"]).alias("thin"),
         F.min("_n").alias("min_rows"),
+        F.percentile("_n", 0.5).alias("median_rows"),
     )
     stats = _side_by_side(
         counts, per_symbol, duplicate_rows(prices, ["symbol", "trade_date"]), symbol_coverage(prices, expected)
@@ -121,14 +122,17 @@ def validate_prices(prices: DataFrame, expected: DataFrame, **limits) -> DataFra
             ),
             ("span_years", c("years"), _when(c("years") < t["min_years"], "warning"), t["min_years"]),
             ("thin_symbols", c("thin"), _when(c("thin") > 0, "warning"), t["min_price_rows"]),
+            ("rows_per_symbol_min", c("min_rows"), F.lit("ok"), None),
+            ("rows_per_symbol_median", c("median_rows"), F.lit("ok"), None),
             ("duplicate_keys", c("duplicates"), _when(c("duplicates") > 0, "error"), None),
             ("null_close", null_share, _when(null_share > t["max_null_pct"], "error"), t["max_null_pct"]),
             (
                 "symbol_coverage",
                 c("coverage"),
-                F.when(c("coverage") < t["min_coverage"], "error").otherwise(_when(c("missing") > 0, "warning")),
+                _when(c("coverage") < t["min_coverage"], "error"),
                 t["min_coverage"],
             ),
+            ("missing_symbols", c("missing"), _when(c("missing") > 0, "warning"), None),
         ],
     )
 

@@ -1,14 +1,10 @@
 """Exact ranks and quantiles of groups of any size.
 
-A window over a whole (sector, date) or (date) group puts the group into one
-task.  That is the cheapest plan while the largest group, which is counted
-first, fits a task.  Beyond that every group is cut into value buckets by a
-fixed monotone function of the value, bucket counts are summed on the map side,
-and only the running totals over the buckets of a group (a bounded number,
-whatever the data) are computed per group.  Ranks inside a bucket then start
-from the bucket's offset.  Equal values are counted before anything is sorted,
-so a value shared by a large part of the rows is one row too.  Both ways give
-the same result.
+No group is sorted whole.  Equal values are counted first, so a value that a
+large part of the rows share is one row.  Each group is then cut into buckets at
+approximate quantiles of its own values, so a bucket holds about the same number
+of values however narrow their range is.  Bucket counts give every bucket its
+offset, and ranks inside a bucket start from there.
 """
 
 from __future__ import annotations
@@ -19,144 +15,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crosstide.session import settle
+COARSE = 16  # a group has COARSE * COARSE buckets
 
-TASK_ROWS = 1_000_000  # rows of one group that one task may sort
-BUCKETS_PER_E_FOLD = 64
-_SHIFT = BUCKETS_PER_E_FOLD * 760  # above -ln of the smallest double
 
+def _cells(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """One row for each value of a group with its count ``_n`` and ``_bucket``."""
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    n = COARSE * COARSE
+    at = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = cells.groupBy(*by).agg(F.percentile_approx(value, at, F.lit(20 * n)).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(COARSE), F.lit(n - 1), F.lit(COARSE)), lambda i: F.get("_cuts", i - 1)))
 
-def needs_split(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
-    """True if some group has more rows than one task should hold (one small action)."""
-    limit = TASK_ROWS if limit is None else limit
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) > limit
+    def below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda c: c < F.col(value)))
 
+    placed = cells.join(cuts, by).withColumn("_high", below(F.col("_coarse")) * COARSE)
+    low = below(F.slice("_cuts", F.col("_high") + 1, F.lit(COARSE - 1)))
+    return placed.select(*by, value, "_n", (F.col("_high") + low).alias("_bucket"))
 
-def value_bucket(value: str | Column) -> Column:
-    """Monotone integer bucket: equal log-width steps on each side of zero."""
-    v = F.col(value) if isinstance(value, str) else value
-    steps = F.floor(F.least(F.log(F.abs(v)) * BUCKETS_PER_E_FOLD, F.lit(1e6))).cast("int") + _SHIFT
-    return F.when(v > 0, steps).when(v < 0, -steps).when(v == 0, 0)
 
-
-def _offsets(counted: DataFrame, by: list[str], n: str) -> DataFrame:
-    """Rows before each bucket and rows in the group, from per-bucket counts."""
+def _offsets(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Rows in and before each bucket, and in the group."""
+    counted = cells.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in_bucket"))
     order = W.partitionBy(*by).orderBy("_bucket")
-    before = F.sum(n).over(order.rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum("_in_bucket").over(order.rowsBetween(W.unboundedPreceding, -1))
     return counted.select(
         *by,
         "_bucket",
-        F.col(n).alias("_in_bucket"),
+        "_in_bucket",
         F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum(n).over(W.partitionBy(*by)).alias("_total"),
+        F.sum("_in_bucket").over(W.partitionBy(*by)).alias("_total"),
     )
 
 
-def average_rank(
-    df: DataFrame, by: Sequence[str], value: str, rank: str, size: str | None = None, split: bool | None = None
-) -> DataFrame:
-    """Add the 1-based average-tie rank of ``value`` inside each ``by`` group.
-
-    Null values get a null rank and do not count.  ``size`` optionally names a
-    column for the number of ranked rows of the group.  ``split`` forces or
-    forbids the bucketed plan; by default the group sizes decide.
-    """
+def value_ranks(df: DataFrame, by: Sequence[str], value: str, rank: str, size: str | None = None) -> DataFrame:
+    """(by, value, rank): the 1-based average-tie rank of each value of a group."""
     by = list(by)
-    if split is None:
-        split = needs_split(df, by)
-    return (_rank_split if split else _rank_window)(df, by, value, rank, size)
-
-
-def _rank_window(df: DataFrame, by: list[str], value: str, rank: str, size: str | None) -> DataFrame:
-    group = W.partitionBy(*by)
-    ordered = group.orderBy(F.col(value).asc_nulls_last())
-    ties = F.count(F.lit(1)).over(ordered.rangeBetween(W.currentRow, W.currentRow))
-    average = F.rank().over(ordered) + (ties - 1) / 2.0
-    ranked = df.withColumn(rank, F.when(F.col(value).isNotNull(), average))
-    return ranked.withColumn(size, F.count(value).over(group)) if size else ranked
-
-
-def _rank_split(df: DataFrame, by: list[str], value: str, rank: str, size: str | None) -> DataFrame:
-    cells = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", value_bucket(value))
-    )
-    offsets = _offsets(cells.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_bn")), by, "_bn")
+    cells = _cells(df, by, value)
     inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = cells.join(offsets, [*by, "_bucket"]).select(
+    return cells.join(_offsets(cells, by), [*by, "_bucket"]).select(
         *by,
         value,
         (F.col("_before") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2.0).alias(rank),
         *([F.col("_total").alias(size)] if size else []),
     )
+
+
+def average_rank(df: DataFrame, by: Sequence[str], value: str, rank: str, size: str | None = None) -> DataFrame:
+    """Add the 1-based average-tie rank of ``value`` inside each ``by`` group.
+
+    Null values get a null rank and do not count.  ``size`` optionally names a
+    column for the number of ranked rows of the group.
+    """
+    ranked = value_ranks(df, by, value, rank, size)
     return df.join(ranked, [*by, value], "left").select(*df.columns, rank, *([size] if size else []))
 
 
-def rank_pct(df: DataFrame, by: Sequence[str], value: str, out: str, split: bool | None = None) -> DataFrame:
+def rank_pct(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Average-tie rank divided by the number of non-null values (1.0 = highest)."""
-    ranked = average_rank(df, by, value, "_rank", "_size", split)
+    ranked = average_rank(df, by, value, "_rank", "_size")
     return ranked.withColumn(out, F.col("_rank") / F.col("_size")).drop("_rank", "_size")
 
 
-def group_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], split: bool | None = None
-) -> DataFrame:
-    """Linearly interpolated quantiles: one row per group with n, q0, q1, ..."""
-    by = list(by)
-    if split is None:
-        split = needs_split(df, by)
-    if split:
-        return _quantiles_split(df, by, value, probs)
-    values = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by)
-        .agg(F.count(value).alias("n"), values.alias("_q"))
-        .select(*by, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
-    )
-
+def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Linearly interpolated quantiles: one row per group with n, q0, q1, ...
 
-def _quantiles_split(df: DataFrame, by: list[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Only the rows of the few buckets that hold a wanted position are sorted."""
-    data = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("_bucket", value_bucket(value))
-    offsets = _offsets(data.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_bn")), by, "_bn")
+    Only values of the buckets that hold a wanted position are sorted.
+    """
+    by = list(by)
+    cells = _cells(df, by, value)
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_total") - 1)
 
-    def holds(index: Column, first: Column, count: Column) -> Column:
-        return (index >= first) & (index < first + count)
+    def holds(index: Column, first: str, count: str) -> Column:
+        return (index >= F.col(first)) & (index < F.col(first) + F.col(count))
 
-    wanted = [f(position(p)) for p in probs for f in (F.floor, F.ceil)]
     hit = F.lit(False)
-    for index in wanted:
-        hit = hit | holds(index, F.col("_before"), F.col("_in_bucket"))
-    kept = settle(offsets.where(hit).select(*by, "_bucket", "_before", "_total"))
-
-    cells = (
-        data.join(kept, [*by, "_bucket"])
-        .groupBy(*by, "_bucket", "_before", "_total", value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    for p in probs:
+        for f in (F.floor, F.ceil):
+            hit = hit | holds(f(position(p)), "_before", "_in_bucket")
+    kept = _offsets(cells, by).where(hit)
     inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    placed = cells.withColumn("_first", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
-    picks = []
-    for i, p in enumerate(probs):
-        for tag, f in (("lo", F.floor), ("hi", F.ceil)):
-            here = holds(f(position(p)), F.col("_first"), F.col("_n"))
-            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{tag}{i}"))
+    placed = cells.join(kept, [*by, "_bucket"]).withColumn("_first", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
+    picks = [
+        F.max(F.when(holds(f(position(p)), "_first", "_n"), F.col(value))).alias(f"_{tag}{i}")
+        for i, p in enumerate(probs)
+        for tag, f in (("lo", F.floor), ("hi", F.ceil))
+    ]
     picked = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *picks)
-    return picked.select(
-        *by,
-        F.col("_total").alias("n"),
-        *[
-            (
-                F.col(f"_lo{i}")
-                + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (position(p) - F.floor(position(p)))
-            ).alias(f"q{i}")
-            for i, p in enumerate(probs)
-        ],
-    )
+
+    def between(i: int, p: float) -> Column:
+        return F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (position(p) - F.floor(position(p)))
+
+    return picked.select(*by, F.col("_total").alias("n"), *[between(i, p).alias(f"q{i}") for i, p in enumerate(probs)])

@@ -1,12 +1,12 @@
-"""Buffered decile selection: rank inside sectors, then walk each symbol's dates."""
+"""Buffered decile selection: rank inside sectors, then windows over each symbol's dates."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crosstide.operators.ranking import rank_pct
-from crosstide.session import settle
 
 # The stored states.
 LONG_CORE, LONG_BUFFER = "long_core", "long_buffer"
@@ -14,13 +14,6 @@ SHORT_CORE, SHORT_BUFFER = "short_core", "short_buffer"
 NOT_SELECTED = "not_selected"
 STATUSES = (LONG_CORE, LONG_BUFFER, SHORT_CORE, SHORT_BUFFER, NOT_SELECTED)
 
-_STATE = (
-    "struct<ord:int,status:string,buffer:int,entry:date,"
-    "history:array<struct<ord:int,rebalance_date:date,sector:string,composite_score:double,"
-    "percentile_rank:double,status:string,buffer_months_count:int,entry_date:date,exit_reason:string>>>"
-)
-
-
 def sector_ranks(composites: DataFrame, universe: DataFrame) -> DataFrame:
     """Percentile rank inside (scenario, date, sector); names without sector drop out."""
     placed = composites.where(F.col("composite_score").isNotNull()).join(
@@ -35,10 +28,6 @@ def _dates_in_order(df: DataFrame) -> DataFrame:
     return dates.select("scenario_id", F.posexplode("dates").alias("ord", "rebalance_date"))
 
 
-def _in(status: Column, *names: str) -> Column:
-    return status.isin(*names)
-
-
 def _zone(rank: Column, threshold: Column, exit_at: Column) -> Column:
     """Where a rank lies between the entry and exit thresholds of both sides."""
     return (
@@ -50,101 +39,66 @@ def _zone(rank: Column, threshold: Column, exit_at: Column) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once (the fold would repeat it)."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _step(acc: Column, row: Column, patience: Column) -> Column:
-    """Next state of one symbol.  A date without a row at the previous ordinal
-    means the symbol has no remembered state."""
-    follows = acc["ord"] == row["ord"] - 1
-    past = F.struct(
-        (follows & _in(acc["status"], LONG_CORE, LONG_BUFFER)).alias("long"),
-        (follows & _in(acc["status"], SHORT_CORE, SHORT_BUFFER)).alias("short"),
-        (acc["buffer"] + 1).alias("months"),
-    )
-    return _let(past, lambda was: _decide(acc, row, was, patience))
-
-
-def _decide(acc: Column, row: Column, was: Column, patience: Column) -> Column:
-    zone = row["zone"]
-    in_buffer = ((zone == "upper") & was["long"]) | ((zone == "lower") & was["short"])
-    stays = in_buffer & (was["months"] < patience)
-    status = (
-        F.when(zone == "top", LONG_CORE)
-        .when(zone == "bottom", SHORT_CORE)
-        .when(stays, F.when(was["long"], LONG_BUFFER).otherwise(SHORT_BUFFER))
-        .otherwise(NOT_SELECTED)
-    )
-    choice = F.struct(status.alias("status"), in_buffer.alias("in_buffer"), stays.alias("stays"))
-    return _let(choice, lambda now: _let(_record(acc, row, was, now), lambda record: _next(acc, record)))
-
-
-def _record(acc: Column, row: Column, was: Column, now: Column) -> Column:
-    """The stored row of this date."""
-    status = now["status"]
-    out = status == NOT_SELECTED
-    same_side = (status.startswith("long") & was["long"]) | (status.startswith("short") & was["short"])
-    return F.struct(
-        row["ord"].alias("ord"),
-        row["rebalance_date"].alias("rebalance_date"),
-        row["sector"].alias("sector"),
-        row["composite_score"].alias("composite_score"),
-        row["percentile_rank"].alias("percentile_rank"),
-        status.alias("status"),
-        F.when(now["stays"], was["months"]).otherwise(0).alias("buffer_months_count"),
-        F.when(same_side, acc["entry"]).when(~out, row["rebalance_date"]).alias("entry_date"),
-        F.when(out & now["in_buffer"], "timer_exit")
-        .when(out & (was["long"] | was["short"]), "hard_stop")
-        .alias("exit_reason"),
-    )
-
-
-def _next(acc: Column, record: Column) -> Column:
-    return F.struct(
-        record["ord"].alias("ord"),
-        record["status"].alias("status"),
-        record["buffer_months_count"].alias("buffer"),
-        record["entry_date"].alias("entry"),
-        F.concat(acc["history"], F.array(record)).alias("history"),
-    )
-
-
 def select_names(ranked: DataFrame, rules: DataFrame) -> DataFrame:
     """Selection status of every ranked name on every date, all scenarios at once.
 
     ``rules`` has scenario_id, selection_threshold, buffer_exit_threshold and
-    buffer_max_months.  The state belongs to one (scenario, symbol), whose
-    history is bounded by the calendar; it is folded as a sorted array inside
-    the JVM.
+    buffer_max_months.  Top and bottom rows are core, whatever came before.  An
+    upper row stays long only in a run of upper rows that directly follows a top
+    row, while its place k in the run is below the patience, and exits by timer
+    at k = patience; lower rows mirror this for shorts.  A date without a row
+    ends a run.  So windows over one (scenario, symbol), sorted once, say it all.
     """
-    dates = settle(_dates_in_order(ranked))
     limits = rules.select("scenario_id", "selection_threshold", "buffer_exit_threshold", "buffer_max_months")
     zone = _zone(F.col("percentile_rank"), F.col("selection_threshold"), F.col("buffer_exit_threshold"))
-    row = F.struct("ord", "rebalance_date", "sector", "composite_score", "percentile_rank", "zone")
-    histories = (
-        ranked.join(dates, ["scenario_id", "rebalance_date"])
-        .join(limits, "scenario_id")
-        .withColumn("zone", zone)
-        .groupBy("scenario_id", "symbol")
-        .agg(F.sort_array(F.collect_list(row)).alias("rows"), F.max("buffer_max_months").alias("patience"))
+    rows = ranked.join(_dates_in_order(ranked), ["scenario_id", "rebalance_date"]).join(limits, "scenario_id").withColumn("zone", zone)
+    order = W.partitionBy("scenario_id", "symbol").orderBy("ord")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def before(column: str) -> Column:
+        """The value at the date directly before, null if the name had no row there."""
+        return F.when(F.lag("ord").over(order) == F.col("ord") - 1, F.lag(column).over(order))
+
+    def latest(condition: Column, value: Column) -> Column:
+        return F.last(F.when(condition, value), ignorenulls=True).over(so_far)
+
+    rows = rows.withColumn("_came_from", before("zone"))
+    new_run = ~F.col("zone").eqNullSafe(F.col("_came_from"))
+    rows = rows.withColumn("_k", F.col("ord") - latest(new_run, F.col("ord")) + 1)
+    rows = rows.withColumn("_from", latest(new_run, F.coalesce("_came_from", F.lit("none"))))
+    long_run = (F.col("zone") == "upper") & (F.col("_from") == "top")
+    short_run = (F.col("zone") == "lower") & (F.col("_from") == "bottom")
+    stays = F.col("_k") < F.col("buffer_max_months")
+    status = (
+        F.when(F.col("zone") == "top", LONG_CORE)
+        .when(F.col("zone") == "bottom", SHORT_CORE)
+        .when(long_run & stays, LONG_BUFFER)
+        .when(short_run & stays, SHORT_BUFFER)
+        .otherwise(NOT_SELECTED)
     )
-    start = F.struct(
-        F.lit(-2).alias("ord"),
-        F.lit(NOT_SELECTED).alias("status"),
-        F.lit(0).alias("buffer"),
-        F.lit(None).cast("date").alias("entry"),
-        F.array().alias("history"),
-    ).cast(_STATE)
-    folded = F.aggregate(
-        "rows",
-        start,
-        lambda acc, r: _step(acc, r, F.col("patience")),
-        lambda acc: acc["history"],
+    rows = rows.withColumn("status", status).withColumn("_side", _side("status"))
+    rows = rows.withColumn("_was", before("_side"))
+    entered = F.col("_side").isNotNull() & ~F.col("_side").eqNullSafe(F.col("_was"))
+    out = F.col("status") == NOT_SELECTED
+    timed = ((F.col("zone") == "upper") & (F.col("_was") == "long")) | ((F.col("zone") == "lower") & (F.col("_was") == "short"))
+    return rows.select(
+        "scenario_id",
+        "symbol",
+        "ord",
+        "rebalance_date",
+        "sector",
+        "composite_score",
+        "percentile_rank",
+        "status",
+        F.when(F.col("status").isin(LONG_BUFFER, SHORT_BUFFER), F.col("_k")).otherwise(0).cast("int").alias("buffer_months_count"),
+        F.when(~out, latest(entered, F.col("rebalance_date"))).alias("entry_date"),
+        F.when(out & timed, "timer_exit").when(out & F.col("_was").isNotNull(), "hard_stop").alias("exit_reason"),
     )
-    # no history is empty; the outer form keeps the optimizer from folding twice for a size filter
-    return histories.select("scenario_id", "symbol", F.inline_outer(folded))
+
+
+def _side(status: str) -> Column:
+    """long or short; null for a name that is not held."""
+    return F.when(F.col(status).isin(LONG_CORE, LONG_BUFFER), "long").when(F.col(status).isin(SHORT_CORE, SHORT_BUFFER), "short")
 
 
 def selected(selection: DataFrame) -> DataFrame:
@@ -154,21 +108,19 @@ def selected(selection: DataFrame) -> DataFrame:
 
 
 def status_changes(selection: DataFrame) -> DataFrame:
-    """Counts per scenario and date: each status, new entries, exits by side.
+    """Counts per scenario and date: each status, new entries, exits by side and reason.
 
     An exit is a name that was held at the previous date and is not any more,
-    so the side is the one it had before.
+    so its side is the one it had there.
     """
-    reason = F.col("exit_reason").isNotNull()
-    return selection.groupBy("scenario_id", "rebalance_date").agg(
+    order = W.partitionBy("scenario_id", "symbol").orderBy("rebalance_date")
+    known = selection.withColumn("_was", F.lag(_side("status")).over(order))
+    entered, left = F.col("entry_date") == F.col("rebalance_date"), F.col("exit_reason").isNotNull()
+    return known.groupBy("scenario_id", "rebalance_date").agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
-        F.count_if((F.col("entry_date") == F.col("rebalance_date")) & F.col("status").startswith("long")).alias(
-            "new_long"
-        ),
-        F.count_if((F.col("entry_date") == F.col("rebalance_date")) & F.col("status").startswith("short")).alias(
-            "new_short"
-        ),
-        F.count_if(reason).alias("exits"),
+        *[F.count_if(entered & (_side("status") == side)).alias(f"new_{side}") for side in ("long", "short")],
+        F.count_if(left).alias("exits"),
+        *[F.count_if(left & (F.col("_was") == side)).alias(f"{side}_exits") for side in ("long", "short")],
         F.count_if(F.col("exit_reason") == "timer_exit").alias("timer_exits"),
         F.count_if(F.col("exit_reason") == "hard_stop").alias("hard_stops"),
     )

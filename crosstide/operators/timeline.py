@@ -24,6 +24,7 @@ from crosstide.functions.dates import (
 from crosstide.functions.numeric import log_change, ratio
 
 TRADING_DAYS = 252
+TIME_BUCKETS = 32  # of a key in an as-of look-up
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -51,7 +52,10 @@ def asof_lookup(
 ) -> DataFrame:
     """Attach to each probe the last series row at (or strictly before) its time.
 
-    Union of both sides plus one running ``last``; no inequality join.
+    Union of both sides plus a running ``last``; no inequality join.  A key is
+    cut into time buckets of about equal size, the running value is formed inside
+    a bucket, and what a bucket inherits comes from a running value over the last
+    rows of the earlier buckets.  So a key with very many rows fills no task.
     """
     key = list(key)
     probe_side, series_side = (0, 1) if strict else (1, 0)
@@ -69,10 +73,18 @@ def asof_lookup(
         F.lit(None).cast(right.schema["_v"].dataType).alias("_v"),
         F.struct("*").alias("_p"),
     )
-    running = W.partitionBy(*key).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    rows = right.unionByName(left)
+    at = F.array(*[F.lit(i / TIME_BUCKETS) for i in range(1, TIME_BUCKETS)])
+    cuts = rows.groupBy(*key).agg(F.percentile_approx("_t", at, F.lit(20 * TIME_BUCKETS)).alias("_cuts"))
+    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_t"))), F.lit(0))
+    placed = rows.join(cuts, key).withColumn("_bucket", bucket).drop("_cuts")
+    ends = placed.groupBy(*key, "_bucket").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_end"))
+    earlier = W.partitionBy(*key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    inherited = ends.select(*key, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_inherited"))
+    running = W.partitionBy(*key, "_bucket").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
     return (
-        right.unionByName(left)
-        .withColumn("_v", F.last("_v", ignorenulls=True).over(running))
+        placed.join(inherited, [*key, "_bucket"])
+        .withColumn("_v", F.coalesce(F.last("_v", ignorenulls=True).over(running), F.col("_inherited")))
         .where(F.col("_p").isNotNull())
         .select("_p.*", F.col("_v._at").alias(f"asof_{series_time}"), *[F.col(f"_v.{v}").alias(v) for v in values])
     )

@@ -174,7 +174,7 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def month_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long/short book straight from the tables: (scenario_id, rebalance_date,
     symbol, sector, direction, target_weight, adv_20d)."""
-    p = month_panel(spark, sf_dir).where("leverage is not null")
+    p = month_panel(spark, sf_dir)
     direction = F.when(F.col("momentum_6m") >= 0.04, "long").otherwise("short")
     return p.select(
         F.lit("baseline").alias("scenario_id"),
@@ -182,7 +182,7 @@ def month_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "symbol",
         "sector",
         direction.alias("direction"),
-        (F.col("leverage") / 10).alias("target_weight"),
+        (F.coalesce("leverage", F.lit(0.04)) / 10).alias("target_weight"),
         (F.col("pb_ratio") * F.col("volatility_12m")).alias("adv_20d"),
     )
 

@@ -49,10 +49,8 @@ def correlation_matrix(scores: DataFrame, columns: Sequence[str] = tuple(FACTORS
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Counts in equal-width bins from min to max; the last bin is closed."""
-    from crosstide.session import settle
-
     data = df.where(F.col(value).isNotNull())
-    span = settle(data.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
+    span = data.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     if not by:
         data, span = data.withColumn("_one", F.lit(1)), span.withColumn("_one", F.lit(1))
     width = (F.col("_hi") - F.col("_lo")) / bins

@@ -47,7 +47,7 @@ class Settings:
     min_ic_months: int = 12
     constraint_tolerance: float = 0.02
     country: str = "United States"
-    risk_free_rate: float = 0.0
+    risk_free_rate: float | None = None  # None: the country's average rate
     turnover_drift: str = "coming"
 
 

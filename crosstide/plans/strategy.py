@@ -189,6 +189,9 @@ def run(
             held, inputs.prices, inputs.benchmark, cost_table(spark, scenarios), last, settings.turnover_drift
         )
     )
+    risk_free = settings.risk_free_rate
+    if risk_free is None:
+        risk_free = metrics.average_rate(inputs.rates, settings.country).first()[0]
     return {
         "liquidity_metrics": liquidity,
         "factor_metrics": panel,
@@ -201,5 +204,5 @@ def run(
         "constraints": positions.constraint_check(held, settings.constraint_tolerance),
         "benchmark_returns": inputs.benchmark,
         "backtest_returns": returns,
-        "backtest_summary": metrics.summary_metrics(returns, settings.risk_free_rate),
+        "backtest_summary": metrics.summary_metrics(returns, risk_free),
     }

@@ -54,15 +54,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+class ScratchTable:
+    """An intermediate table in the shared folder, written in numbered steps."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _written.append(self.path)
+
+    def write(self, df: DataFrame, step: int = 0) -> None:
+        df.write.parquet(f"{self.path}/step={step}")
+
+    def read(self, schema, step: int | None = None) -> DataFrame:
+        """One step, or all of them."""
+        if step is not None:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/step={step}")
+        return self.spark.read.schema(schema).parquet(self.path).select(*[f.name for f in schema.fields])
+
+
+def scratch_table(spark: SparkSession, name: str) -> ScratchTable:
+    return ScratchTable(spark, name)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = ScratchTable(df.sparkSession, name)
+    df.write.parquet(table.path)
+    return df.sparkSession.read.schema(df.schema).parquet(table.path)
 
 
 _kept: list[DataFrame] = []
+_written: list[str] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -76,7 +97,7 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def settle(summary: DataFrame) -> DataFrame:
-    """Compute a grouped summary once and keep it.
+    """Compute a grouped summary (one row for a scenario, date and sector at most) once and keep it.
 
     A kept frame reports its real size, so a later join is planned as a
     broadcast only below ``spark.sql.autoBroadcastJoinThreshold`` and as a
@@ -87,10 +108,16 @@ def settle(summary: DataFrame) -> DataFrame:
     return kept
 
 
-def release() -> None:
-    """Let go of everything kept so far (frames still in use are computed again)."""
-    current = SparkSession.getActiveSession()
+def release(spark: SparkSession | None = None) -> None:
+    """End of a run: let go of kept frames and delete its intermediate tables.
+
+    Call it when no frame of the run will be read again; nothing else does.
+    """
+    current = spark or SparkSession.getActiveSession()
     while _kept:
         frame = _kept.pop()
         if frame.sparkSession is current:  # a session that has ended took its frames along
             frame.unpersist()
+    while _written and current:
+        path = current._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(current._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstide.session import materialize
+
 CONTROL = (
     "name string, data_type string, fetched_at timestamp, rows bigint, source string, "
     "loaded boolean, loaded_at timestamp, event_at timestamp"
@@ -12,9 +14,16 @@ CONTROL = (
 
 
 def land(df: DataFrame, location: str, data_type: str, source: str, at: Column, by: str = "symbol") -> None:
-    """Write a dataset partitioned by name and append one control row per name."""
-    target = f"{location}/landed/{data_type}"
-    df.write.mode("append").partitionBy(by).parquet(target)
+    """Append a dataset, clustered by name, and one control row per name.
+
+    Folders are named by data type and by the month of landing, so their number
+    follows the calendar and not the universe.
+    """
+    month = F.date_format(at.cast("timestamp"), "yyyy-MM")
+    landed = df.withColumn("landed_month", month)
+    landed.repartitionByRange(by).sortWithinPartitions(by).write.mode("append").partitionBy("landed_month").parquet(
+        f"{location}/landed/{data_type}"
+    )
     control = (
         df.groupBy(F.col(by).alias("name"))
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -32,6 +41,32 @@ def land(df: DataFrame, location: str, data_type: str, source: str, at: Column,
     control.write.mode("append").parquet(f"{location}/control")
 
 
+def read_landed(spark: SparkSession, location: str, data_type: str) -> DataFrame:
+    return spark.read.parquet(f"{location}/landed/{data_type}").drop("landed_month")
+
+
+def forget_names(spark: SparkSession, location: str, known: DataFrame, by: str = "symbol") -> list[str]:
+    """Take names outside ``known`` (symbol) out of landed data and control rows; returns what changed."""
+    from crosstide.sources.sinks import table_exists
+
+    done = []
+    if not table_exists(spark, location, "control"):
+        return done
+    names = known.select(F.col("symbol").alias("name"))
+    control = spark.read.schema(CONTROL).parquet(f"{location}/control")
+    stale = control.join(names, "name", "left_anti")
+    for data_type in sorted(r[0] for r in stale.select("data_type").distinct().collect()):
+        path = f"{location}/landed/{data_type}"
+        rows = spark.read.parquet(path)
+        kept = materialize(rows.join(known.withColumnRenamed("symbol", by), by, "left_semi"), f"landed-{data_type}")
+        kept.write.mode("overwrite").partitionBy("landed_month").parquet(path)
+        done.append(f"landed/{data_type}")
+    if done:
+        materialize(control.join(names, "name", "left_semi"), "control").write.mode("overwrite").parquet(f"{location}/control")
+        done.append("control")
+    return done
+
+
 def mark_loaded(names: DataFrame, location: str, data_type: str, at: Column) -> None:
     """Append a load event for each name; the newest event is the current state."""
     spark = names.sparkSession

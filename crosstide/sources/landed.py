@@ -443,26 +443,17 @@ def dedupe_rates(rates: DataFrame, arrival: str = "arrival") -> DataFrame:
 # --- universe ---------------------------------------------------------------------------------
 
 
-def tradable_universe(
-    companies: DataFrame,
-    country: str | None = None,
-    exclude: Sequence[str] = (),
-    cap: int | None = None,
-) -> DataFrame:
-    """Trimmed and normalised symbols of the company table.
-
-    ``cap`` is the development limit on the number of symbols.
-    """
+def tradable_universe(companies: DataFrame, country: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """Trimmed and normalised symbols of the company table, without those of ``exclude`` (symbol)."""
     trimmed = companies.withColumns({c: F.trim(c) for c in companies.columns if c in ("symbol", "country")})
     if country:
         trimmed = trimmed.where(F.upper("country") == country.upper())
     kept = trimmed.where(F.col("symbol").isNotNull())
-    if exclude:
-        kept = kept.where(~F.col("symbol").isin(*exclude))
+    if exclude is not None:
+        kept = kept.join(exclude.select(F.trim("symbol").alias("symbol")), "symbol", "left_anti")
     named = kept.withColumn("symbol", F.replace("symbol", F.lit("."), F.lit("-")))
     rest = [c for c in named.columns if c != "symbol"]
-    named = latest_by(named, ["symbol"], rest) if rest else named.distinct()
-    return named.orderBy("symbol").limit(cap) if cap else named
+    return latest_by(named, ["symbol"], rest) if rest else named.distinct()
 
 
 def common_symbols(prices: DataFrame, filings: DataFrame) -> DataFrame:

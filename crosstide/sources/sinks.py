@@ -1,7 +1,9 @@
 """Writing stored tables on plain parquet: appends, key-aware inserts, scenario replacement.
 
-Parquet has no transactions; a job writes one table from one place, as the
-batch run does.  Inserts by key read only the key columns of the target.
+Every writer lays a table out in the same way (``tables.partition_column``), so
+they can be used in turn.  Parquet has no transactions; a job writes one table
+from one place, as the batch run does.  Inserts by key read only the key columns
+of the folders that the batch touches.
 """
 
 from __future__ import annotations
@@ -10,10 +12,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.operators.timeline import latest_by
-from crosstide.sources.tables import KEYS, SCHEMAS, read_table, to_table
+from crosstide.session import materialize
+from crosstide.sources.tables import KEYS, SCENARIO_TABLES, SCHEMAS, partition_column, read_table, to_table, with_partition
 
-# Tables replaced scenario by scenario are laid out by scenario.
-BY_SCENARIO = ("backtest_returns", "backtest_summary", "portfolio_positions", "selection_status", "ic_weights")
+ARRIVAL = "_arrival"  # order in which the rows of a batch came
 
 
 def table_exists(spark: SparkSession, location: str, name: str) -> bool:
@@ -21,17 +23,27 @@ def table_exists(spark: SparkSession, location: str, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def _save(df: DataFrame, location: str, name: str, mode: str, **options) -> None:
+    """Write stored columns in the table's layout."""
+    writer = with_partition(df, name).write.mode(mode).options(**options)
+    column = partition_column(name)
+    (writer.partitionBy(column) if column else writer).parquet(f"{location}/{name}")
+
+
 def write(df: DataFrame, location: str, name: str, if_exists: str = "append") -> None:
     """Append, replace, or fail if the table is there."""
     mode = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}[if_exists]
-    to_table(df, name).write.mode(mode).parquet(f"{location}/{name}")
+    _save(to_table(df, name), location, name, mode)
 
 
 def absent_rows(incoming: DataFrame, existing: DataFrame, keys) -> DataFrame:
-    """Incoming rows whose key is not stored yet, one per key (the first arrival)."""
-    arrival = "_arrival" if "_arrival" in incoming.columns else None
-    if arrival:
-        unique = latest_by(incoming.withColumn("_order", -F.col(arrival)), keys, ["_order"]).drop("_order", arrival)
+    """Incoming rows whose key is not stored yet, one per key.
+
+    With an ``_arrival`` column the first arrival of a key is taken; without one
+    the greatest row, so that the choice does not depend on the order of reading.
+    """
+    if ARRIVAL in incoming.columns:
+        unique = latest_by(incoming.withColumn("_order", -F.col(ARRIVAL)), keys, ["_order"]).drop("_order", ARRIVAL)
     else:
         rest = [c for c in incoming.columns if c not in keys]
         unique = latest_by(incoming, keys, rest) if rest else incoming.distinct()
@@ -39,15 +51,22 @@ def absent_rows(incoming: DataFrame, existing: DataFrame, keys) -> DataFrame:
 
 
 def insert_if_absent(df: DataFrame, location: str, name: str) -> int:
-    """Insert rows with new business keys; an existing key wins.  Returns rows added."""
+    """Insert rows with new business keys; an existing key wins.  Returns rows added.
+
+    ``df`` may carry ``_arrival`` (see ``absent_rows``).
+    """
     spark = df.sparkSession
-    incoming = to_table(df, name)
+    incoming = to_table(df, name, also=(ARRIVAL,))
     if table_exists(spark, location, name):
-        rows = absent_rows(incoming, read_table(spark, location, name), KEYS[name])
+        column = partition_column(name)
+        touched = None
+        if column:  # as many values as the batch has months, years or scenarios
+            touched = [r[0] for r in with_partition(incoming, name).select(column).distinct().collect() if r[0] is not None]
+        existing = read_table(spark, location, name, touched)
     else:
-        rows = absent_rows(incoming, incoming.limit(0), KEYS[name])
+        existing = incoming.limit(0)
     seen = Observation(f"inserted-{name}")
-    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{location}/{name}")
+    _save(absent_rows(incoming, existing, KEYS[name]).observe(seen, F.count(F.lit(1)).alias("n")), location, name, "append")
     return seen.get["n"]
 
 
@@ -58,11 +77,9 @@ def insert_filings(df: DataFrame, location: str, arrival: str = "arrival") -> in
 
 def replace_scenarios(df: DataFrame, location: str, name: str) -> None:
     """Replace all rows of the scenarios in ``df``; other scenarios stay."""
-    if name not in BY_SCENARIO:
+    if name not in SCENARIO_TABLES:
         raise ValueError(f"{name} has no scenarios")
-    to_table(df, name).write.partitionBy("scenario_id").mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(f"{location}/{name}")
+    _save(to_table(df, name), location, name, "overwrite", partitionOverwriteMode="dynamic")
 
 
 def with_composite(scores: DataFrame, composite: DataFrame) -> DataFrame:
@@ -75,15 +92,35 @@ def with_composite(scores: DataFrame, composite: DataFrame) -> DataFrame:
     )
 
 
-def delete_stale_symbols(spark: SparkSession, location: str, universe: DataFrame, target: str) -> list[str]:
-    """Rewrite every table with a symbol column into ``target`` without unknown symbols."""
+def delete_stale_symbols(spark: SparkSession, location: str, universe: DataFrame) -> list[str]:
+    """Delete rows of symbols outside ``universe`` from every table, landed data and control rows.
+
+    Only folders that hold such a symbol are written again: their kept rows go
+    to the shared folder first and then replace the folder, so a failure in
+    between leaves either the old or the new rows of a table's folder.
+    """
+    known = universe.select("symbol").distinct()
     done = []
     for name, ddl in SCHEMAS.items():
-        if name != "company_static" and "symbol string" in ddl and table_exists(spark, location, name):
-            kept = read_table(spark, location, name).join(universe.select("symbol"), "symbol", "left_semi")
-            write(kept, target, name, "replace")
-            done.append(name)
-    return done
+        if name == "company_static" or "symbol string" not in ddl or not table_exists(spark, location, name):
+            continue
+        table, column = with_partition(read_table(spark, location, name), name), partition_column(name)
+        touched = [r[0] for r in table.join(known, "symbol", "left_anti").select(column).distinct().collect()]
+        if not touched:
+            continue
+        done.append(name)
+        here = table.where(F.col(column).isin(touched))
+        kept = materialize(here.join(known, "symbol", "left_semi"), f"kept-{name}")
+        _save(kept.drop("key_month"), location, name, "overwrite", partitionOverwriteMode="dynamic")
+        # a folder of which nothing stays has no new rows to replace it
+        left = {r[0] for r in kept.select(column).distinct().collect()}
+        for value in touched:
+            if value not in left:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{name}/{column}={value}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    from crosstide.sources.control import forget_names
+
+    return done + forget_names(spark, location, known)
 
 
 def table_counts(spark: SparkSession, location: str) -> DataFrame:
@@ -100,5 +137,5 @@ def table_counts(spark: SparkSession, location: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """A small report table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A report table as CSV files with a header, as many as its partitions."""
+    df.write.mode("overwrite").csv(path, header=True)

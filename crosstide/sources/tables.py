@@ -55,6 +55,17 @@ KEYS = {
     "backtest_returns": ("scenario_id", "rebalance_date"),
     "backtest_summary": ("scenario_id",),
 }
+# How a table is laid out: by scenario, by fiscal year, or by the month of its key date.
+SCENARIO_TABLES = ("backtest_returns", "backtest_summary", "portfolio_positions", "selection_status", "ic_weights")
+KEY_DATES = {
+    "price_data": "trade_date",
+    "risk_free_rates": "rate_date",
+    "factor_metrics": "calc_date",
+    "factor_zscores": "calc_date",
+    "factor_scores": "score_date",
+    "liquidity_metrics": "calc_date",
+    "benchmark_returns": "month_end",
+}
 # Column names of the score stage and of the stored score table.
 SCORE_NAMES = {
     "calc_date": "score_date",
@@ -65,9 +76,32 @@ SCORE_NAMES = {
 }
 
 
-def read_table(spark: SparkSession, location: str, name: str) -> DataFrame:
-    """Read a stored table with its schema; NaN becomes null, symbols are trimmed."""
-    df = null_nans(spark.read.schema(SCHEMAS[name]).parquet(f"{location}/{name}"))
+def partition_column(name: str) -> str | None:
+    """The column by which a table's folders are named; ``key_month`` is no stored column."""
+    if name in SCENARIO_TABLES:
+        return "scenario_id"
+    if name == "financial_data":
+        return "fiscal_year"
+    return "key_month" if name in KEY_DATES else None
+
+
+def with_partition(df: DataFrame, name: str) -> DataFrame:
+    """Add the column a table is laid out by, where it is not stored anyway."""
+    if partition_column(name) != "key_month":
+        return df
+    return df.withColumn("key_month", F.date_format(KEY_DATES[name], "yyyy-MM"))
+
+
+def read_table(spark: SparkSession, location: str, name: str, only: list | None = None) -> DataFrame:
+    """Read a stored table with its schema; NaN becomes null, symbols are trimmed.
+
+    ``only`` lists values of the partition column; other folders are not read.
+    """
+    extra = ", key_month string" if partition_column(name) == "key_month" else ""
+    df = spark.read.schema(SCHEMAS[name] + extra).parquet(f"{location}/{name}")
+    if only is not None and partition_column(name):
+        df = df.where(F.col(partition_column(name)).isin(only))
+    df = null_nans(df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]))
     return df.withColumn("symbol", F.trim("symbol")) if "symbol" in df.columns else df
 
 
@@ -91,8 +125,8 @@ def load_universe_csv(spark: SparkSession, path: str, location: str) -> DataFram
     return read_table(spark, location, "company_static")
 
 
-def to_table(df: DataFrame, name: str) -> DataFrame:
-    """Project and cast a frame to the stored columns of ``name`` (missing ones null)."""
+def to_table(df: DataFrame, name: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Project and cast a frame to the stored columns of ``name`` (missing ones null), and ``also`` some others."""
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(SCHEMAS[name])
@@ -101,5 +135,6 @@ def to_table(df: DataFrame, name: str) -> DataFrame:
         *[
             (F.col(f.name) if f.name in renamed.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields
-        ]
+        ],
+        *[c for c in also if c in renamed.columns],
     )
