@@ -18,6 +18,7 @@ and the manifest lists those of the attempts that succeeded.
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import re
@@ -41,10 +42,29 @@ from crosstide.session import materialize, shared_folder
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
 INDEX_FRAME = 0x184D2A50
 FRAME = 1 << 20  # bytes of ids in a data frame; a longer document has one of its own
-TEXTS_CACHED = 400_000
+CACHED = 1_200_000  # words and pieces that a worker remembers
 SHARD_ROWS = 20_000  # documents of a shard, on average
 
 _encoders: dict = {}
+# Latin letters, then ASCII marks: such a word is two pieces to the pre-tokenizer.
+_PARTS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
+
+
+class _Spelling(dict):
+    """Code points to the spelling of their UTF-8 bytes in a byte-level vocabulary.
+
+    Bytes with a visible Latin-1 character are spelled by it, the others by the
+    code points from 256 on, in order.
+    """
+
+    def __init__(self):
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def __missing__(self, code: int) -> str:
+        self[code] = spelled = "".join(self.bytes[b] for b in chr(code).encode())
+        return spelled
 
 
 class Encoder:
@@ -53,59 +73,112 @@ class Encoder:
     The byte-level pre-tokenizer always cuts before a single white space between
     other characters, so such a text is encoded word by word (each with the
     space or line break before it) with the same ids as the whole. Texts in
-    which white space meets white space are encoded as they are. New words of a
-    batch are encoded by the library in one text and taken apart at the ids that
-    begin with a space or line break.
+    which white space meets white space are encoded as they are. A new word of
+    letters and marks after it is given to the library's model in these two
+    pieces; other new words are encoded by the library in one text and taken
+    apart at the ids that begin with a space or line break. A tokenizer of
+    another kind fails the test at the start and encodes whole texts.
     """
 
+    PROBE = "Öl ab cd,\nGh## it's a-b x9 ...\nÉß!? <|endoftext|> end."
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.opens[i] = token[:1] in ("Ġ", "Ċ")  # byte-level spelling of space and line break
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.spelling = _Spelling()
         self.meeting = re.compile(r"\s\s")
-        probe = "ab cd, ef\ngh it's"
-        parts = ("ab", " cd,", " ef", "\ngh", " it's")
-        self.by_word = self.ids(probe).tolist() == [i for t in parts for i in self.ids(t).tolist()]
+        self.by_word = self.tokenizer.normalizer is None
+        try:
+            self.by_word = self.by_word and self.encode([self.PROBE])[0] == self.ids(self.PROBE).tobytes()
+        except Exception:  # a model without byte-level spelling
+            self.by_word = False
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def part(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer."""
+        known = self.parts.get(piece)
+        if known is None:
+            ids = [t.id for t in self.model.tokenize(piece.translate(self.spelling))]
+            known = self.parts[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return known
+
     def learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > TEXTS_CACHED:
-            self.cache.clear()
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
+        others, parts, cache, part, match = [], self.parts, self.cache, self.part, _PARTS.fullmatch
+        for w in new:
+            lead = w[0] if w and w[0] in "\n\t" else ""
+            m = match(w, len(lead))
+            if not m:
+                others.append(w)
+                continue
+            letters, marks = m.groups()
+            first = letters if lead else " " + letters
+            ids = parts.get(first) or part(first)
+            if marks:
+                ids += parts.get(marks) or part(marks)
+            cache[w] = part("\n") + ids if lead == "\n" else ids
+        for w in [w for w in others if w[:1] == "\t"]:
+            cache[w] = self.ids(w[1:]).tobytes()
+        others = [w for w in others if w[:1] != "\t"]
+        for at in range(0, len(others), 200):
+            some = others[at : at + 200]
             spelled = [w if w[:1] == "\n" else " " + w for w in some]
             ids = self.ids("".join(spelled))
             cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(some) and (len(cuts) == 0 or cuts[0] == 0):
+            if len(cuts) == len(some) and cuts[0] == 0:
                 raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
                 for w, a, b in zip(some, (4 * cuts).tolist(), ends, strict=True):
-                    self.cache[w] = raw[a:b]
+                    cache[w] = raw[a:b]
             else:
                 for w, s in zip(some, spelled, strict=True):
-                    self.cache[w] = self.ids(s).tobytes()
+                    cache[w] = self.ids(s).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes (null: none)."""
-        split = [t.replace("\n", " \n").split(" ") if t and self.by_word and not self.meeting.search(t) else None for t in texts]
-        wanted = {w for words in split if words for w in words[1:]}
-        new = [w for w in wanted if w not in self.cache]
-        self.learn(new)
-        if any(w not in self.cache for w in wanted):  # it was emptied for the new ones
-            self.learn([w for w in wanted if w not in self.cache])
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words:
-                out.append((self.ids(words[0]).tobytes() if words[0] else b"") + b"".join(map(self.cache.__getitem__, words[1:])))
+        collecting = gc.isenabled()
+        gc.disable()  # hundreds of thousands of strings, but no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.cache) + len(self.parts) > CACHED:
+            self.cache.clear()
+            self.parts = {"": b""}
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            if text and self.by_word and not self.meeting.search(text):
+                own = text.replace("\n", " \n").split(" ")
+                own[0] = "\t" + own[0]  # a first word has nothing before it
+                words += own
+                ends.append(len(words))
             else:
+                ends.append(-1)
+        found = list(map(self.cache.get, words))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        self.learn(list({words[i] for i in unknown}))
+        for i in unknown:
+            found[i] = self.cache[words[i]]
+        out, begin = [], 0
+        for text, end in zip(texts, ends, strict=True):
+            if end < 0:
                 out.append(self.ids(text).tobytes() if text else b"")
+            else:
+                out.append(b"".join(found[begin:end]))
+                begin = end
         return out
 
 
@@ -130,7 +203,7 @@ class ShardWriter:
 
     def flush(self) -> None:
         raw = b"".join(self.pending)
-        frame = zstandard.ZstdCompressor(level=3).compress(raw)
+        frame = zstandard.ZstdCompressor(level=1).compress(raw)
         self.out.write(frame)
         self.frames.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.pending, self.held = [], 0
