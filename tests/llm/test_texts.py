@@ -31,7 +31,7 @@ def test_languages(spark):
     rng = random.Random(1)
     kinds = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ein", "ung", "ver"], "cc": ["é", "eau", "oi", "ç"]}
     rows = [(i, (lang := rng.choice(list(kinds))), invented(rng, kinds[lang], rng.randint(20, 80))) for i in range(300)]
-    odd = [(900, "aa", None), (901, "aa", ""), (902, "aa", "123 --- 4"), (903, None, rows[0][2]), (904, "aa", "x" * 300_000), (None, "aa", rows[0][2])]
+    odd = [(900, "aa", None), (901, "aa", ""), (902, "aa", "123 --- 4"), (903, None, rows[0][2]), (904, None, "x" * 300_000), (None, "aa", rows[0][2])]
     table = spark.createDataFrame([(i, t, lang, "s", 1) for i, lang, t in rows + odd], DOCS)
     got = {r.doc_id: r for r in language.identify_languages(table).collect()}
     asked = [(i, lang) for i, lang, _ in rows if held_out(i)]
