@@ -64,6 +64,10 @@ class ScratchTable:
     def write(self, df: DataFrame, step: int = 0) -> None:
         df.write.parquet(f"{self.path}/step={step}")
 
+    def write_by(self, df: DataFrame, column: str) -> None:
+        """All steps at once, numbered by a column."""
+        df.withColumnRenamed(column, "step").write.partitionBy("step").parquet(self.path)
+
     def read(self, schema, step: int | None = None) -> DataFrame:
         """One step, or all of them."""
         if step is not None:
