@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstide import session
+
 PIECE = 1 << 20  # bytes of text worked on at a time; one longer text is a piece of its own
 
 _GEN = np.random.default_rng(20240229)
@@ -34,6 +38,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Shuffle files of earlier steps go first: nothing refers to their plans any
+    more, but Spark deletes them only when the driver collects its garbage.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return session.materialize(df, name)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` once all that reads it has been written."""
+    spark, files = table.sparkSession, table.inputFiles()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session.shared_folder(spark)).toUri().getPath()
+    for path in {f.rpartition("/")[0] for f in files}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.toUri().getPath().startswith(folder.rstrip("/") + "/"):
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dealt(side: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled however small it is, so that the plan is the same at every size."""
+    return side.hint("merge")
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves remainder 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))

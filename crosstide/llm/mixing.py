@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.session import materialize
+from crosstide.llm.common import materialize
+
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELL = 256  # documents of an average cell

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import small_batches
-from crosstide.session import materialize
+from crosstide.llm.common import materialize, small_batches
 
 TABLES, PROBES, AXES = 16, 6, 64
 LEAST = 64

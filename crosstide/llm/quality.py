@@ -19,8 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import flat, held_out, mix, pieces, small_batches, words
-from crosstide.session import materialize
+from crosstide.llm.common import flat, held_out, materialize, mix, pieces, small_batches, words
 
 STATISTICS = (
     "n_words",

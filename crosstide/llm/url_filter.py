@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import mix, small_batches
-from crosstide.session import materialize
+from crosstide.llm.common import materialize, mix, small_batches
 
 ORDER, SLOTS = 5, 1 << 16
 BINS, REACH = 2000, 4.0  # of the calibration histogram
