@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import small_batches
-from crosstide.session import materialize, shared_folder
+from crosstide.llm.common import materialize, small_batches
+from crosstide.session import shared_folder
 
 # The public seekable format of zstandard.
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
