@@ -3,15 +3,16 @@
 1. Terms are words (marks cut off, A-Z lowered) hashed into TERMS; their weight
    is the inverse frequency over all documents, zero for terms that make up more
    than one word in ``COMMON`` (they tell passages apart no better than chance).
-2. Randomised SVD of the TF-IDF matrix of all passages: every task multiplies
-   its rows A_i by a random matrix and adds up A_i' A_i R, the sums are added
-   up by block of terms, and an orthonormal basis of the result (TERMS x RANK,
-   a fixed size) spans the leading singular directions. Cosines inside that
-   space do not depend on how the basis is turned, so it is used as it is.
-3. Items and windows of the documents are projected. A window is two to three
-   times as long as the items searched in it and begins at every half of its
-   length, so that each place where an item can stand is inside some window.
-   Windows whose cosine with an item reaches NEAR are candidates.
+2. Randomised SVD of the TF-IDF matrix of all passages: each passage is added
+   with a random sign to one of SKETCH rows, so that every task has a random
+   projection of its passages (SKETCH x TERMS, a fixed size); the projections are
+   added up by block of terms. The right singular vectors of the sum are those of
+   the matrix, up to the usual error of the method; RANK of them are kept, each
+   over its singular value, so that no topic or language outweighs the others.
+3. Items and windows of the documents are projected. A window is at least one
+   and a half times as long as the items searched in it and begins at every third
+   of its length, so that each place where an item can stand is inside some
+   window. Windows whose cosine with an item reaches NEAR are candidates.
 4. A candidate is confirmed by the longest common subsequence of words, as a
    share of the item: SAME or more is a copy; PARAPHRASE or more needs the
    answer check too, that is ANSWERS of the item's rarest words in the window.
@@ -28,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import flat, pieces, small_batches, words
+from crosstide.llm.common import flat, mix, pieces, small_batches, words
 
-TERMS, RANK, BLOCK = 1 << 13, 48, 256
-COMMON = 250
-NEAR = 0.38
+TERMS, SKETCH, RANK, BLOCK = 1 << 12, 144, 112, 128
+COMMON = 2000
+NEAR = 0.48
+UNIT = 4  # words that are added up before anything else; windows begin at every so many
 SAME, PARAPHRASE, ANSWERS = 0.8, 0.5, 0.8
 LONGEST = 96
-WINDOWS = (12, 16, 24, 32, 42, 56, 76, 100, 132, 192)
+WINDOWS = tuple(3 * UNIT * k for k in range(1, 13))  # in words
 ITEMS = 4000
 PASSAGE = 48
 
@@ -68,29 +70,22 @@ def term_weights(texts: DataFrame) -> np.ndarray:
 
 def _sketch(weights: np.ndarray):
     def run(batches):
-        mixed = np.random.default_rng(11).standard_normal((TERMS, RANK)).astype(np.float32) * weights[:, None]
-        total = np.zeros((TERMS, RANK), np.float32)
+        total = np.zeros(SKETCH * TERMS)
         for batch in batches:
             for _, data, offsets in pieces(*flat(batch.column(0))):
-                _, text, term = terms(data, offsets)
+                hashes, text, term = terms(data, offsets)
                 if not len(term):
                     continue
                 first = np.searchsorted(text, np.arange(len(offsets) - 1))
-                passage = np.cumsum(((np.arange(len(term)) - first[text]) % PASSAGE == 0))
-                kept = weights[term] > 0
-                term, passage = term[kept], passage[kept]
-                if not len(term):
-                    continue
-                starts = np.flatnonzero(np.diff(passage, prepend=-1))
-                rows = np.add.reduceat(mixed[term], starts)
-                squares = np.add.reduceat(weights[term] ** 2, starts)
-                rows /= squares[:, None]  # both factors of A'A have rows of length one
-                order = np.argsort(term, kind="stable")
-                groups = np.flatnonzero(np.diff(term[order], prepend=-1))
-                back = rows[np.repeat(np.arange(len(starts)), np.diff(starts, append=len(term)))[order]]
-                total[term[order][groups]] += np.add.reduceat(back, groups)
-        total *= weights[:, None]
-        yield pa.RecordBatch.from_pydict({"block": list(range(TERMS // BLOCK)), "sums": [total[i : i + BLOCK].tobytes() for i in range(0, TERMS, BLOCK)]})
+                passage = np.cumsum((np.arange(len(term)) - first[text]) % PASSAGE == 0) - 1
+                squares = np.bincount(passage, weights[term] ** 2)
+                key = mix(np.add.reduceat(hashes, np.flatnonzero(np.diff(passage, prepend=-1))))  # alike on every run
+                signs = np.where(key & np.uint64(1), 1.0, -1.0) / np.sqrt(np.maximum(squares, 1e-9))
+                rows = ((key >> np.uint64(1)) % np.uint64(SKETCH)).astype(np.int64)
+                total += np.bincount(rows[passage] * TERMS + term, weights[term] * signs[passage], minlength=SKETCH * TERMS)
+        blocks = total.reshape(SKETCH, TERMS).astype(np.float32)
+        sums = [np.ascontiguousarray(blocks[:, i : i + BLOCK]).tobytes() for i in range(0, TERMS, BLOCK)]
+        yield pa.RecordBatch.from_pydict({"block": list(range(TERMS // BLOCK)), "sums": sums})
 
     return run
 
@@ -105,14 +100,17 @@ def _add_up(batches):
 
 
 def latent_basis(texts: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """Weighted basis (TERMS x RANK): a text's place is the sum of the rows of its terms."""
+    """Weighted basis (RANK x TERMS): a text's place is the sum of the columns of its terms."""
     schema = "block long, sums binary"
     sums = texts.mapInArrow(_sketch(weights), schema).repartition(TERMS // BLOCK, "block").mapInArrow(_add_up, schema)
-    total = np.zeros((TERMS, RANK), np.float64)
+    total = np.zeros((SKETCH, TERMS))
     for block, raw in sums.collect():
-        total[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(raw, np.float32).reshape(BLOCK, RANK)
-    basis, _ = np.linalg.qr(total)
-    return (basis * weights[:, None]).astype(np.float32)
+        total[:, block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(raw, np.float32).reshape(SKETCH, BLOCK)
+    _, sizes, basis = np.linalg.svd(total, full_matrices=False)
+    sizes, basis = sizes[:RANK], basis[:RANK]
+    kept = sizes > 1e-3 * max(sizes[0], 1e-9)
+    basis = basis * np.where(kept, sizes.max() / np.maximum(sizes, 1e-9), 0.0)[:, None]
+    return (basis * weights[None, :]).astype(np.float32)
 
 
 class Items:
@@ -124,7 +122,7 @@ class Items:
             data, offsets = flat(pa.array([text], pa.string()))
             hashes, _, term = terms(data, offsets)
             for at in range(0, len(hashes), LONGEST):
-                own, places = hashes[at : at + LONGEST].tolist(), basis[term[at : at + LONGEST]].sum(0)
+                own, places = hashes[at : at + LONGEST].tolist(), basis[:, term[at : at + LONGEST]].sum(1)
                 if at and len(own) < LONGEST // 4 or not places.any():
                     continue  # a short rest of a long item, or common words only
                 masks: dict[int, int] = {}
@@ -132,9 +130,12 @@ class Items:
                     masks[w] = masks.get(w, 0) | 1 << i
                 rare = weights[term[at : at + LONGEST]]
                 answers = {own[i] for i in np.argsort(-rare, kind="stable")[: max(2, len(own) // 5)]}
-                window = next(w for w in WINDOWS if w >= 2 * len(own) or w == WINDOWS[-1])
-                self.by_window.setdefault(window, []).append((item_id, len(own), places / np.linalg.norm(places), masks, answers))
-        self.places = {w: np.stack([x[2] for x in found]).T.astype(np.float32) for w, found in self.by_window.items()}
+                rarer = {w for w, x in zip(own, rare.tolist(), strict=True) if x > 0}
+                # a copy has all but a fifth of the item's words, so at least so many of these
+                least = len(rarer) - (1 - SAME) * len(own)
+                window = next(w for w in WINDOWS if 2 * w >= 3 * len(own))
+                self.by_window.setdefault(window, []).append((item_id, len(own), places / np.linalg.norm(places), masks, answers, rarer, least))
+        self.places = {w: np.stack([x[2] for x in found]).astype(np.float32) for w, found in self.by_window.items()}
 
 
 def common_subsequence(masks: dict[int, int], n: int, other: list[int]) -> int:
@@ -149,16 +150,29 @@ def common_subsequence(masks: dict[int, int], n: int, other: list[int]) -> int:
 
 
 def windows_of(first: np.ndarray, last: np.ndarray, length: int):
-    """(text, begin, end) of windows of ``length`` words from each half length on; the last reaches the end."""
-    half = length // 2
-    counts = np.where(last > first, np.maximum(1, -(-(last - first) // half) - 1), 0)
+    """(text, begin, end) of windows of ``length`` units from each third of it on; the last reaches the end."""
+    step = length // 3
+    counts = np.where(last > first, np.maximum(1, -(-(last - first) // step) - 2), 0)
     text = np.repeat(np.arange(len(first)), counts)
-    begin = first[text] + half * (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
+    begin = first[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
     return text, begin, np.minimum(begin + length, last[text])
 
 
+def unit_sums(text: np.ndarray, term: np.ndarray, firsts: np.ndarray, ends: np.ndarray, rows: np.ndarray):
+    """Running sums of the rows of the terms, unit by unit, and where the units of each text begin."""
+    units = -(-(ends - firsts) // UNIT)
+    begins = np.concatenate([[0], np.cumsum(units)])
+    padded = np.full(begins[-1] * UNIT, TERMS)  # the row of TERMS is zero
+    padded[begins[text] * UNIT + np.arange(len(term)) - firsts[text]] = term
+    sums = np.zeros((rows.shape[1], begins[-1] + 1), np.float32)
+    blocks = np.take(rows, padded, axis=0).reshape(-1, UNIT, rows.shape[1]).sum(1)
+    np.cumsum(np.ascontiguousarray(blocks.T), axis=1, out=sums[:, 1:])
+    return sums, begins
+
+
 def _search(items: Items, basis: np.ndarray):
     def run(batches):
+        rows = np.concatenate([basis.T, np.zeros((1, len(basis)), np.float32)])
         for batch in batches:
             ids = batch.column(0)
             found = []
@@ -168,34 +182,36 @@ def _search(items: Items, basis: np.ndarray):
                     continue
                 ends = np.cumsum(np.bincount(text, minlength=len(offsets) - 1))
                 firsts = np.concatenate([[0], ends[:-1]])
-                kept = np.flatnonzero(basis[term].any(1))
-                upto = np.concatenate([[0], np.cumsum(np.bincount(kept, minlength=len(term)))])
-                sums = np.zeros((len(kept) + 1, RANK), np.float32)
-                np.cumsum(basis[term[kept]], axis=0, out=sums[1:])
+                sums, begins = unit_sums(text, term, firsts, ends, rows)
                 best: dict[tuple[int, int], tuple] = {}
                 for length, known in items.by_window.items():
-                    owner, begin, end = windows_of(firsts, ends, length)
+                    owner, begin, end = windows_of(begins[:-1], begins[1:], length // UNIT)
                     for cut in range(0, len(owner), 20000):
-                        b, e = begin[cut : cut + 20000], end[cut : cut + 20000]
-                        place = sums[upto[e]] - sums[upto[b]]
-                        size = np.sqrt(np.einsum("ij,ij->i", place, place))
-                        near = place @ items.places[length]
-                        hits = np.nonzero(near >= NEAR * np.maximum(size, 1e-6)[:, None])
-                        for i, j in zip(*(h.tolist() for h in hits), strict=True):
-                            item_id, n, _, masks, answers = known[j]
-                            doc, more = int(owner[cut + i]), n // 2
-                            span = hashes[max(firsts[doc], b[i] - more) : min(ends[doc], e[i] + more)].tolist()
+                        doc, b, e = owner[cut : cut + 20000], begin[cut : cut + 20000], end[cut : cut + 20000]
+                        place = np.take(sums, e, axis=1) - np.take(sums, b, axis=1)
+                        size = np.sqrt(np.einsum("ij,ij->j", place, place))
+                        near = items.places[length] @ place
+                        item, window = np.nonzero(near >= NEAR * np.maximum(size, 1e-6))
+                        at = firsts[doc[window]] + UNIT * (b[window] - begins[doc[window]])
+                        till = firsts[doc[window]] + UNIT * (e[window] - begins[doc[window]])
+                        cosine = near[item, window] / size[window]
+                        for j, d, a, z, c in zip(item.tolist(), doc[window].tolist(), at.tolist(), till.tolist(), cosine.tolist(), strict=True):
+                            item_id, n, _, masks, answers, rarer, least = known[j]
+                            span = hashes[max(firsts[d], a - n // 2) : min(ends[d], z + n // 2)].tolist()
+                            answered = len(answers.intersection(span)) / len(answers)
+                            if answered < ANSWERS and len(rarer.intersection(span)) < least:
+                                continue
                             share = common_subsequence(masks, n, span) / n
                             if share < PARAPHRASE:
                                 continue
-                            answered = len(answers.intersection(span)) / len(answers)
                             if share >= SAME or answered >= ANSWERS:
-                                row = share, answered, float(near[i, j] / size[i]), int(b[i] - firsts[doc])
-                                best[doc, item_id] = max(best.get((doc, item_id), row), row)
+                                row = share, answered, c, a - int(firsts[d])
+                                best[d, item_id] = max(best.get((d, item_id), row), row)
                 found += [(ids[base + doc].as_py(), item_id, *row) for (doc, item_id), row in best.items()]
             columns = list(zip(*found, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "subsequence", "answers", "cosine", "at_word"])
+            names = ["doc_id", "item_id", "subsequence", "answers", "cosine", "at_word"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
