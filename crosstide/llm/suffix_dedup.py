@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import _TABLE, flat, mix, pieces, small_batches
-from crosstide.session import materialize
+from crosstide.llm.common import _TABLE, dealt, discard, flat, materialize, mix, pieces, small_batches
 
 SPAN = 400  # bytes of a repeated string
 COVER = 256  # positions that share a sample at most; a power of two
@@ -136,15 +135,19 @@ def _string_rows(span: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 data, _ = flat(batch.column(1).slice(i, 1))
-                row = batch.column(0)[i].as_py()
-                for r in sorted(batch.column(2)[i].as_py(), key=lambda r: r["first"]):
-                    part = data[r["first"] : r["last"] + span]
-                    names = Names(part, span).full[: r["last"] - r["first"] + 1]
-                    at = np.arange(r["first"], r["last"] + 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names.view(np.int64)), pa.array(np.full(len(at), row)), pa.array(at), pa.array(np.full(len(at), r["single"]))],
-                        names=["string", "row", "at", "single"],
-                    )
+                ranges = sorted((r["first"], r["last"], r["single"]) for r in batch.column(2)[i].as_py())
+                row, found = batch.column(0)[i].as_py(), []
+                names, begin, end = None, 0, -1
+                for first, last, single in ranges:
+                    if last > end:  # the names of the next slice
+                        begin, end = first, min(len(data) - span, max(last, first + SLICE))
+                        names = Names(data[begin : end + span], span).full
+                    at = np.arange(first, last + 1)
+                    found.append((names[at - begin].view(np.int64), at, np.full(len(at), single)))
+                string, at, single = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(string), pa.array(np.full(len(at), row)), pa.array(at), pa.array(single)], names=["string", "row", "at", "single"]
+                )
 
     return run
 
@@ -181,25 +184,30 @@ def _remove(span: int):
 
 
 def repeated_ranges(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(row, first, last): strings beginning at first to last of a text occur elsewhere; from (row, text)."""
-    found = docs.mapInArrow(_sample_rows(span), "sample long, whole long, row long, first long, last long")
-    found = materialize(found, "samples")
-    shared = found.groupBy("sample").count().where("count > 1").select("sample")
-    found = materialize(found.join(materialize(shared, "shared"), "sample", "left_semi"), "repeated")
+    """(row, ranges of (first, last)): strings beginning at first to last of a text occur elsewhere; from (row, text)."""
+    every = materialize(docs.mapInArrow(_sample_rows(span), "sample long, whole long, row long, first long, last long"), "samples")
+    shared = materialize(every.groupBy("sample").count().where("count > 1").select("sample"), "shared")
+    found = materialize(every.join(dealt(shared), "sample", "left_semi"), "repeated")
+    discard(every)
     one = F.min(F.struct("row", "first", "last"))
     kinds = materialize(found.groupBy("sample", "whole").agg(F.count("*").alias("times"), one.alias("one")), "wholes")
-    same = found.join(kinds.where("times > 1").select("sample", "whole"), ["sample", "whole"], "left_semi").select("row", "first", "last")
+    same = found.join(dealt(kinds.where("times > 1").select("sample", "whole")), ["sample", "whole"], "left_semi").select("row", "first", "last")
+    same = materialize(same, "same")
+    discard(found)
 
     unsure = kinds.groupBy("sample").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
     asked = kinds.join(materialize(unsure.select("sample"), "unsure"), "sample", "left_semi").select("one.*", (F.col("times") == 1).alias("single"))
-    asked = asked.groupBy("row").agg(F.collect_list(F.struct("first", "last", "single")).alias("ranges"))
-    # one text is enough for rows that repeat
-    texts = docs.join(asked, "row").select("row", "text", "ranges")
-    strings = texts.mapInArrow(_string_rows(span), "string long, row long, at long, single boolean")
+    asked = materialize(asked.groupBy("row").agg(F.collect_list(F.struct("first", "last", "single")).alias("ranges")), "asked")
+    # a text that repeats whole gives its strings more than once, and rightly: each of them does occur again
+    strings = docs.join(dealt(asked), "row").select("row", "text", "ranges").mapInArrow(_string_rows(span), "string long, row long, at long, single boolean")
     strings = materialize(strings, "strings")
-    again = strings.groupBy("string").agg(F.count_distinct("row", "at").alias("places")).where("places > 1").select("string")
-    more = strings.where("single").join(materialize(again, "again"), "string", "left_semi").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
-    return same.union(more)
+    again = materialize(strings.groupBy("string").count().where("count > 1").select("string"), "again")
+    more = strings.where("single").join(dealt(again), "string", "left_semi").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
+    ranges = same.union(more).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = materialize(ranges, "ranges")
+    for table in (kinds, same, asked, strings, again):
+        discard(table)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -214,6 +222,5 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     ranges = repeated_ranges(docs.select("row", "text"), span)
-    ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    marked = docs.join(ranges, "row", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges")
+    marked = docs.join(dealt(ranges), "row", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges")
     return marked.mapInArrow(_remove(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
