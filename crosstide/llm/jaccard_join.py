@@ -36,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import mix, shingle_sets, signed, small_batches
-from crosstide.session import materialize
+from crosstide.llm.common import dealt, discard, materialize, mix, shingle_sets, signed, small_batches
 
 WHOLE = 64  # sets up to this size are routed by single tokens
 CELLS = 40  # groups of a larger set that route it
@@ -254,12 +253,13 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFra
     rows = materialize(texts.mapInArrow(_describe(percent, k), "doc_id long, n long, print long, cells array<long>"), "sets")
     # written first, so that the join below can split a large group of copies
     classes = materialize(rows.where("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
-    member = materialize(rows.select("doc_id", "n", "print").join(classes, ["print", "n"], "left"), "members")
+    member = materialize(rows.select("doc_id", "n", "print").join(dealt(classes), ["print", "n"], "left"), "members")
     heads = member.where("doc_id = node").select("node").distinct()
 
-    post = rows.where("n > 0").join(heads, F.col("doc_id") == F.col("node"), "left_semi").select(F.explode("cells").alias("cell"), F.col("doc_id").alias("node"))
+    post = rows.where("n > 0").join(dealt(heads), F.col("doc_id") == F.col("node"), "left_semi").select(F.explode("cells").alias("cell"), F.col("doc_id").alias("node"))
     lead = post.groupBy("cell").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("cell", "leader")
-    met = materialize(post.join(materialize(lead, "shared"), "cell"), "cells")
+    met = materialize(post.join(dealt(materialize(lead, "shared")), "cell"), "cells")
+    discard(rows)
     chosen = (
         met.where("node > leader")
         .groupBy("node", "leader")
@@ -269,20 +269,20 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFra
     )
     chosen = materialize(chosen, "leaders")
     busy = chosen.select("node").union(chosen.select("leader")).distinct()
-    sets = texts.join(busy, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(k), "node long, tokens array<long>, point binary")
+    sets = texts.join(dealt(busy), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(k), "node long, tokens array<long>, point binary")
     sets = materialize(sets, "tokens")
     links = materialize(verified(chosen.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, percent), "links")
     labels = components(links)
 
     # cells that still hold more than one component
-    named = met.select("cell", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = met.select("cell", "node").join(dealt(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low < high")
-    named = materialize(named.join(mixed.select("cell", "rows"), "cell"), "mixed")
+    named = materialize(named.join(dealt(mixed.select("cell", "rows")), "cell"), "mixed")
     pairs = materialize(remaining(named, sets.select("node", "point"), percent), "pairs")
     tried = chosen.select(F.col("leader").alias("a"), F.col("node").alias("b"))
     more = verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent)
     labels = components(links.union(more))
-    out = member.join(labels, "node", "left")
+    out = member.join(dealt(labels), "node", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")
     )
@@ -291,7 +291,7 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFra
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"), F.col("point").alias("point_a"))
     other = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"), F.col("point").alias("point_b"))
-    full = pairs.join(one, "a").join(other, "b").select("a", "b", "tokens_a", "point_a", "tokens_b", "point_b")
+    full = dealt(dealt(pairs).join(one, "a")).join(other, "b").select("a", "b", "tokens_a", "point_a", "tokens_b", "point_b")
     return full.mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -302,9 +302,9 @@ def remaining(named: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     is one block, with side 0 for a part against itself, 1 and 2 otherwise. A
     task call takes blocks of about 4 * BLOCK rows in all.
     """
-    dealt = named.withColumn("parts", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(points, "node")
-    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = named.withColumn("parts", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    spread = spread.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(dealt(points), "node")
+    placed = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x, y = F.least("part", "other"), F.greatest("part", "other")
     placed = placed.select(
         F.xxhash64("cell", x, y).alias("block"),
