@@ -12,14 +12,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import read
+from crosstide.llm.common import dealt, materialize, read
 from crosstide.llm.decontaminate import contaminated
 from crosstide.llm.jaccard_join import similar_documents
 from crosstide.llm.mixing import mix_sources
 from crosstide.llm.quality import score_quality
 from crosstide.llm.queries import vocabulary
 from crosstide.llm.token_files import token_documents
-from crosstide.session import materialize, shared_folder
+from crosstide.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,7 +35,7 @@ def _by_key(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return _keyed(docs).join(ids.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
+    return _keyed(docs).join(dealt(ids.select(F.col("doc_id").alias("key")).distinct()), "key", "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     taken = mix_sources(_by_key(docs)).groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    joined = _keyed(docs).join(taken, "key")
+    joined = _keyed(docs).join(dealt(taken), "key")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
