@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Terms are words (marks cut off, A-Z lowered) hashed into TERMS; their weight
-   is the inverse frequency over all documents, zero for terms that make up more
-   than one word in ``COMMON`` (they tell passages apart no better than chance).
+   is the inverse frequency over all documents. Terms that make up more than one
+   word in ``COMMON`` weigh less by the ratio of the two shares, but never
+   nothing: a text that is copied into many documents is made of such terms.
 2. Randomised SVD of the TF-IDF matrix of all passages: each passage is added
    with a random sign to one of SKETCH rows, so that every task has a random
    projection of its passages (SKETCH x TERMS, a fixed size); the projections are
@@ -12,7 +13,9 @@
 3. Items and windows of the documents are projected. A window is at least one
    and a half times as long as the items searched in it and begins at every third
    of its length, so that each place where an item can stand is inside some
-   window. Windows whose cosine with an item reaches NEAR are candidates.
+   window. Windows whose cosine with an item reaches NEAR are candidates, and so
+   is each place where a run of SHINGLE words of an item (all words of a shorter
+   one) stands, whatever the weights are.
 4. A candidate is confirmed by the longest common subsequence of words, as a
    share of the item: SAME or more is a copy; PARAPHRASE or more needs the
    answer check too, that is ANSWERS of the item's rarest words in the window.
@@ -34,6 +37,8 @@ from crosstide.llm.common import flat, mix, pieces, small_batches, words
 TERMS, SKETCH, RANK, BLOCK = 1 << 12, 144, 112, 128
 COMMON = 2000
 NEAR = 0.48
+SHINGLE, FLAGS = 5, 22  # words; bits of a hash in the first look-up
+HITS = 1 << 20  # shared runs of words looked at together
 UNIT = 4  # words that are added up before anything else; windows begin at every so many
 SAME, PARAPHRASE, ANSWERS = 0.8, 0.5, 0.8
 LONGEST = 96
@@ -64,8 +69,8 @@ def term_weights(texts: DataFrame) -> np.ndarray:
     for term, n in counted:
         times[term] = n
     total = max(times.sum(), 1)
-    weights = np.log(total / np.maximum(times, 1))
-    return np.where(times * COMMON > total, 0.0, weights).astype(np.float32)
+    share = np.maximum(times, 1) / total
+    return (np.log1p(1 / share) * np.minimum(1, 1 / (COMMON * share))).astype(np.float32)
 
 
 def _sketch(weights: np.ndarray):
@@ -113,28 +118,70 @@ def latent_basis(texts: DataFrame, weights: np.ndarray) -> np.ndarray:
     return (basis * weights[None, :]).astype(np.float32)
 
 
+def runs_of_words(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the ``k`` words from each word on, as far as there are so many."""
+    n = max(len(hashes) - k + 1, 0)
+    rolled = hashes[:n].copy()
+    for j in range(1, k):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n + j]
+    return mix(rolled)
+
+
+class Runs:
+    """Runs of ``k`` words of item passages: where each hash stands, as rows (window length, passage, word)."""
+
+    def __init__(self, k: int, hashes: np.ndarray, rows: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.k, self.rows = k, rows[order]
+        self.hashes, self.first, self.times = np.unique(hashes[order], return_index=True, return_counts=True)
+        self.flags = np.zeros(1 << FLAGS, bool)
+        self.flags[self.hashes >> np.uint64(64 - FLAGS)] = True
+
+    def found(self, hashes: np.ndarray, text: np.ndarray, ends: np.ndarray):
+        """Blocks (first word in the batch, row) of all runs of the texts that some passage has."""
+        rolled = runs_of_words(hashes, self.k)
+        at = np.flatnonzero(self.flags[rolled >> np.uint64(64 - FLAGS)])
+        at = at[at + self.k <= ends[text[at]]]
+        slot = np.minimum(np.searchsorted(self.hashes, rolled[at]), len(self.hashes) - 1)
+        same = self.hashes[slot] == rolled[at]
+        at, slot = at[same], slot[same]
+        upto = np.cumsum(self.times[slot])
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, side="right")))
+            n = self.times[slot[begin:end]]
+            rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(at[begin:end], n), self.rows[np.repeat(self.first[slot[begin:end]], n) + rank]
+            begin = end
+
+
 class Items:
-    """A block of item passages, ready for search: by window length their places, masks and answers."""
+    """A block of item passages, ready for search: by window length their places, masks and answers; runs of their words."""
 
     def __init__(self, rows: list[tuple[int, str | None]], basis: np.ndarray, weights: np.ndarray):
         self.by_window: dict[int, list] = {}
+        runs: dict[int, list] = {}
         for item_id, text in rows:
             data, offsets = flat(pa.array([text], pa.string()))
             hashes, _, term = terms(data, offsets)
             for at in range(0, len(hashes), LONGEST):
                 own, places = hashes[at : at + LONGEST].tolist(), basis[:, term[at : at + LONGEST]].sum(1)
-                if at and len(own) < LONGEST // 4 or not places.any():
-                    continue  # a short rest of a long item, or common words only
+                if at and len(own) < LONGEST // 4:
+                    continue  # a short rest of a long item
                 masks: dict[int, int] = {}
                 for i, w in enumerate(own):
                     masks[w] = masks.get(w, 0) | 1 << i
                 rare = weights[term[at : at + LONGEST]]
                 answers = {own[i] for i in np.argsort(-rare, kind="stable")[: max(2, len(own) // 5)]}
-                rarer = {w for w, x in zip(own, rare.tolist(), strict=True) if x > 0}
-                # a copy has all but a fifth of the item's words, so at least so many of these
-                least = len(rarer) - (1 - SAME) * len(own)
+                # a copy has all but a fifth of the item's words, so at least so many different ones
+                least = len(masks) - (1 - SAME) * len(own)
                 window = next(w for w in WINDOWS if 2 * w >= 3 * len(own))
-                self.by_window.setdefault(window, []).append((item_id, len(own), places / np.linalg.norm(places), masks, answers, rarer, least))
+                known = self.by_window.setdefault(window, [])
+                k = min(SHINGLE, len(own))
+                rolled = runs_of_words(hashes[at : at + LONGEST], k)
+                runs.setdefault(k, []).append((rolled, np.stack([np.full(len(rolled), window), np.full(len(rolled), len(known)), np.arange(len(rolled))], 1)))
+                known.append((item_id, len(own), places / max(np.linalg.norm(places), 1e-9), masks, answers, set(own), least))
+        self.runs = [Runs(k, np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])) for k, found in runs.items()]
         self.places = {w: np.stack([x[2] for x in found]).astype(np.float32) for w, found in self.by_window.items()}
 
 
@@ -184,6 +231,23 @@ def _search(items: Items, basis: np.ndarray):
                 firsts = np.concatenate([[0], ends[:-1]])
                 sums, begins = unit_sums(text, term, firsts, ends, rows)
                 best: dict[tuple[int, int], tuple] = {}
+
+                def confirm(length, item, doc, b, e, cosine):
+                    at = firsts[doc] + UNIT * (b - begins[doc])
+                    till = firsts[doc] + UNIT * (e - begins[doc])
+                    for j, d, a, z, c in zip(item.tolist(), doc.tolist(), at.tolist(), till.tolist(), cosine.tolist(), strict=True):
+                        item_id, n, _, masks, answers, own, least = items.by_window[length][j]
+                        span = hashes[max(firsts[d], a - n // 2) : min(ends[d], z + n // 2)].tolist()
+                        answered = len(answers.intersection(span)) / len(answers)
+                        if answered < ANSWERS and len(own.intersection(span)) < least:
+                            continue
+                        share = common_subsequence(masks, n, span) / n
+                        if share < PARAPHRASE:
+                            continue
+                        if share >= SAME or answered >= ANSWERS:
+                            row = share, answered, c, a - int(firsts[d])
+                            best[d, item_id] = max(best.get((d, item_id), row), row)
+
                 for length, known in items.by_window.items():
                     owner, begin, end = windows_of(begins[:-1], begins[1:], length // UNIT)
                     for cut in range(0, len(owner), 20000):
@@ -192,21 +256,22 @@ def _search(items: Items, basis: np.ndarray):
                         size = np.sqrt(np.einsum("ij,ij->j", place, place))
                         near = items.places[length] @ place
                         item, window = np.nonzero(near >= NEAR * np.maximum(size, 1e-6))
-                        at = firsts[doc[window]] + UNIT * (b[window] - begins[doc[window]])
-                        till = firsts[doc[window]] + UNIT * (e[window] - begins[doc[window]])
-                        cosine = near[item, window] / size[window]
-                        for j, d, a, z, c in zip(item.tolist(), doc[window].tolist(), at.tolist(), till.tolist(), cosine.tolist(), strict=True):
-                            item_id, n, _, masks, answers, rarer, least = known[j]
-                            span = hashes[max(firsts[d], a - n // 2) : min(ends[d], z + n // 2)].tolist()
-                            answered = len(answers.intersection(span)) / len(answers)
-                            if answered < ANSWERS and len(rarer.intersection(span)) < least:
-                                continue
-                            share = common_subsequence(masks, n, span) / n
-                            if share < PARAPHRASE:
-                                continue
-                            if share >= SAME or answered >= ANSWERS:
-                                row = share, answered, c, a - int(firsts[d])
-                                best[d, item_id] = max(best.get((d, item_id), row), row)
+                        confirm(length, item, doc[window], b[window], e[window], near[item, window] / size[window])
+                for runs in items.runs:
+                    for at, rows_found in runs.found(hashes, text, ends):
+                        doc = text[at]
+                        b = begins[doc] + np.maximum(at - firsts[doc] - rows_found[:, 2], 0) // UNIT
+                        # all runs of one copy point to the same window
+                        length, item, doc, b = np.unique(np.stack([rows_found[:, 0], rows_found[:, 1], doc, b]), axis=1)
+                        e = np.minimum(b + length // UNIT, begins[doc + 1])
+                        for one in np.unique(length).tolist():
+                            of = np.flatnonzero(length == one)
+                            for cut in range(0, len(of), 20000):
+                                some = of[cut : cut + 20000]
+                                place = np.take(sums, e[some], axis=1) - np.take(sums, b[some], axis=1)
+                                size = np.sqrt(np.einsum("ij,ij->j", place, place))
+                                cosine = np.einsum("ji,ij->j", items.places[one][item[some]], place) / np.maximum(size, 1e-6)
+                                confirm(one, item[some], doc[some], b[some], e[some], cosine)
                 found += [(ids[base + doc].as_py(), item_id, *row) for (doc, item_id), row in best.items()]
             columns = list(zip(*found, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -224,8 +289,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     doc_id, item_id, subsequence (share of the item's words in order), answers
     (share of its rarest words), cosine, at_word (where the best window begins).
-    Null and empty texts and items hold nothing and are found nowhere; items
-    with common words only cannot be told apart and are not searched. Rows that
+    Null and empty texts and items hold nothing and are found nowhere. Rows that
     repeat an id each give their rows; ids may be null. Other columns are not
     read. Empty tables give no rows.
     """

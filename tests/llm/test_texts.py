@@ -301,3 +301,18 @@ def test_decontamination(spark):
     assert {(i, k) for i, k in want if i % 8} <= got
     assert decontaminate.contaminated(docs(spark, rows), table.limit(0)).collect() == []
     assert decontaminate.contaminated(docs(spark, []), table).collect() == []
+
+
+def test_decontamination_of_copies_in_a_third_of_the_rows(spark):
+    rng = random.Random(17)
+
+    def prose(n):
+        return ["w" + str(rng.randint(0, 30_000)) for _ in range(n)]
+
+    item, leaked, short = prose(36), prose(120), ["the", "of", "and", "the"]
+    rows = [(i, " ".join(prose(100) + (leaked[:60] + item + leaked[60:] if i % 3 == 0 else ["the"] * 40) + prose(100))) for i in range(90)]
+    rows.append((500, " ".join(prose(50) + short + prose(50))))
+    table = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()}
+    assert {(i, 1) for i in range(0, 90, 3)} == {x for x in got if x[1] == 1}
+    assert (500, 2) in got
