@@ -4,6 +4,8 @@
    is the inverse frequency over all documents. Terms that make up more than one
    word in ``COMMON`` weigh less by the ratio of the two shares, but never
    nothing: a text that is copied into many documents is made of such terms.
+   A term counts once in REPEAT words of a text, so that a word repeated beside
+   an item does not outweigh it.
 2. Randomised SVD of the TF-IDF matrix of all passages: each passage is added
    with a random sign to one of SKETCH rows, so that every task has a random
    projection of its passages (SKETCH x TERMS, a fixed size); the projections are
@@ -39,6 +41,7 @@ COMMON = 2000
 NEAR = 0.48
 SHINGLE, FLAGS = 5, 22  # words; bits of a hash in the first look-up
 HITS = 1 << 20  # shared runs of words looked at together
+REPEAT = 16  # words of a text in which a term counts once
 UNIT = 4  # words that are added up before anything else; windows begin at every so many
 SAME, PARAPHRASE, ANSWERS = 0.8, 0.5, 0.8
 LONGEST = 96
@@ -53,6 +56,15 @@ def terms(data: np.ndarray, offsets: np.ndarray):
     return hashes, text, (hashes >> np.uint64(20)).astype(np.int64) % TERMS
 
 
+def first_of(term: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a word is the first with its term in its run of REPEAT words; ``at`` is its place in its text."""
+    key = np.cumsum(at % REPEAT == 0) * TERMS + term
+    first = np.ones(len(key), bool)
+    for j in range(1, REPEAT):
+        first[j:] &= key[j:] != key[:-j]
+    return first
+
+
 def _count(batches):
     total = np.zeros(TERMS, np.int64)
     for batch in batches:
@@ -82,12 +94,14 @@ def _sketch(weights: np.ndarray):
                 if not len(term):
                     continue
                 first = np.searchsorted(text, np.arange(len(offsets) - 1))
-                passage = np.cumsum((np.arange(len(term)) - first[text]) % PASSAGE == 0) - 1
-                squares = np.bincount(passage, weights[term] ** 2)
+                at = np.arange(len(term)) - first[text]
+                passage = np.cumsum(at % PASSAGE == 0) - 1
+                kept = np.where(first_of(term, at), weights[term], 0)
+                squares = np.bincount(passage, kept**2)
                 key = mix(np.add.reduceat(hashes, np.flatnonzero(np.diff(passage, prepend=-1))))  # alike on every run
                 signs = np.where(key & np.uint64(1), 1.0, -1.0) / np.sqrt(np.maximum(squares, 1e-9))
                 rows = ((key >> np.uint64(1)) % np.uint64(SKETCH)).astype(np.int64)
-                total += np.bincount(rows[passage] * TERMS + term, weights[term] * signs[passage], minlength=SKETCH * TERMS)
+                total += np.bincount(rows[passage] * TERMS + term, kept * signs[passage], minlength=SKETCH * TERMS)
         blocks = total.reshape(SKETCH, TERMS).astype(np.float32)
         sums = [np.ascontiguousarray(blocks[:, i : i + BLOCK]).tobytes() for i in range(0, TERMS, BLOCK)]
         yield pa.RecordBatch.from_pydict({"block": list(range(TERMS // BLOCK)), "sums": sums})
@@ -165,13 +179,14 @@ class Items:
             data, offsets = flat(pa.array([text], pa.string()))
             hashes, _, term = terms(data, offsets)
             for at in range(0, len(hashes), LONGEST):
-                own, places = hashes[at : at + LONGEST].tolist(), basis[:, term[at : at + LONGEST]].sum(1)
+                own, seen = hashes[at : at + LONGEST].tolist(), term[at : at + LONGEST]
+                places = basis[:, seen[first_of(seen, np.arange(len(seen)))]].sum(1)
                 if at and len(own) < LONGEST // 4:
                     continue  # a short rest of a long item
                 masks: dict[int, int] = {}
                 for i, w in enumerate(own):
                     masks[w] = masks.get(w, 0) | 1 << i
-                rare = weights[term[at : at + LONGEST]]
+                rare = weights[seen]
                 answers = {own[i] for i in np.argsort(-rare, kind="stable")[: max(2, len(own) // 5)]}
                 # a copy has all but a fifth of the item's words, so at least so many different ones
                 least = len(masks) - (1 - SAME) * len(own)
@@ -210,7 +225,8 @@ def unit_sums(text: np.ndarray, term: np.ndarray, firsts: np.ndarray, ends: np.n
     units = -(-(ends - firsts) // UNIT)
     begins = np.concatenate([[0], np.cumsum(units)])
     padded = np.full(begins[-1] * UNIT, TERMS)  # the row of TERMS is zero
-    padded[begins[text] * UNIT + np.arange(len(term)) - firsts[text]] = term
+    at = np.arange(len(term)) - firsts[text]
+    padded[begins[text] * UNIT + at] = np.where(first_of(term, at), term, TERMS)
     sums = np.zeros((rows.shape[1], begins[-1] + 1), np.float32)
     blocks = np.take(rows, padded, axis=0).reshape(-1, UNIT, rows.shape[1]).sum(1)
     np.cumsum(np.ascontiguousarray(blocks.T), axis=1, out=sums[:, 1:])

@@ -316,3 +316,22 @@ def test_decontamination_of_copies_in_a_third_of_the_rows(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()}
     assert {(i, 1) for i in range(0, 90, 3)} == {x for x in got if x[1] == 1}
     assert (500, 2) in got
+
+
+def test_decontamination_beside_repeated_words(spark):
+    rng = random.Random(23)
+
+    def prose(n):
+        return ["w" + str(rng.randint(0, 30_000)) for _ in range(n)]
+
+    items = [(k, prose(40)) for k in range(6)]
+    rows = []
+    for i in range(60):
+        words = list(items[i % 6][1])
+        words[3::5] = ["other" + str(rng.randint(0, 999)) for _ in words[3::5]]  # four words in a row stay at most
+        bar = ["bar" + str(i)] * 25
+        rows.append((i, " ".join(prose(100) + bar + words + bar + prose(100))))
+    rows += [(1000 + i, " ".join(prose(10_000))) for i in range(12)]  # so that no bar is a common word
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()}
+    assert {(i, i % 6) for i in range(60)} == got
