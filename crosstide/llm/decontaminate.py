@@ -175,7 +175,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], basis: np.ndarray, weights: np.ndarray):
         self.by_window: dict[int, list] = {}
         runs: dict[int, list] = {}
-        for item_id, text in rows:
+        for number, (item_id, text) in enumerate(rows):
             data, offsets = flat(pa.array([text], pa.string()))
             hashes, _, term = terms(data, offsets)
             for at in range(0, len(hashes), LONGEST):
@@ -195,7 +195,7 @@ class Items:
                 k = min(SHINGLE, len(own))
                 rolled = runs_of_words(hashes[at : at + LONGEST], k)
                 runs.setdefault(k, []).append((rolled, np.stack([np.full(len(rolled), window), np.full(len(rolled), len(known)), np.arange(len(rolled))], 1)))
-                known.append((item_id, len(own), places / max(np.linalg.norm(places), 1e-9), masks, answers, set(own), least))
+                known.append(((item_id, number if item_id is None else None), len(own), places / max(np.linalg.norm(places), 1e-9), masks, answers, set(own), least))
         self.runs = [Runs(k, np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])) for k, found in runs.items()]
         self.places = {w: np.stack([x[2] for x in found]).astype(np.float32) for w, found in self.by_window.items()}
 
@@ -246,7 +246,7 @@ def _search(items: Items, basis: np.ndarray):
                 ends = np.cumsum(np.bincount(text, minlength=len(offsets) - 1))
                 firsts = np.concatenate([[0], ends[:-1]])
                 sums, begins = unit_sums(text, term, firsts, ends, rows)
-                best: dict[tuple[int, int], tuple] = {}
+                best: dict[tuple[int, tuple], tuple] = {}
 
                 def confirm(length, item, doc, b, e, cosine):
                     at = firsts[doc] + UNIT * (b - begins[doc])
@@ -288,7 +288,7 @@ def _search(items: Items, basis: np.ndarray):
                                 size = np.sqrt(np.einsum("ij,ij->j", place, place))
                                 cosine = np.einsum("ji,ij->j", items.places[one][item[some]], place) / np.maximum(size, 1e-6)
                                 confirm(one, item[some], doc[some], b[some], e[some], cosine)
-                found += [(ids[base + doc].as_py(), item_id, *row) for (doc, item_id), row in best.items()]
+                found += [(ids[base + doc].as_py(), item_id, *row) for (doc, (item_id, _)), row in best.items()]
             columns = list(zip(*found, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             names = ["doc_id", "item_id", "subsequence", "answers", "cosine", "at_word"]
@@ -306,8 +306,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     doc_id, item_id, subsequence (share of the item's words in order), answers
     (share of its rarest words), cosine, at_word (where the best window begins).
     Null and empty texts and items hold nothing and are found nowhere. Rows that
-    repeat an id each give their rows; ids may be null. Other columns are not
-    read. Empty tables give no rows.
+    repeat an id each give their rows; ids may be null. Items without an id are
+    searched as items of their own and give rows with a null item_id. Other
+    columns are not read. Empty tables give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -315,7 +316,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     weights = term_weights(texts.select("text"))
     basis = latent_basis(texts.select("text"), weights)
     results, block = [], []
-    for row in items.select(F.col("item_id").cast("long"), "text").where("item_id is not null").toLocalIterator():
+    for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         block.append(tuple(row))
         if len(block) == ITEMS:
             results.append(texts.mapInArrow(_search(Items(block, basis, weights), basis), SCHEMA))

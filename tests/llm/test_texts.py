@@ -335,3 +335,12 @@ def test_decontamination_beside_repeated_words(spark):
     table = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()}
     assert {(i, i % 6) for i in range(60)} == got
+
+
+def test_decontamination_with_items_without_an_id(spark):
+    rng = random.Random(29)
+    items = [["w" + str(rng.randint(0, 30_000)) for _ in range(30)] for _ in range(3)]
+    rows = [(1, " ".join(items[0] + ["x"] * 3 + items[1])), (2, " ".join(items[2])), (3, "nothing of them")]
+    table = spark.createDataFrame([(None, " ".join(items[0])), (None, " ".join(items[1])), (7, " ".join(items[2]))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()]
+    assert sorted(got, key=str) == [(1, None), (1, None), (2, 7)]
