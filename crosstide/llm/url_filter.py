@@ -8,8 +8,10 @@ difference of its two log likelihoods for each byte reaches a threshold, which
 is set on a part of the ruled urls that did not teach the models: where the
 shares of wrong verdicts of both kinds are smallest together.
 
-Contexts are hashed into SLOTS a length, which bounds the tables that come to
-the driver and go out to the tasks, whatever the number of urls.
+Counts are exact: a gram, that is a context and the byte after it, is a number of
+ORDER + 1 bytes, and the counts, probabilities and log ratios of all grams are
+distributed tables that grow with the urls. Only the histogram of the threshold
+comes to the driver.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import materialize, mix, small_batches
+from crosstide.llm.common import dealt, discard, materialize, small_batches
 
-ORDER, SLOTS = 5, 1 << 16
+ORDER = 5
+UNIT = 1 << 32  # scores are added up in parts of this
 BINS, REACH = 2000, 4.0  # of the calibration histogram
 
 # Rules as (verdict, host, path).
@@ -54,66 +57,80 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _contexts(texts: list[str | None]):
-    """(text, and for each order the slots of context and context with next byte) of all bytes and ends."""
+def _grams(texts: list[str | None]):
+    """(text, ORDER bytes before and the byte itself as a number) of all bytes and ends."""
     padded = [b"\2" * ORDER + (t or "").encode() + b"\3" for t in texts]
-    data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(padded), np.uint8).astype(np.int64)
     sizes = np.array([len(p) for p in padded], np.int64)
     text = np.repeat(np.arange(len(padded)), sizes)
     at = np.flatnonzero(np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= ORDER)
-    slots = []
-    before = np.zeros(len(at), np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            before = before * np.uint64(257) + data[at - order] + np.uint64(1)
-        context = mix(before + np.uint64(order))
-        both = mix(context + data[at] * np.uint64(0x9E3779B97F4A7C15))
-        slots.append(((context % np.uint64(SLOTS)).astype(np.int64), (both % np.uint64(SLOTS)).astype(np.int64)))
-    return text[at], slots
+    gram = np.zeros(len(at), np.int64)
+    for order in range(ORDER, -1, -1):
+        gram = gram << 8 | data[at - order]
+    return text[at], gram
 
 
 def _counted(batches):
-    """Rows (verdict 0 or 1, text) to counts (side, order, context, both, times)."""
+    """Rows (row, side, text) to the grams of each batch and how often they stand in texts of side 0 and 1."""
     for batch in batches:
-        side = batch.column(0).to_numpy()
-        text, slots = _contexts(batch.column(1).to_pylist())
-        for order, (context, both) in enumerate(slots):
-            key, times = np.unique((side[text] * SLOTS + context) * SLOTS + both, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"side": key // (SLOTS * SLOTS), "order": np.full(len(key), order), "context": key // SLOTS % SLOTS, "both": key % SLOTS, "times": times})
-
-
-class Models:
-    """Tables of both models: continuations, totals and kinds by side and order."""
-
-    def __init__(self, both, total, kinds):
-        self.both, self.total, self.kinds = both, total, kinds
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """log P(accepted) - log P(rejected) for each byte."""
-        text, slots = _contexts(texts)
-        logs = []
-        for side in (0, 1):
-            p = np.full(len(text), 1 / 257)
-            for order, (context, both) in enumerate(slots):
-                seen, new = self.total[side, order][context], self.kinds[side, order][context]
-                p = np.where(seen > 0, (self.both[side, order][both] + new * p) / np.maximum(seen + new, 1), p)
-            logs.append(np.log(p))
-        sums = np.bincount(text, logs[1] - logs[0], minlength=len(texts))
-        return sums / np.maximum(np.bincount(text, minlength=len(texts)), 1)
-
-
-def learn(ruled: DataFrame) -> Models:
-    """Models from rows (side, text), side 1 for accepted; at most 2 * (ORDER + 1) * SLOTS sums of each kind come back."""
-    schema = "side long, order long, context long, both long, times long"
-    counted = ruled.mapInArrow(_counted, schema).groupBy("side", "order", "context", "both").agg(F.sum("times").alias("times"))
-    counted = materialize(counted, "continuations")
-    shape = 2, ORDER + 1, SLOTS
-    tables = [np.zeros(shape, np.float32) for _ in range(3)]
-    for side, order, slot, times in counted.groupBy("side", "order", "both").agg(F.sum("times")).toLocalIterator():
-        tables[0][side, order, slot] = times
-    for side, order, slot, times, kinds in counted.groupBy("side", "order", "context").agg(F.sum("times"), F.count("*")).toLocalIterator():
-        tables[1][side, order, slot], tables[2][side, order, slot] = times, kinds
-    return Models(*tables)
+        side = batch.column(1).fill_null(2).to_numpy()
+        text, gram = _grams(batch.column(2).to_pylist())
+        key, times = np.unique(gram << 2 | side[text], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"gram": key >> 2, "n0": np.where(key & 3 == 0, times, 0), "n1": np.where(key & 3 == 1, times, 0)})
+
+
+def _places(batches):
+    """Rows (row, side, text) to one row (row, gram, times) for each different gram of a text."""
+    for batch in batches:
+        row = batch.column(0).to_numpy()
+        text, gram = _grams(batch.column(2).to_pylist())
+        order = np.lexsort((gram, text))
+        text, gram = text[order], gram[order]
+        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])])[: len(text)])
+        yield pa.RecordBatch.from_pydict({"row": row[text[first]], "gram": gram[first], "times": np.diff(first, append=len(text))})
+
+
+def learn(taught: DataFrame) -> DataFrame:
+    """log P(accepted) - log P(rejected) of the last byte of each gram in rows (row, side, text), as (gram, gain).
+
+    Side 1 teaches the model of accepted urls, side 0 that of rejected ones, null
+    teaches none. A gram of one order has at most 256 grams of the next below it
+    in each join, so that no key is heavy.
+    """
+    counted = taught.mapInArrow(_counted, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    levels = [materialize(counted, "grams")]
+    for order in range(ORDER - 1, -1, -1):
+        shorter = levels[-1].groupBy(F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("gram"))
+        levels.append(materialize(shorter.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams"))
+    known = None
+    for order, level in enumerate(reversed(levels)):
+        context = F.shiftright("gram", 8)
+        totals = [F.sum(f"n{s}").alias(f"t{s}") for s in (0, 1)]
+        kinds = [F.count(F.when(F.col(f"n{s}") > 0, 1)).alias(f"k{s}") for s in (0, 1)]
+        contexts = level.groupBy(context.alias("context")).agg(*totals, *kinds)
+        found = level.withColumn("context", context).join(dealt(contexts), "context")
+        if known is None:
+            found = found.select("*", *[F.lit(1 / 257).alias(f"p{s}") for s in (0, 1)])
+        else:
+            shorter = F.col("gram").bitwiseAND((1 << 8 * order) - 1)
+            found = found.withColumn("shorter", shorter).join(dealt(known.withColumnRenamed("gram", "shorter")), "shorter")
+        p = [F.when(F.col(f"t{s}") > 0, (F.col(f"n{s}") + F.col(f"k{s}") * F.col(f"p{s}")) / (F.col(f"t{s}") + F.col(f"k{s}"))).otherwise(F.col(f"p{s}")).alias(f"p{s}") for s in (0, 1)]
+        before, known = known, materialize(found.select("gram", *p), "probabilities")
+        for table in (level, before):
+            if table is not None:
+                discard(table)
+    return known.select("gram", (F.log("p1") - F.log("p0")).alias("gain"))
+
+
+def scores(urls: DataFrame, gains: DataFrame) -> DataFrame:
+    """(row, score): mean gain for each byte and the end of the text of each row.
+
+    Gains are added up as whole multiples of 1 / UNIT, so that equal texts have equal scores.
+    """
+    places = urls.mapInArrow(_places, "row long, gram long, times long")
+    each = places.join(dealt(gains), "gram").select("row", "times", F.round(F.col("gain") * UNIT).cast("long").alias("gain"))
+    sums = each.groupBy("row").agg(F.sum(F.col("gain") * F.col("times")).alias("gain"), F.sum("times").alias("n"))
+    return sums.select("row", (F.col("gain") / F.col("n") / UNIT).alias("score"))
 
 
 def threshold(histogram: dict[tuple[int, int], int]) -> float:
@@ -127,14 +144,6 @@ def threshold(histogram: dict[tuple[int, int], int]) -> float:
     return float((best[0] + best[-1]) / 2 * 2 * REACH / BINS - REACH)
 
 
-def _scored(models: Models):
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(models.scores(batch.column(batch.num_columns - 1).to_pylist()))], names=[*batch.schema.names[:-1], "score"])
-
-    return run
-
-
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule, verdict, score.
 
@@ -148,12 +157,16 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_columns(rules)
     parts = with_parts(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"))
     parts = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("text"))
-    known = parts.where("ruled is not null").select(F.when(F.col("ruled") == "allow", 1).otherwise(0).cast("long").alias("side"), "text")
+    parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "urls")
     apart = F.crc32(F.col("text").cast("binary")) % 4 == 0
-    models = learn(known.where(~apart))
-    tried = known.where(apart).mapInArrow(_scored(models), "side long, score double")
+    side = F.when(F.col("ruled") == "allow", 1).when(F.col("ruled").isNotNull(), 0).cast("long")
+    gains = learn(parts.select("row", F.when(~apart, side).alias("side"), "text"))
+    found = scores(parts.select("row", side.alias("side"), "text"), gains)
+    judged = materialize(parts.join(dealt(found), "row"), "scored")
+    discard(gains)
+    discard(parts)
     place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + REACH) * BINS / (2 * REACH)))).cast("int")
-    cut = threshold({(side, b): n for side, b, n in tried.groupBy("side", place.alias("bin")).count().collect()})
-    judged = parts.mapInArrow(_scored(models), "page_id long, host string, path string, rule string, ruled string, score double")
+    tried = judged.where(apart & F.col("ruled").isNotNull()).groupBy(side.alias("side"), place.alias("bin")).count()
+    cut = threshold({(side, b): n for side, b, n in tried.collect()})
     own = F.when(F.col("score") >= cut, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")

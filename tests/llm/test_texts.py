@@ -344,3 +344,40 @@ def test_decontamination_with_items_without_an_id(spark):
     table = spark.createDataFrame([(None, " ".join(items[0])), (None, " ".join(items[1])), (7, " ".join(items[2]))], "item_id long, text string")
     got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()]
     assert sorted(got, key=str) == [(1, None), (1, None), (2, 7)]
+
+
+def plain_url_scores(ruled, asked):
+    """Witten-Bell models of ``ruled`` (side, text), exact counts in dictionaries."""
+    counts = [{}, {}]
+    for side, text in ruled:
+        data = b"\2" * url_filter.ORDER + text.encode() + b"\3"
+        for at in range(url_filter.ORDER, len(data)):
+            for order in range(url_filter.ORDER + 1):
+                after = counts[side].setdefault(data[at - order : at], {})
+                after[data[at]] = after.get(data[at], 0) + 1
+    for text in asked:
+        data = b"\2" * url_filter.ORDER + text.encode() + b"\3"
+        total = 0.0
+        for at in range(url_filter.ORDER, len(data)):
+            for side, sign in ((0, -1), (1, 1)):
+                p = 1 / 257
+                for order in range(url_filter.ORDER + 1):
+                    after = counts[side].get(data[at - order : at])
+                    if after:
+                        p = (after.get(data[at], 0) + len(after) * p) / (sum(after.values()) + len(after))
+                total += sign * math.log(p)
+        yield total / (len(data) - url_filter.ORDER)
+
+
+def test_url_models_keep_every_context_apart(spark):
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-é"
+    urls = [f"http://{rng.choice(['a.net', 'b.example.net', 'example.com', 'c.org', 'other.xyz'])}/{rng.choice(['en', 'de', 'fr'])}/" + "".join(rng.choices(letters, k=60)) for _ in range(4000)]
+    urls += [urls[0], None, "no url"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(url_filter.judge_urls(table).collect())
+    rules = {h + p: int(v == "allow") for v, h, p in url_filter.RULES}
+    ruled = [(rules[r.rule], r.host + r.path) for r in got if r.rule and zlib.crc32((r.host + r.path).encode()) % 4]
+    want = list(plain_url_scores(ruled, [r.host + r.path for r in got]))
+    assert len(got) == len(urls) and np.allclose([r.score for r in got], want, atol=1e-8)
+    assert got[0].score == got[4000].score
