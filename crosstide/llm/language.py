@@ -157,13 +157,15 @@ def has_letters(column: str) -> Column:
 def learn(taught: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (text, lang); at most ``sample`` texts of a language come to the driver."""
     idf = inverse_frequencies(taught.select("text"))
-    # one row a language comes to the driver, as the model does anyway
-    sizes = {language: n for language, n in taught.groupBy("lang").count().collect()}
+    # different texts of each language; one row a language comes to the driver, as the model does anyway
+    different = taught.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    sizes = {language: n for language, n in different.groupBy("lang").count().collect()}
     if not sizes:
         return Model(idf, {})
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
     size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang"))
-    drawn = taught.where(draw * size < 2.0 * sample).select("lang", "text", draw.alias("draw")).distinct()
+    # so many more are drawn that fewer than ``sample`` of a larger language are as good as impossible
+    drawn = taught.where(draw * size < 2.0 * sample + 60).select("lang", "text", draw.alias("draw")).distinct()
     chosen: dict[str, list] = {}
     for language, text, at in drawn.toLocalIterator():
         chosen.setdefault(language, []).append((at, text))

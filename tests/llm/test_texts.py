@@ -381,3 +381,21 @@ def test_url_models_keep_every_context_apart(spark):
     want = list(plain_url_scores(ruled, [r.host + r.path for r in got]))
     assert len(got) == len(urls) and np.allclose([r.score for r in got], want, atol=1e-8)
     assert got[0].score == got[4000].score
+
+
+def test_language_sample_of_a_language_of_copies(spark):
+    rng = random.Random(37)
+    texts = [f"{i} " + invented(rng, ["ka", "lo", "mi", "tu"], 10) for i in range(300)]
+    few = [invented(rng, ["sch", "ein", "ung"], 10) for _ in range(2)]
+    rows = [(t, "aa") for t in texts + texts[:1] * 20_000] + [(t, "bb") for t in few * 1500]
+    seen = {}
+
+    class Seen(language.Model):
+        def __init__(self, idf, sample, *rest):
+            seen.update(sample)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language, "Model", Seen)
+        language.learn(spark.createDataFrame(rows, "text string, lang string"), 200)
+    assert len(set(seen["aa"])) == len(seen["aa"]) == 200
+    assert sorted(seen["bb"]) == sorted(few)
