@@ -38,19 +38,40 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _keyed(docs).join(dealt(ids.select(F.col("doc_id").alias("key")).distinct()), "key", "left_anti").select(*COLUMNS)
 
 
+def _by_row(docs: DataFrame) -> DataFrame:
+    """Rows go by a number made from id and text: alike for repeated rows only."""
+    return docs.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), "text"))
+
+
+def _as_ids(rows: DataFrame) -> DataFrame:
+    return rows.drop("doc_id").withColumnRenamed("key", "doc_id")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not predict to be of low quality."""
     return _without(docs, score_quality(_by_key(docs), read(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents."""
-    return _without(docs, similar_documents(_by_key(docs)).where("doc_id <> component_id"))
+    """The document with the smallest id of each group of linked documents, once.
+
+    Of rows that repeat id and text one is kept; rows without an id come after
+    all others of their group, and those with the same text are such rows too.
+    """
+    rows = _by_row(docs)
+    groups = similar_documents(_as_ids(rows)).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = rows.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    kept = ids.join(dealt(groups), "key").groupBy("component_id").agg(F.min(place).alias("first")).select("first.key")
+    once = rows.groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return once.join(dealt(materialize(kept, "kept")), "key").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    return _without(docs, materialize(contaminated(_by_key(docs), read(spark, sf_dir, "benchmark")), "contaminated"))
+    rows = _by_row(docs)
+    found = materialize(contaminated(_as_ids(rows), read(spark, sf_dir, "benchmark")), "contaminated")
+    return rows.join(dealt(found.select(F.col("doc_id").alias("key")).distinct()), "key", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

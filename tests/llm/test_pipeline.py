@@ -37,3 +37,16 @@ def test_rows_without_an_id_and_empty_tables(spark):
     assert corpus_pipeline.quality(spark, odd, SF).where("doc_id is null").count() <= 2
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_repeated_rows_and_ids_with_two_texts(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (None, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (4, text("e")), (None, text("e")), (5, ""), (5, ""), (6, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, text("a")), (None, text("b")), (2, text("c")), (3, text("d")), (4, text("e")), (5, ""), (6, ""), (7, None)], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 150").first().text
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, text("a")), (1, item + " " + text("b"))]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.text for r in corpus_pipeline.decontamination(spark, docs, SF).collect()] == [text("a")]
