@@ -61,6 +61,9 @@ def counts(column: pa.Array):
 
 def scaled(block: np.ndarray, idf: np.ndarray) -> np.ndarray:
     out = _LOG[np.minimum(block, len(_LOG) - 1)]
+    above = block >= len(_LOG)
+    if above.any():
+        out[above] = np.log1p(block[above])
     out *= idf
     out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-12)[:, None]
     return out

@@ -399,3 +399,11 @@ def test_language_sample_of_a_language_of_copies(spark):
         language.learn(spark.createDataFrame(rows, "text string, lang string"), 200)
     assert len(set(seen["aa"])) == len(seen["aa"]) == 200
     assert sorted(seen["bb"]) == sorted(few)
+
+
+def test_counts_above_the_table_of_logarithms():
+    block = np.zeros((2, language.DIMS), np.int64)
+    block[0, :3], block[1, :3] = (4095, 50_000, 7), (1, 2, 3)
+    idf = np.ones(language.DIMS, np.float32)
+    want = np.log1p(block) / np.linalg.norm(np.log1p(block), axis=1)[:, None]
+    assert np.allclose(language.scaled(block, idf), want, atol=1e-6)
