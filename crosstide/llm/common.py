@@ -64,9 +64,9 @@ def dealt(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
-def held_out(id_column: str = "doc_id") -> Column:
-    """True where crc32 of the id as text leaves remainder 2 when divided by 4."""
-    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+def held_out(id_column: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
+    """True where crc32 of the id as text leaves remainder ``fold`` when divided by ``folds``."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +124,18 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: st
     return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(offsets, starts, side="right") - 1, starts
 
 
+def running_sums(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Sums from which ``span_hashes`` takes the hash of any span of ``data``."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLDED if lower else _TABLE)[data] * powers(_BASE, len(data))[: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: equal strings have equal hashes wherever they stand."""
+    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its ``k``-word runs.
 

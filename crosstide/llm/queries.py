@@ -15,6 +15,7 @@ from crosstide.llm.pii import personal_data_digest
 from crosstide.llm.quality import score_quality
 from crosstide.llm.suffix_dedup import remove_repeats
 from crosstide.llm.token_files import token_documents
+from crosstide.llm.toxicity import score_toxicity
 from crosstide.llm.url_filter import judge_urls
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,6 +116,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -126,6 +131,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES = {
     "op8_source_mixing": OP8_SQL,
