@@ -11,6 +11,7 @@ from crosstide.llm.jaccard_join import similar_documents
 from crosstide.llm.language import identify_languages
 from crosstide.llm.mixing import mix_sources
 from crosstide.llm.neighbours import search
+from crosstide.llm.phrases import mine_phrases
 from crosstide.llm.pii import personal_data_digest
 from crosstide.llm.quality import score_quality
 from crosstide.llm.suffix_dedup import remove_repeats
@@ -116,6 +117,39 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+g AS (
+  SELECT lang, 1 AS size, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i+1], ' '))) FROM w WHERE len(ws) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) FROM w WHERE len(ws) > 2),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (
+  SELECT c.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k+1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, part, max(f) AS over FROM (
+    SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part
+    FROM f WHERE size = 3) GROUP BY 1, 2),
+r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN o ON o.lang = b.lang AND o.part = b.phrase WHERE o.over IS NULL OR 100 * o.over < 50 * a)
+SELECT r.lang, rank, phrase, a, l, r.r AS r, t.n::BIGINT AS n, score::BIGINT AS score FROM r JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -131,9 +165,11 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_toxicity": op13_toxicity,
 }
 ORACLES = {
     "op8_source_mixing": OP8_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
+    "op12_phrase_mining": OP12_SQL,
 }
