@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.llm.common import read
+from crosstide.llm.conversations import repair_conversations
 from crosstide.llm.decontaminate import contaminated
 from crosstide.llm.jaccard_join import similar_documents
 from crosstide.llm.language import identify_languages
@@ -117,6 +118,66 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+def _edited(state: str, after: dict[str, str]) -> str:
+    """Least (cost, edits, lines) before row m that does not begin with an insert."""
+    keeps = "".join(
+        f", CASE WHEN fault NOT IN (1, 2) AND left(role, 1) = '{i}' THEN {{'c': {to}.c + (fault = 3)::BIGINT, 'a': 'K' || {to}.a, 't': list_prepend(role || ':' || text, {to}.t)}} END"
+        for i, to in after.items()
+    )
+    role, to = ("assistant", after["a"]) if "a" in after else ("user", after["u"])
+    return (
+        f"list_min(list_filter([{{'c': {state}.c + 3, 'a': 'D' || {state}.a, 't': {state}.t}}{keeps}, "
+        f"CASE WHEN fault NOT IN (1, 2) THEN {{'c': {to}.c + 2 + (fault = 3)::BIGINT, 'a': 'R' || {to}.a, 't': list_prepend('{role}:' || text, {to}.t)}} END], lambda x: x IS NOT NULL))"
+    )
+
+
+def _inserted(own: str, to: str, role: str) -> str:
+    return f"list_min([{own}, {{'c': {to}.c + 2, 'a': 'I' || {to}.a, 't': list_prepend('{role}:', {to}.t)}}])"
+
+
+CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(name, ''), lambda ch: ascii(ch)::BIGINT)), " \
+    "lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT)"
+OP11_SQL = rf"""
+WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+k AS (SELECT *, {CRC32} % 20 AS kind FROM x),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM d),
+f AS (
+  SELECT conv_id, turn, role, text, i, count(*) OVER (PARTITION BY conv_id) AS n,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault FROM o),
+w AS (
+  SELECT conv_id, n + 1 AS m, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s, {{'c': 4::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS p,
+    {{'c': 2::BIGINT, 'a': 'I', 't': ['assistant:']}} AS u, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS a
+  FROM (SELECT DISTINCT conv_id, n FROM f)
+  UNION ALL
+  SELECT conv_id, m, {_inserted("s", "u2", "user")}, {_inserted("p", "u2", "user")}, u2, a2 FROM (
+    SELECT *, {_inserted("u", "a", "assistant")} AS u2, {_inserted("a", "u", "user")} AS a2 FROM (
+      SELECT w.conv_id, m - 1 AS m, {_edited("s", {"s": "p", "u": "u"})} AS s, {_edited("p", {"u": "u"})} AS p,
+        {_edited("u", {"a": "a"})} AS u, {_edited("a", {"u": "u"})} AS a
+      FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.m - 1))),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.s.c, 0)::BIGINT AS cost, coalesce(w.s.a, '') AS audit,
+  sha256(coalesce(array_to_string(w.s.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.m = 1
+"""
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(read(spark, sf_dir, "documents"))
 
@@ -165,11 +226,13 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_phrase_mining": op12_phrase_mining,
     "op13_toxicity": op13_toxicity,
 }
 ORACLES = {
     "op8_source_mixing": OP8_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_phrase_mining": OP12_SQL,
 }
