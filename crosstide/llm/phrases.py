@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from crosstide.llm.common import dealt, discard, materialize, mix, running_sums, small_batches, span_hashes
 
-CHUNK = 8 << 20  # bytes of text in a chunk; one longer text is a chunk of its own
-SEGMENT = 4 << 20  # bytes of a chunk that are taken apart at a time
+CHUNK = 4 << 20  # bytes of text in a chunk; one longer text is a chunk of its own
+SEGMENT = 2 << 20  # bytes of a chunk that are taken apart at a time
 MASS = 1 << 25  # occurrences in a hash partition
 BATCH = 1 << 15  # candidates of a language ranked together
 
@@ -175,32 +175,22 @@ def _cut(hashes: np.ndarray, parts: int):
     return [(p, edges[p], edges[p + 1]) for p in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _masses(parts: int, longest: int):
-    def run(batches):
-        total = np.zeros(parts, np.int64)
-        for batch in batches:
-            for lang, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes, counts = hash_counts(body.as_buffer().to_pybytes(), lang, longest)
-                total += np.bincount(part_of(hashes, parts), counts, parts).astype(np.int64)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["part", "mass"])
-
-    return run
-
-
 def _hashed(parts: int, longest: int, counted: bool):
-    """Chunks (chunk, lang, body) to one row (part, chunk, entries) for each hash partition."""
+    """Chunks (chunk, lang, body) to one row (part, chunk, entries) for each hash partition.
+
+    With counts, a row with chunk -1 brings the mass of the chunk in the partition.
+    """
 
     def run(batches):
         for batch in batches:
             for chunk, lang, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 hashes, counts = hash_counts(body.as_buffer().to_pybytes(), lang, longest)
                 cuts = _cut(hashes, parts)
-                entries = [packed(hashes[a:b], counts[a:b] if counted else None) for _, a, b in cuts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _, _ in cuts], pa.int64()), pa.array([chunk] * len(cuts), pa.int64()), pa.array(entries, pa.binary())],
-                    names=["part", "chunk", "entries"],
-                )
+                rows = [(p, chunk, packed(hashes[a:b], counts[a:b] if counted else None)) for p, a, b in cuts]
+                if counted:
+                    rows += [(p, -1, int(counts[a:b].sum()).to_bytes(8, "little")) for p, a, b in cuts]
+                columns = [pa.array([row[k] for row in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "entries"])
 
     return run
 
@@ -235,8 +225,8 @@ class Summary:
         return self.hashes[self.counts + self.lost >= self.threshold]
 
 
-def _summarise(masses: dict[int, int], threshold: int):
-    """Rows (part, entries) in order of part to one row (part, survivors) each."""
+def _summarise(threshold: int):
+    """Rows (part, chunk, entries) in order of part, masses (chunk -1) first, to one row of survivors for each part."""
 
     def run(batches):
         def row():
@@ -245,13 +235,17 @@ def _summarise(masses: dict[int, int], threshold: int):
                 [pa.array([current], pa.int64()), pa.array([-1], pa.int64()), pa.array([packed(kept)], pa.binary())], names=["part", "chunk", "entries"]
             )
 
-        current, summary = None, None
+        current, mass, summary = None, 0, None
         for batch in batches:
-            for part, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, chunk, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if part != current:
                     if summary:
                         yield row()
-                    current, summary = part, Summary(masses[part], threshold)
+                    current, mass, summary = part, 0, None
+                if chunk < 0:
+                    mass += int.from_bytes(entries.as_py(), "little")
+                    continue
+                summary = summary or Summary(mass, threshold)
                 summary.add(*unpacked(entries.as_buffer().to_pybytes()))
         if summary:
             yield row()
@@ -321,12 +315,9 @@ def frequent_phrases(chunks: DataFrame, threshold: int, longest: int = 3) -> Dat
     """(lang, size, phrase, f) of every phrase with f >= threshold, f being exact."""
     words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     parts = max(64, longest * words // MASS)
-    masses = chunks.select("lang", "body").mapInArrow(_masses(parts, longest), "part long, mass long").groupBy("part").agg(F.sum("mass").alias("mass"))
-    masses = {r.part: r.mass for r in masses.collect()}  # one number for each hash partition
-
     bodies, hashed = chunks.select("chunk", "lang", "body"), "part long, chunk long, entries binary"
-    own = bodies.mapInArrow(_hashed(parts, longest, True), hashed).select("part", "entries")
-    survivors = own.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_summarise(masses, threshold), hashed)
+    own = bodies.mapInArrow(_hashed(parts, longest, True), hashed)
+    survivors = own.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_summarise(threshold), hashed)
     survivors = materialize(survivors, "survivors")
 
     own = bodies.mapInArrow(_hashed(parts, longest, False), hashed).unionByName(survivors)
