@@ -13,14 +13,16 @@ size band, and enters the cells of ``CELLS`` of its groups: a cell is a group
 with equal content. Sets near the upper end of a band also enter the cells of
 the next, so every linked pair meets in a common band. A linked pair differs in
 at most a ninth of its tokens, so each of its groups agrees with a chance above
-0.4 whatever the texts are, and the chance that none of 40 agrees is below 2e-9.
+0.4 whatever the texts are, and the chance that none of 40 agrees is below 2e-9 (0.6^40).
 A set of at most 1.25 * WHOLE tokens enters one cell for each token of its
 smallest n - ceil(0.8 n) + 1 hashes; two linked sets always share one of these.
 
 1. Documents with the same set are one node, named by its smallest id.
-2. In each cell the smallest node leads. A node is verified against the leader
-   it meets most often, after the bound of their points. A large group of near
-   copies costs one comparison for each copy, not one for each pair.
+2. In each cell the most central node leads: the one whose cells hold the most
+   nodes in all, as the text has that others were copied from. A node is verified
+   against the leader it meets most often, after the bound of their points. A
+   large group of near copies costs one comparison for each copy, not one for
+   each pair, whatever the ids are.
 3. In cells where nodes of more than one component remain, an R-tree over the
    points joins each with the nodes of other components; cells of any size are
    dealt out in blocks of ``BLOCK`` points, all pairs of blocks included.
@@ -257,21 +259,25 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFra
     heads = member.where("doc_id = node").select("node").distinct()
 
     post = rows.where("n > 0").join(dealt(heads), F.col("doc_id") == F.col("node"), "left_semi").select(F.explode("cells").alias("cell"), F.col("doc_id").alias("node"))
-    lead = post.groupBy("cell").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("cell", "leader")
-    met = materialize(post.join(dealt(materialize(lead, "shared")), "cell"), "cells")
+    shared = post.groupBy("cell").agg(F.count("*").alias("held"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    met = materialize(post.join(dealt(materialize(shared.select("cell", "held"), "shared")), "cell"), "cells")
     discard(rows)
+    central = materialize(met.groupBy("node").agg(F.sum("held").alias("weight")), "weights")
+    lead = met.join(dealt(central), "node").groupBy("cell").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"))
     chosen = (
-        met.where("node > leader")
+        met.join(dealt(materialize(lead, "lead")), "cell")
+        .where("node <> leader")
         .groupBy("node", "leader")
         .count()
         .groupBy("node")
         .agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
     )
     chosen = materialize(chosen, "leaders")
+    tried = chosen.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     busy = chosen.select("node").union(chosen.select("leader")).distinct()
-    sets = texts.join(dealt(busy), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(k), "node long, tokens array<long>, point binary")
+    sets = texts.join(dealt(busy), F.col("doc_id") == F.col("node"), "left_semi").distinct().mapInArrow(_sets(k), "node long, tokens array<long>, point binary")
     sets = materialize(sets, "tokens")
-    links = materialize(verified(chosen.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, percent), "links")
+    links = materialize(verified(tried, sets, percent), "links")
     labels = components(links)
 
     # cells that still hold more than one component
@@ -279,7 +285,6 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFra
     mixed = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low < high")
     named = materialize(named.join(dealt(mixed.select("cell", "rows")), "cell"), "mixed")
     pairs = materialize(remaining(named, sets.select("node", "point"), percent), "pairs")
-    tried = chosen.select(F.col("leader").alias("a"), F.col("node").alias("b"))
     more = verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent)
     labels = components(links.union(more))
     out = member.join(dealt(labels), "node", "left")
