@@ -11,7 +11,7 @@ from crosstide.catalog.registry import FILINGS, PRICES, UNIVERSE, query, r, tidy
 from crosstide.operators import quality
 from crosstide.plans import panels
 from crosstide.session import scratch_table
-from crosstide.sources import control, sinks, tables
+from crosstide.sources import commits, control, sinks, tables
 
 
 def store(spark) -> str:
@@ -43,6 +43,37 @@ def insert_batch_order(spark, sf):
     return tidy(tables.read_table(spark, place, "risk_free_rates").select("country", "rate_date", "rate"))
 
 
+@query(
+    "insert_two_writers",
+    with_(PRICES, select=f"""SELECT symbol, count(*) AS rows, {r("sum(volume + CASE WHEN year(trade_date) < 1995 THEN 0 ELSE 1 END)", 2)} AS volume FROM prices
+  WHERE year(trade_date) <> 1997 GROUP BY 1 UNION ALL
+  SELECT name, CASE name WHEN 'first' THEN count(*) FILTER (year(trade_date) < 1995) WHEN 'second' THEN count(*) FILTER (year(trade_date) >= 1995 AND year(trade_date) <> 1997) ELSE 0 END, NULL
+  FROM prices, (VALUES ('first'), ('second'), ('second again'), ('broken off')) t(name) GROUP BY name"""),
+)
+def insert_two_writers(spark, sf):
+    """Two batches with the keys of 1994 in common are prepared on one snapshot; the second sees the first's commit.
+
+    A batch that is sent again adds nothing, and one that breaks off before its
+    commit leaves nothing to be read.
+    """
+    place, prices = store(spark), panels.prices(spark, sf)
+    year = F.year("trade_date")
+    first = sinks.prepare_insert(prices.where(year < 1995), place, "price_data", "first")
+    later = prices.where((year >= 1994) & (year != 1997)).withColumn("volume", F.col("volume") + 1)
+    second = sinks.prepare_insert(later, place, "price_data", "second")
+    sinks.prepare_insert(prices.where(year == 1997), place, "price_data", "broken off")
+    added = {
+        "first": commits.commit_insert(spark, first),
+        "second": commits.commit_insert(spark, second),
+        "second again": sinks.insert_if_absent(later, place, "price_data", "second"),
+    }
+    read = tables.read_table(spark, place, "price_data")
+    added["broken off"] = read.where(year == 1997).count()
+    by_symbol = read.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume"))
+    counts = spark.createDataFrame([(k, n, None) for k, n in added.items()], "symbol string, rows bigint, volume double")
+    return tidy(by_symbol.unionByName(counts), 2)
+
+
 @query(
     "append_replace",
     with_(PRICES, UNIVERSE, select="""SELECT 'price_data' AS table_name, CAST(year(trade_date) AS VARCHAR) AS part, count(*) AS rows FROM prices GROUP BY 2
@@ -128,6 +159,7 @@ def stale_symbols(spark, sf):
     sinks.write(filings, place, "financial_data")
     control.land(prices, place, "prices", "test", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     sinks.delete_stale_symbols(spark, place, panels.universe(spark, sf).where("cast(symbol as bigint) % 5 <> 0"))
+    sinks.fold_stale(spark, place, "financial_data")  # one table is read with its delete file, one without
     found = {
         "price_data": tables.read_table(spark, place, "price_data"),
         "financial_data": tables.read_table(spark, place, "financial_data"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.session import materialize
+from crosstide.sources import commits
 
 CONTROL = (
     "name string, data_type string, fetched_at timestamp, rows bigint, source string, "
@@ -16,14 +18,12 @@ CONTROL = (
 def land(df: DataFrame, location: str, data_type: str, source: str, at: Column, by: str = "symbol") -> None:
     """Append a dataset, clustered by name, and one control row per name.
 
-    Folders are named by data type and by the month of landing, so their number
-    follows the calendar and not the universe.
+    Each data type is a committed table, laid out by the month of landing, so
+    the number of folders follows the calendar and not the universe.
     """
     month = F.date_format(at.cast("timestamp"), "yyyy-MM")
-    landed = df.withColumn("landed_month", month)
-    landed.repartitionByRange(by).sortWithinPartitions(by).write.mode("append").partitionBy("landed_month").parquet(
-        f"{location}/landed/{data_type}"
-    )
+    landed = df.withColumn("landed_month", month).repartitionByRange(by).sortWithinPartitions(by)
+    commits.append(landed, f"{location}/landed/{data_type}", "landed_month")
     control = (
         df.groupBy(F.col(by).alias("name"))
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -42,27 +42,54 @@ def land(df: DataFrame, location: str, data_type: str, source: str, at: Column,
 
 
 def read_landed(spark: SparkSession, location: str, data_type: str) -> DataFrame:
-    return spark.read.parquet(f"{location}/landed/{data_type}").drop("landed_month")
+    """All rows landed so far; the columns are those of the first landing."""
+    root = f"{location}/landed/{data_type}"
+    now = commits.head(spark, root)
+    schema = spark.read.parquet(f"{root}/{now.parts[0].path}").schema
+    return commits.read(spark, root, schema, at=now).drop("landed_month")
+
+
+def read_control(spark: SparkSession, location: str) -> DataFrame:
+    """Control rows; a swap that was cut off is ended first."""
+    files, live = _folder(spark, f"{location}/control")
+    if not files.exists(live):
+        for entry in files.globStatus(_folder(spark, f"{location}/control.new-*")[1]) or []:
+            if files.exists(_folder(spark, f"{entry.getPath()}/_SUCCESS")[1]):
+                files.rename(entry.getPath(), live)
+                break
+    return spark.read.schema(CONTROL).parquet(f"{location}/control")
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def forget_names(spark: SparkSession, location: str, known: DataFrame, by: str = "symbol") -> list[str]:
-    """Take names outside ``known`` (symbol) out of landed data and control rows; returns what changed."""
-    from crosstide.sources.sinks import table_exists
+    """Take names outside ``known`` (symbol) out of landed data and control rows; returns what changed.
 
-    done = []
-    if not table_exists(spark, location, "control"):
-        return done
+    Landed data get a delete file.  Control rows to keep are written aside and
+    take the folder's place by two renames; ``read_control`` ends a swap that
+    was cut off between them.
+    """
+    files, live = _folder(spark, f"{location}/control")
+    if not files.exists(live):
+        return []
     names = known.select(F.col("symbol").alias("name"))
-    control = spark.read.schema(CONTROL).parquet(f"{location}/control")
+    control = read_control(spark, location)
     stale = control.join(names, "name", "left_anti")
+    done = []
     for data_type in sorted(r[0] for r in stale.select("data_type").distinct().collect()):
-        path = f"{location}/landed/{data_type}"
-        rows = spark.read.parquet(path)
-        kept = materialize(rows.join(known.withColumnRenamed("symbol", by), by, "left_semi"), f"landed-{data_type}")
-        kept.write.mode("overwrite").partitionBy("landed_month").parquet(path)
+        gone = stale.where(F.col("data_type") == data_type).select(F.col("name").alias(by))
+        commits.delete(gone, f"{location}/landed/{data_type}", (by,))
         done.append(f"landed/{data_type}")
     if done:
-        materialize(control.join(names, "name", "left_semi"), "control").write.mode("overwrite").parquet(f"{location}/control")
+        mark = uuid.uuid4().hex
+        new, old = (_folder(spark, f"{location}/control.{kind}-{mark}")[1] for kind in ("new", "old"))
+        control.join(names, "name", "left_semi").write.parquet(new.toString())
+        files.rename(live, old)
+        files.rename(new, live)
+        files.delete(old, True)
         done.append("control")
     return done
 
@@ -70,7 +97,7 @@ def forget_names(spark: SparkSession, location: str, known: DataFrame, by: str =
 def mark_loaded(names: DataFrame, location: str, data_type: str, at: Column) -> None:
     """Append a load event for each name; the newest event is the current state."""
     spark = names.sparkSession
-    current = current_state(spark.read.schema(CONTROL).parquet(f"{location}/control"))
+    current = current_state(read_control(spark, location))
     current.where(F.col("data_type") == data_type).join(names.select("name"), "name", "left_semi").select(
         "name", "data_type", "fetched_at", "rows", "source",
         F.lit(True).alias("loaded"), at.cast("timestamp").alias("loaded_at"), at.cast("timestamp").alias("event_at"),

@@ -1,39 +1,40 @@
-"""Writing stored tables on plain parquet: appends, key-aware inserts, scenario replacement.
+"""Writing stored tables: appends, key-aware inserts, scenario replacement, deletes.
 
-Every writer lays a table out in the same way (``tables.partition_column``), so
-they can be used in turn.  Parquet has no transactions; a job writes one table
-from one place, as the batch run does.  Inserts by key read only the key columns
-of the folders that the batch touches.
+Every writer commits through the table's log (``commits``), so writers can be
+used in turn and side by side: a row is visible when its commit is, and a key is
+stored once whoever else inserts it.  Tables are laid out by
+``tables.partition_column``; inserts by key read only the key columns of the
+folders that the batch touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.operators.timeline import latest_by
-from crosstide.session import materialize
-from crosstide.sources.tables import KEYS, SCENARIO_TABLES, SCHEMAS, partition_column, read_table, to_table, with_partition
+from crosstide.sources import commits
+from crosstide.sources.tables import KEYS, SCENARIO_TABLES, SCHEMAS, conformed, partition_column, read_table, stored_schema, to_table, with_partition
 
 ARRIVAL = "_arrival"  # order in which the rows of a batch came
 
 
 def table_exists(spark: SparkSession, location: str, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{name}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return commits.exists(spark, f"{location}/{name}")
 
 
-def _save(df: DataFrame, location: str, name: str, mode: str, **options) -> None:
-    """Write stored columns in the table's layout."""
-    writer = with_partition(df, name).write.mode(mode).options(**options)
-    column = partition_column(name)
-    (writer.partitionBy(column) if column else writer).parquet(f"{location}/{name}")
+def write(df: DataFrame, location: str, name: str, if_exists: str = "append", batch: str | None = None) -> int:
+    """Append, replace, or fail if the table is there.  Returns rows written.
 
-
-def write(df: DataFrame, location: str, name: str, if_exists: str = "append") -> None:
-    """Append, replace, or fail if the table is there."""
-    mode = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}[if_exists]
-    _save(to_table(df, name), location, name, mode)
+    An appended batch with an id is written once, however often it is tried.
+    """
+    rows, root, column = with_partition(to_table(df, name), name), f"{location}/{name}", partition_column(name)
+    if if_exists == "fail" and commits.exists(df.sparkSession, root):
+        raise AnalysisException(f"table {name} is there already")
+    if if_exists == "replace":
+        return commits.replace(rows, root, column, only_values=False)
+    return commits.append(rows, root, column, batch)
 
 
 def absent_rows(incoming: DataFrame, existing: DataFrame, keys) -> DataFrame:
@@ -50,24 +51,28 @@ def absent_rows(incoming: DataFrame, existing: DataFrame, keys) -> DataFrame:
     return unique.join(existing.select(*keys), list(keys), "left_anti")
 
 
-def insert_if_absent(df: DataFrame, location: str, name: str) -> int:
-    """Insert rows with new business keys; an existing key wins.  Returns rows added.
+def prepare_insert(df: DataFrame, location: str, name: str, batch: str | None = None) -> commits.Insert:
+    """Write aside the rows of ``df`` whose business keys are not stored yet; ``commits.commit_insert`` ends it.
 
     ``df`` may carry ``_arrival`` (see ``absent_rows``).
     """
-    spark = df.sparkSession
+    spark, column = df.sparkSession, partition_column(name)
     incoming = to_table(df, name, also=(ARRIVAL,))
-    if table_exists(spark, location, name):
-        column = partition_column(name)
-        touched = None
-        if column:  # as many values as the batch has months, years or scenarios
-            touched = [r[0] for r in with_partition(incoming, name).select(column).distinct().collect() if r[0] is not None]
-        existing = read_table(spark, location, name, touched)
-    else:
-        existing = incoming.limit(0)
-    seen = Observation(f"inserted-{name}")
-    _save(absent_rows(incoming, existing, KEYS[name]).observe(seen, F.count(F.lit(1)).alias("n")), location, name, "append")
-    return seen.get["n"]
+    values = None
+    if column:  # as many values as the batch has months, years or scenarios
+        values = [r[0] for r in with_partition(incoming, name).select(F.col(column).cast("string")).distinct().collect()]
+    return commits.prepare_insert(
+        lambda stored: with_partition(absent_rows(incoming, conformed(stored, name), KEYS[name]), name),
+        values, spark, f"{location}/{name}", stored_schema(name), column, KEYS[name], batch,
+    )
+
+
+def insert_if_absent(df: DataFrame, location: str, name: str, batch: str | None = None) -> int:
+    """Insert rows with new business keys; an existing key wins.  Returns rows added.
+
+    A batch with an id that has been committed adds nothing.
+    """
+    return commits.commit_insert(df.sparkSession, prepare_insert(df, location, name, batch))
 
 
 def insert_filings(df: DataFrame, location: str, arrival: str = "arrival") -> int:
@@ -79,7 +84,7 @@ def replace_scenarios(df: DataFrame, location: str, name: str) -> None:
     """Replace all rows of the scenarios in ``df``; other scenarios stay."""
     if name not in SCENARIO_TABLES:
         raise ValueError(f"{name} has no scenarios")
-    _save(to_table(df, name), location, name, "overwrite", partitionOverwriteMode="dynamic")
+    commits.replace(with_partition(to_table(df, name), name), f"{location}/{name}", partition_column(name), only_values=True)
 
 
 def with_composite(scores: DataFrame, composite: DataFrame) -> DataFrame:
@@ -95,34 +100,28 @@ def with_composite(scores: DataFrame, composite: DataFrame) -> DataFrame:
 def delete_stale_symbols(spark: SparkSession, location: str, universe: DataFrame) -> list[str]:
     """Delete rows of symbols outside ``universe`` from every table, landed data and control rows.
 
-    Only folders that hold such a symbol are written again: their kept rows go
-    to the shared folder first and then replace the folder, so a failure in
-    between leaves either the old or the new rows of a table's folder.
+    A stored table gets a delete file with its stale symbols and keeps its
+    folders; ``fold_stale`` writes the touched ones anew some time later.
     """
     known = universe.select("symbol").distinct()
     done = []
     for name, ddl in SCHEMAS.items():
         if name == "company_static" or "symbol string" not in ddl or not table_exists(spark, location, name):
             continue
-        table, column = with_partition(read_table(spark, location, name), name), partition_column(name)
-        touched = [r[0] for r in table.join(known, "symbol", "left_anti").select(column).distinct().collect()]
-        if not touched:
-            continue
-        done.append(name)
-        here = table.where(F.col(column).isin(touched))
-        kept = materialize(here.join(known, "symbol", "left_semi"), f"kept-{name}")
-        _save(kept.drop("key_month"), location, name, "overwrite", partitionOverwriteMode="dynamic")
-        # a folder of which nothing stays has no new rows to replace it
-        left = {r[0] for r in kept.select(column).distinct().collect()}
-        for value in touched:
-            if value not in left:
-                path = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{name}/{column}={value}")
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        stored = commits.read(spark, f"{location}/{name}", stored_schema(name)).select("symbol").distinct()
+        stale = stored.join(known, F.trim(stored["symbol"]) == known["symbol"], "left_anti")
+        if commits.delete(stale, f"{location}/{name}", ("symbol",)):
+            done.append(name)
     from crosstide.sources.control import forget_names
 
     return done + forget_names(spark, location, known)
 
 
+def fold_stale(spark: SparkSession, location: str, name: str) -> int:
+    """Write the folders of a table that hold deleted rows anew: folders written."""
+    return commits.fold_deletes(spark, f"{location}/{name}", stored_schema(name), partition_column(name))
+
+
 def table_counts(spark: SparkSession, location: str) -> DataFrame:
     """(table_name, rows) of every stored table; 0 where it is not there."""
     counts = None

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from crosstide.functions.numeric import null_nans
 from crosstide.operators.crosssection import METRICS
 from crosstide.operators.metrics import SUMMARY_COLUMNS
+from crosstide.sources import commits
 
 # Column lists and keys of the stored tables.
 SCHEMAS = {
@@ -92,16 +94,24 @@ def with_partition(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("key_month", F.date_format(KEY_DATES[name], "yyyy-MM"))
 
 
+def stored_schema(name: str) -> StructType:
+    """Columns of a table's files: the stored ones and the one that it is laid out by."""
+    extra = ", key_month string" if partition_column(name) == "key_month" else ""
+    return StructType.fromDDL(SCHEMAS[name] + extra)
+
+
 def read_table(spark: SparkSession, location: str, name: str, only: list | None = None) -> DataFrame:
     """Read a stored table with its schema; NaN becomes null, symbols are trimmed.
 
     ``only`` lists values of the partition column; other folders are not read.
     """
-    extra = ", key_month string" if partition_column(name) == "key_month" else ""
-    df = spark.read.schema(SCHEMAS[name] + extra).parquet(f"{location}/{name}")
-    if only is not None and partition_column(name):
-        df = df.where(F.col(partition_column(name)).isin(only))
-    df = null_nans(df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]))
+    values = None if only is None or not partition_column(name) else [None if v is None else str(v) for v in only]
+    return conformed(commits.read(spark, f"{location}/{name}", stored_schema(name), values), name)
+
+
+def conformed(stored: DataFrame, name: str) -> DataFrame:
+    """Stored rows as readers see them."""
+    df = null_nans(stored.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]))
     return df.withColumn("symbol", F.trim("symbol")) if "symbol" in df.columns else df
 
 
@@ -121,14 +131,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low, high,
 def load_universe_csv(spark: SparkSession, path: str, location: str) -> DataFrame:
     """Replace the company table by a header CSV."""
     df = spark.read.schema(SCHEMAS["company_static"]).csv(path, header=True)
-    df.write.mode("overwrite").parquet(f"{location}/company_static")
+    commits.replace(df, f"{location}/company_static", None, only_values=False)
     return read_table(spark, location, "company_static")
 
 
 def to_table(df: DataFrame, name: str, also: tuple[str, ...] = ()) -> DataFrame:
     """Project and cast a frame to the stored columns of ``name`` (missing ones null), and ``also`` some others."""
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromDDL(SCHEMAS[name])
     renamed = df.withColumnsRenamed(SCORE_NAMES) if name == "factor_scores" else df
     return renamed.select(
