@@ -113,10 +113,15 @@ def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     ROE is left out where no item was returned and leverage where the quantity
     is small, so missing values occur.
     """
+    return month_metrics(_trades(spark, sf_dir), universe(spark, sf_dir))
+
+
+def month_metrics(trades: DataFrame, names: DataFrame) -> DataFrame:
+    """``month_panel`` of some trades, with the sectors of ``names``."""
     v, q, d, t = (F.col(c) for c in ("cents", "l_quantity", "disc", "tax"))
     value, quantity, n = F.sum(v), F.sum(q), F.count(F.lit(1))
     monthly = (
-        _trades(spark, sf_dir)
+        trades
         .groupBy(F.col("l_suppkey").cast("string").alias("symbol"), business_month_end("trade_date").alias("calc_date"))
         .agg(
             (value / 100 / quantity).alias("pb_ratio"),
@@ -130,7 +135,7 @@ def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             (quantity / n).alias("volatility_12m"),
         )
     )
-    sectors = universe(spark, sf_dir).select("symbol", "sector")
+    sectors = names.select("symbol", "sector")
     return monthly.join(sectors, "symbol").select("symbol", "sector", "calc_date", *METRICS)
 
 
@@ -149,8 +154,13 @@ def month_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month-end returns of an index of all suppliers."""
+    return index_returns(_trades(spark, sf_dir))
+
+
+def index_returns(trades: DataFrame) -> DataFrame:
+    """``benchmark`` of some trades."""
     days = (
-        _trades(spark, sf_dir)
+        trades
         .groupBy("trade_date")
         .agg((F.sum("cents") / 100 / F.sum("l_quantity")).alias("adjusted_close"))
         .withColumn("benchmark", F.lit("ALL"))
@@ -158,6 +168,10 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_returns(days)
 
 
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trades(spark, sf_dir)
+
+
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate per nation and quarter from the average item tax (a decimal fraction)."""
     names = universe(spark, sf_dir).select("symbol", "country")
