@@ -319,6 +319,7 @@ def frequent_phrases(chunks: DataFrame, threshold: int, longest: int = 3) -> Dat
     own = bodies.mapInArrow(_hashed(parts, longest, True), hashed)
     survivors = own.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_summarise(threshold), hashed)
     survivors = materialize(survivors, "survivors")
+    survivors.count()  # Spark refers to the last query, and so to its shuffle files, until the next one has run
 
     own = bodies.mapInArrow(_hashed(parts, longest, False), hashed).unionByName(survivors)
     marked = own.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_surviving, "chunk long, lang string, body binary")
