@@ -148,7 +148,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def personal_data_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, a count for each kind, base_sha256 and the spans as text."""
+    """doc_id, counts of the base kinds, base_sha256, the spans as text, counts of the added kinds and n_all, the count of all spans."""
     found = find_personal_data(docs)
     base = [k.name for k in KINDS if not k.added]
 
@@ -160,7 +160,9 @@ def personal_data_digest(docs: DataFrame) -> DataFrame:
 
     return found.select(
         "doc_id",
-        *[of(k.name) for k in KINDS],
+        *[of(k) for k in base],
         F.sha2(spelled(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
         spelled(F.col("spans")).alias("spans"),
+        *[of(k.name) for k in KINDS if k.added],
+        F.size("spans").cast("long").alias("n_all"),
     )

@@ -58,14 +58,15 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read(spark, sf_dir, "documents")).drop("copies", "source")
+    return mix_sources(read(spark, sf_dir, "documents")).drop("copies", "source", "p")
 
 
 def mixing_sql(documents: str = "documents") -> str:
     return rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0) AS size FROM {documents}),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+]+')), 0) AS size,
+  md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS digest FROM {documents}),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, floor(sum(size) / count(*)) AS mean_size FROM d GROUP BY 1),
 t AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM s),
 w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][CAST((turn - 1) % 3 + 1 AS INTEGER)] AS weight, source_size * 2.0::DOUBLE AS cap FROM t),
 r AS (SELECT *, cap / weight AS full_at FROM w),
@@ -74,20 +75,23 @@ f AS (
       - coalesce(sum(cap) OVER (ORDER BY full_at, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY full_at, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM r),
 g AS (
-  SELECT source, source_size, CASE WHEN rate >= full_at THEN cap
+  SELECT source, source_size, mean_size, CASE WHEN rate >= full_at THEN cap
     ELSE (SELECT x.rate FROM f x WHERE NOT x.rate >= x.full_at ORDER BY x.full_at, x.turn LIMIT 1) * weight
     END AS target FROM f),
 c AS (
   SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share,
-    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+    CASE WHEN size > 0 THEN floor(10000.0::DOUBLE * size / (size + mean_size)) ELSE 0 END AS place,
+    (CAST('0x' || substr(digest, 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-o AS (
-  SELECT *, floor(share) AS certain, share - floor(share) AS p, target - floor(share) * source_size AS rest,
-    CASE WHEN share > floor(share) THEN u / (1 - u) / ((share - floor(share)) / (1 - (share - floor(share)))) END AS odds FROM c),
+q AS (
+  SELECT *, floor(share) AS certain, share - floor(share) AS q, target - floor(share) * source_size AS rest,
+    (place - sum(size * place) OVER (PARTITION BY source) / sum(size) OVER (PARTITION BY source)) / 20000.0::DOUBLE AS lean FROM c),
+i AS (SELECT *, CASE WHEN q > 0 THEN q * (1 + (1 - q) * lean) ELSE 0 END AS p FROM q),
+o AS (SELECT *, CASE WHEN q > 0 THEN u / (1 - u) / (p / (1 - p)) END AS odds FROM i),
 k AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, u, doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS upto FROM o),
-m AS (SELECT *, CAST(certain AS BIGINT) + CASE WHEN p > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM k)"""
+m AS (SELECT *, CAST(certain AS BIGINT) + CASE WHEN q > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM k)"""
 
 
 OP8_SQL = mixing_sql() + " SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM m"
@@ -154,8 +158,10 @@ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
 f AS (
   SELECT conv_id, turn, role, text, i, count(*) OVER (PARTITION BY conv_id) AS n,
     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault FROM o),
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault FROM o),
 w AS (
   SELECT conv_id, n + 1 AS m, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s, {{'c': 4::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS p,
     {{'c': 2::BIGINT, 'a': 'I', 't': ['assistant:']}} AS u, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS a

@@ -195,6 +195,59 @@ def test_mixing(spark):
     assert mixing.mix_sources(same).count() == 4
 
 
+def plain_copies(rows):
+    """{id: (p, copies)} by sorting each source whole."""
+    size, total, target = plain_mix(rows)
+    out = {}
+    for s in total:
+        own = [(i, t or "") for i, t, x in rows if x == s]
+        mean = total[s] // len(own)
+        place = {i: math.floor(10_000 * size[i] / (size[i] + mean)) if size[i] else 0 for i, _ in own}
+        middle = sum(size[i] * place[i] for i, _ in own) / total[s] if total[s] else 0
+        share = target[s] / total[s] if total[s] else 0.0
+        certain = math.floor(share)
+        q, rest = share - certain, target[s] - certain * total[s]
+        order = []
+        for i, t in own:
+            digest = hashlib.md5(f"{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+            u = (int(digest[:13], 16) + 0.5) / 2**52
+            p = q * (1 + (1 - q) * (place[i] - middle) / 20_000) if q > 0 else 0.0
+            order.append((u / (1 - u) / (p / (1 - p)) if p else 0.0, u, i, p))
+        before = 0
+        for _, _, i, p in sorted(order):
+            out[i] = p, certain + (p > 0 and before + size[i] / 2 <= rest)
+            before += size[i]
+    return out
+
+
+def test_mixing_by_unequal_odds(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 40, 300]), rng.choice(["b", "a", "c", "c", None])) for i in range(3000)]
+    rows += [(5000, None, "b"), (5001, "v " * 30_000, "c")]
+    table = spark.createDataFrame([(i, t, "en", s, 3) for i, t, s in rows], DOCS)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    monkeypatch.setattr(mixing, "CELL", 20)
+    got = {r.doc_id: r for r in mixing.mix_sources(table).collect()}
+    wanted = plain_copies(rows)
+    assert {i: r.copies for i, r in got.items()} == {i: c for i, (_, c) in wanted.items()}
+    assert all(math.isclose(got[i].p, p, abs_tol=1e-9) for i, (p, _) in wanted.items())
+    drawn = {s: [r for r in got.values() if r.source == s and r.p > 0] for s in ("a", "b", "c", None)}
+    open_sources = [s for s, found in drawn.items() if found]
+    assert open_sources
+    for s in open_sources:
+        assert len({round(r.p, 9) for r in drawn[s]}) > 3
+        rest = drawn[s][0].target % drawn[s][0].source_size
+        assert math.isclose(sum(r.p * r.size for r in drawn[s]), rest, rel_tol=1e-6)
+
+
+def test_mixing_rows_without_ids_and_repeats(spark):
+    rows = [(None, f"w {k}", "en", "x", 3) for k in range(40)] + [(7, "a b c", "en", "x", 3)] * 30 + [(None, None, "en", None, 3)] * 3
+    clash = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"lang": "p"}).selectExpr("*", "1 as u", "2 as cell", "3 as target")
+    got = mixing.mix_sources(clash).collect()
+    assert len(got) == 73 and sum(r.size for r in got) == 40 * 2 + 30 * 3
+    assert abs(sum(r.taken for r in got) - 1.5 * 170) <= 3
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     public_tokenizers = pytest.importorskip("public_tokenizers")
