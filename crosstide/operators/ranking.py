@@ -5,6 +5,9 @@ large part of the rows share is one row.  Each group is then cut into buckets at
 approximate quantiles of its own values, so a bucket holds about the same number
 of values however narrow their range is.  Bucket counts give every bucket its
 offset, and ranks inside a bucket start from there.
+
+Quantiles need less: mergeable rank sketches bound each wanted position, and one
+exact pass counts the values between the bounds, and only how many lie outside.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 COARSE = 16  # a group has COARSE * COARSE buckets
+SKETCH = 10_000  # a sketch misses a rank by a SKETCH-th of its group at most
+SLACK = 4  # so many times that lie between a wanted position and its bounds
 
 
 def _cells(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -77,33 +82,55 @@ def rank_pct(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFram
     return ranked.withColumn(out, F.col("_rank") / F.col("_size")).drop("_rank", "_size")
 
 
+def _rank_bounds(df: DataFrame, by: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Rows in each group and, for the ``i``-th of ``probs``, ``_low<i>`` and ``_high<i>`` around its position; null is unbounded.
+
+    Groups of up to SKETCH rows are bounded by nothing, so all their values count.
+    """
+    margin = SLACK / SKETCH
+    points = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    sketch = F.percentile_approx(value, F.array(*[F.lit(x) for x in points]), F.lit(SKETCH))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_total"), sketch.alias("_points"))
+
+    def bound(i: int) -> Column:
+        return F.when((F.col("_total") > SKETCH) & F.lit(0.0 < points[i] < 1.0), F.col("_points")[i])
+
+    return counted.select(*by, "_total", *[bound(2 * i + k).alias(f"_{side}{i}") for i in range(len(probs)) for k, side in enumerate(("low", "high"))])
+
+
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles: one row per group with n, q0, q1, ...
 
-    Only values of the buckets that hold a wanted position are sorted.
+    Rows outside the bounds of all wanted positions fold to one count for each
+    gap between them, equal values to one row, both before the shuffle. What is
+    left of a group for sorting is a small share of its different values.
     """
     by = list(by)
-    cells = _cells(df, by, value)
+    bounds = _rank_bounds(df, by, value, probs).withColumnsRenamed({c: f"_of_{c}" for c in by})
+    ours = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    near, gap = F.lit(False), F.lit(0)
+    for i in range(len(probs)):
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        near = near | ((low.isNull() | (F.col(value) >= low)) & (high.isNull() | (F.col(value) <= high)))
+        gap = gap + F.when(F.col(value) > high, 1).otherwise(0)
+    placed = df.where(F.col(value).isNotNull()).join(bounds, ours).select(*by, value, "_total", near.alias("_near"), gap.alias("_gap"))
+    cell = F.when(F.col("_near"), F.col(value)).alias("_value")
+    cells = placed.groupBy(*by, "_total", "_near", F.when(~F.col("_near"), F.col("_gap")).alias("_gap"), cell).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_from")
+    )
+    before = W.partitionBy(*by).orderBy("_from").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_total") - 1)
 
-    def holds(index: Column, first: str, count: str) -> Column:
-        return (index >= F.col(first)) & (index < F.col(first) + F.col(count))
+    def at(index: Column) -> Column:
+        missed = F.raise_error(F.lit("a wanted position lies outside its bounds")).cast(df.schema[value].dataType)
+        holds = (index >= F.col("_first")) & (index < F.col("_first") + F.col("_n"))
+        return F.max(F.when(holds, F.when(F.col("_near"), F.col("_value")).otherwise(missed)))
 
-    hit = F.lit(False)
-    for p in probs:
-        for f in (F.floor, F.ceil):
-            hit = hit | holds(f(position(p)), "_before", "_in_bucket")
-    kept = _offsets(cells, by).where(hit)
-    inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    placed = cells.join(kept, [*by, "_bucket"]).withColumn("_first", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
-    picks = [
-        F.max(F.when(holds(f(position(p)), "_first", "_n"), F.col(value))).alias(f"_{tag}{i}")
-        for i, p in enumerate(probs)
-        for tag, f in (("lo", F.floor), ("hi", F.ceil))
-    ]
-    picked = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *picks)
+    picks = [at(f(position(p))).alias(f"_{tag}{i}") for i, p in enumerate(probs) for tag, f in (("lo", F.floor), ("hi", F.ceil))]
+    picked = cells.groupBy(*by).agg(F.max("_total").alias("_total"), *picks)
 
     def between(i: int, p: float) -> Column:
         return F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (position(p) - F.floor(position(p)))

@@ -43,6 +43,25 @@ def test_rank_pct_matches_pandas(spark):
     assert np.allclose(got.to_numpy(float), want.to_numpy(float), equal_nan=True)
 
 
+def test_group_quantiles_of_large_groups(spark):
+    """Sketch bounds are in force: ties across bounds, a value that most rows share, a group without a key."""
+    k = F.col("id")
+    many = spark.range(600_000, numPartitions=7).select(
+        F.when(k % 3 == 0, "spread").when(k % 3 == 1, "ties").alias("g"),
+        F.when(k % 3 == 0, F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e3)
+        .when(k % 3 == 1, F.when(k % 10 < 7, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(9)).cast("double")))
+        .otherwise(F.when(k % 4 != 0, F.exp(F.pmod(F.xxhash64("id"), F.lit(700)) / 10.0))).alias("v"),
+    )
+    probs = (0.0, 0.05, 0.0501, 0.5, 0.95, 1.0)
+    got = {r.g: r for r in ranking.group_quantiles(many, ["g"], "v", probs).collect()}
+    frame = many.toPandas()
+    assert set(got) == {"spread", "ties", None}
+    for g, row in got.items():
+        own = frame[frame.g.isna() if g is None else frame.g == g].v.dropna()
+        assert row.n == len(own) > ranking.SKETCH
+        assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(own.quantile(list(probs))), rel=1e-12)
+
+
 def test_group_quantiles_match_pandas(spark):
     rows = skewed()
     probs = (0.05, 0.5, 0.95)
