@@ -74,6 +74,38 @@ def insert_two_writers(spark, sf):
     return tidy(by_symbol.unionByName(counts), 2)
 
 
+@query(
+    "composite_update",
+    f"""WITH g AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(last_day(l_shipdate) AS DATE) AS score_date, sum(l_tax) AS z_value, sum(l_discount) AS d
+    FROM lineitem GROUP BY 1, 2)
+  SELECT symbol, score_date, {r("z_value")} AS z_value, {r("CASE WHEN year(score_date) >= 1998 THEN d + 1 WHEN year(score_date) = 1997 THEN d END")} AS composite_score, NULL::BIGINT AS folders FROM g
+  UNION ALL SELECT name, NULL, NULL, NULL, CASE name WHEN 'first' THEN count(DISTINCT score_date) FILTER (year(score_date) >= 1997)
+    WHEN 'second' THEN count(DISTINCT score_date) FILTER (year(score_date) >= 1998) ELSE 0 END
+  FROM g, (VALUES ('first'), ('first again'), ('second')) t(name) GROUP BY name""",
+)
+def composite_update(spark, sf):
+    """Composites of 1997 onwards are set, then those of 1998 once more; names that are not stored stay out.
+
+    The folders written anew are counted: a batch's own months, none when it is sent again.
+    """
+    rows = panels.table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").cast("string").alias("symbol"), F.last_day("l_shipdate").alias("score_date")
+    ).agg(F.sum("l_tax").alias("z_value"), F.sum("l_discount").alias("composite_score"))
+    place, year = store(spark), F.year("score_date")
+    sinks.write(rows.withColumn("composite_score", F.lit(None).cast("double")), place, "factor_scores")
+    late = rows.where(year >= 1997)
+    first = late.unionByName(late.withColumn("symbol", F.concat(F.lit("X"), "symbol")))
+    second = late.where(year >= 1998).withColumn("composite_score", F.col("composite_score") + 1)
+    folders = {
+        "first": sinks.update_composites(first, place, "first"),
+        "second": sinks.update_composites(second, place, "second"),
+        "first again": sinks.update_composites(first, place, "first"),
+    }
+    read = tables.read_table(spark, place, "factor_scores").select("symbol", "score_date", "z_value", "composite_score")
+    counts = spark.createDataFrame(list(folders.items()), "symbol string, folders bigint")
+    return tidy(read.unionByName(counts, allowMissingColumns=True))
+
+
 @query(
     "append_replace",
     with_(PRICES, UNIVERSE, select="""SELECT 'price_data' AS table_name, CAST(year(trade_date) AS VARCHAR) AS part, count(*) AS rows FROM prices GROUP BY 2

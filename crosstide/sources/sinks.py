@@ -88,12 +88,31 @@ def replace_scenarios(df: DataFrame, location: str, name: str) -> None:
 
 
 def with_composite(scores: DataFrame, composite: DataFrame) -> DataFrame:
-    """Factor scores with their composite attached (no update in place)."""
-    new = composite.select("symbol", "score_date", F.col("composite_score").alias("_new"))
+    """Factor scores with their composite attached; a missing or null one leaves what is there.
+
+    Of several composites of a key the greatest is taken.
+    """
+    new = composite.groupBy("symbol", "score_date").agg(F.max("composite_score").alias("_new"))
     return (
         scores.join(new, ["symbol", "score_date"], "left")
         .withColumn("composite_score", F.coalesce("_new", "composite_score"))
-        .drop("_new")
+        .select(*scores.columns)
+    )
+
+
+def update_composites(composite: DataFrame, location: str, batch: str | None = None) -> int:
+    """Set ``composite_score`` of the stored factor scores by (symbol, score_date): folders written anew.
+
+    Only the months that ``composite`` has are read and written.  Keys that are
+    not stored are not added; a batch with an id that has been committed changes
+    nothing.
+    """
+    spark, column = composite.sparkSession, partition_column("factor_scores")
+    new = with_partition(composite.select(F.trim("symbol").alias("symbol"), "score_date", "composite_score"), "factor_scores")
+    months = [r[0] for r in new.select(column).distinct().collect()]  # as many as the batch has months
+    return commits.rewrite(
+        lambda stored: with_partition(with_composite(conformed(stored, "factor_scores"), new), "factor_scores"),
+        months, spark, f"{location}/factor_scores", stored_schema("factor_scores"), column, batch,
     )
 
 
