@@ -451,23 +451,23 @@ FINANCIAL_RULES = (
 @query(
     "financials_report",
     with_(FILINGS, UNIVERSE, """g0 AS (SELECT symbol, fiscal_year, fiscal_quarter, CASE WHEN fiscal_year = 1995 THEN total_assets - total_assets WHEN fiscal_year = 1996 THEN NULL ELSE total_assets END AS ta,
-    CASE WHEN net_income < 0 THEN book_equity END AS be, CASE WHEN fiscal_quarter > 3 THEN net_income END AS ni FROM filings WHERE CAST(symbol AS BIGINT) % 10 <> 9),
+    CASE WHEN net_income < 0 THEN book_equity END AS be, CASE WHEN fiscal_quarter > 3 THEN net_income END AS ni FROM filings),
 g AS (SELECT * FROM g0 UNION ALL SELECT * FROM g0 WHERE fiscal_year = 1997 AND fiscal_quarter = 2),
 s AS (SELECT count(*) AS n, count(*) FILTER (ta <= 0) AS low, count(*) - count(DISTINCT (symbol, fiscal_year, fiscal_quarter)) AS dup, count(*) - count(ta) AS na,
-    count(*) - count(be) AS nb, count(*) - count(ni) AS nn, count(DISTINCT symbol) / (SELECT count(*) FROM universe) AS cov FROM g)""",
+    count(*) - count(be) AS nb, count(*) - count(ni) AS nn, count(DISTINCT symbol) / (SELECT 2 * count(*) FROM universe) AS cov FROM g)""",
           select=" UNION ALL ".join(
               f"SELECT 'financials' AS dataset, '{n}' AS rule, {sev} AS severity, {r(v)} AS affected, CAST({t} AS DOUBLE) AS threshold FROM s"
               for n, v, sev, t in FINANCIAL_RULES)),
 )
 def financials_report(spark, sf):
-    f = panels.fundamentals(spark, sf).where("cast(symbol as bigint) % 10 <> 9").select(
+    f = panels.fundamentals(spark, sf).select(
         "symbol", "fiscal_year", "fiscal_quarter",
         F.when(F.col("fiscal_year") == 1995, 0.0).when(F.col("fiscal_year") != 1996, F.col("total_assets")).alias("total_assets"),
         F.when(F.col("net_income") < 0, F.col("book_equity")).alias("book_equity"),
         F.when(F.col("fiscal_quarter") > 3, F.col("net_income")).alias("net_income"),
     )
     holed = f.unionByName(f.where("fiscal_year = 1997 and fiscal_quarter = 2"))
-    return tidy(quality.validate_financials(holed, panels.universe(spark, sf)))
+    return tidy(quality.validate_financials(holed, expected_symbols(spark, sf)))
 
 
 @query(
