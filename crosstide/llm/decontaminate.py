@@ -178,11 +178,10 @@ class Items:
         for number, (item_id, text) in enumerate(rows):
             data, offsets = flat(pa.array([text], pa.string()))
             hashes, _, term = terms(data, offsets)
-            for at in range(0, len(hashes), LONGEST):
+            last = max(len(hashes) - LONGEST, 0)  # the last passage of a long item overlaps the one before
+            for at in (min(start, last) for start in range(0, len(hashes), LONGEST)):
                 own, seen = hashes[at : at + LONGEST].tolist(), term[at : at + LONGEST]
                 places = basis[:, seen[first_of(seen, np.arange(len(seen)))]].sum(1)
-                if at and len(own) < LONGEST // 4:
-                    continue  # a short rest of a long item
                 masks: dict[int, int] = {}
                 for i, w in enumerate(own):
                     masks[w] = masks.get(w, 0) | 1 << i

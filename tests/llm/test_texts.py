@@ -371,6 +371,20 @@ def test_decontamination_of_copies_in_a_third_of_the_rows(spark):
     assert (500, 2) in got
 
 
+def test_decontamination_by_the_end_of_a_long_item(spark):
+    """Only the last 96 of 116 words are copied: no passage from the item's start has four fifths of them."""
+    rng = random.Random(29)
+
+    def prose(n):
+        return ["w" + str(rng.randint(0, 30_000)) for _ in range(n)]
+
+    item = prose(116)
+    rows = [(i, " ".join(prose(120) + (item[20:] if i % 5 == 0 else []) + prose(120))) for i in range(40)]
+    table = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(prose(5)))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()}
+    assert got == {(i, 1) for i in range(0, 40, 5)}
+
+
 def test_decontamination_beside_repeated_words(spark):
     rng = random.Random(23)
 
