@@ -8,7 +8,7 @@ from crosstide.catalog.registry import (
     BENCHMARK, CALENDAR, PRICES, PRICES_NATION, RATES, bme_before_sql, query, r, tidy, with_,
 )
 from crosstide.functions.dates import rebalance_calendar
-from crosstide.operators import timeline
+from crosstide.operators import rolling, timeline
 from crosstide.plans import panels, strategy
 from crosstide.plans.scenarios import Liquidity
 
@@ -101,7 +101,7 @@ num AS (SELECT *, row_number() OVER (PARTITION BY calc_date, symbol ORDER BY ret
 )
 def volatility_3m_12m(spark, sf):
     p = panels.prices_nation(spark, sf)
-    out = timeline.realised_volatility(p, panels.last_month_end(spark, sf))
+    out = rolling.realised_volatility(p, panels.last_month_end(spark, sf))
     return tidy(out.select("symbol", "calc_date", "volatility_3m", "volatility_12m", "price_age_days"))
 
 
@@ -123,7 +123,7 @@ lam AS (SELECT unnest([0.9::DOUBLE, 0.94::DOUBLE]) AS a)""",
 )
 def ewma_vol(spark, sf):
     p = panels.prices_nation(spark, sf)
-    return tidy(timeline.ewma_volatility(p, panels.last_month_end(spark, sf), (0.90, 0.94)))
+    return tidy(rolling.ewma_volatility(p, panels.last_month_end(spark, sf), (0.90, 0.94)))
 
 
 ASOF = """held AS (

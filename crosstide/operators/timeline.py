@@ -23,7 +23,6 @@ from crosstide.functions.dates import (
 )
 from crosstide.functions.numeric import log_change, ratio
 
-TRADING_DAYS = 252
 TIME_BUCKETS = 32  # of a key in an as-of look-up
 
 
@@ -178,93 +177,6 @@ def trailing_liquidity(
     )
 
 
-def _daily_log_returns(prices: DataFrame) -> DataFrame:
-    w = W.partitionBy("symbol").orderBy("trade_date")
-    return prices.where(F.col("adjusted_close").isNotNull()).select(
-        "symbol",
-        "trade_date",
-        F.lag("trade_date").over(w).alias("prev_date"),
-        log_change("adjusted_close", F.lag("adjusted_close").over(w)).alias("r"),
-    )
-
-
-def realised_volatility(
-    prices: DataFrame,
-    last_date: Column,
-    months_back: int = 16,
-    windows: dict[str, tuple[int, int]] | None = None,
-) -> DataFrame:
-    """Annualised sample deviation of the newest log returns up to each month end.
-
-    ``windows`` maps an output name to (rows, least rows).  Both prices of a
-    return must lie between the ``months_back``-th month end before d and d.
-    """
-    windows = windows or {"volatility_3m": (63, 50), "volatility_12m": (252, 200)}
-    daily = _daily_log_returns(prices).withColumn("_in", month_end_on_or_after("trade_date"))
-    months = F.when(F.col("trade_date") == F.col("_in"), months_back).otherwise(months_back - 1)
-    reach = daily.withColumn("_reach", F.least(shift_month_end("_in", months), last_date))
-    spread = _spread(reach, F.col("_in"), F.col("_reach"), "calc_date").drop("_in", "_reach")
-    # the dates are month ends, so the k-th one before is k months back
-    usable = spread.withColumn(
-        "r", F.when(F.col("prev_date") >= shift_month_end("calc_date", -months_back), F.col("r"))
-    )
-    newest = W.partitionBy("symbol", "calc_date").orderBy(F.col("r").isNull(), F.col("trade_date").desc())
-    ranked = usable.withColumn("rn", F.row_number().over(newest))
-    out = [F.datediff("calc_date", F.max("trade_date")).alias("price_age_days")]
-    for name, (rows, least) in windows.items():
-        r = F.when(F.col("rn") <= rows, F.col("r"))
-        out += [
-            F.when(F.count(r) >= least, F.stddev_samp(r) * float(TRADING_DAYS) ** 0.5).alias(name),
-            F.when(F.count(r) >= least, F.avg((r == 0).cast("double")) > 0.10).alias(f"{name}_stale"),
-        ]
-    return ranked.groupBy("symbol", "calc_date").agg(*out)
-
-
-def ewma_volatility(
-    prices: DataFrame,
-    last_date: Column,
-    lambdas: Sequence[float] = (0.94,),
-    window_days: int = 312,
-    seed: int = 20,
-) -> DataFrame:
-    """Exponentially weighted volatility at each month end, one row per lambda.
-
-    The recursion s <- a*s + (1-a)*r^2 from the sample variance of the first
-    ``seed`` returns has a closed form, so it is one weighted sum.
-    """
-    daily = _daily_log_returns(prices)
-    spread = _spread(
-        daily,
-        month_end_after("trade_date"),
-        F.least(F.date_add("trade_date", window_days), last_date),
-        "calc_date",
-    ).where(F.col("prev_date") >= F.date_sub("calc_date", window_days))
-    group = W.partitionBy("symbol", "calc_date")
-    placed = spread.withColumn("i", F.row_number().over(group.orderBy("trade_date"))).withColumn(
-        "n", F.count(F.lit(1)).over(group)
-    )
-    head = F.when(F.col("i") <= seed, F.col("r"))
-    aggs = [F.var_samp(head).alias("v0"), F.max("n").alias("n")]
-    for k, a in enumerate(lambdas):
-        weight = F.pow(F.lit(float(a)), F.col("n") - F.col("i"))
-        tail = F.when(F.col("i") > seed, weight * F.col("r") * F.col("r")).otherwise(0.0)
-        aggs.append(F.sum(tail).alias(f"tail{k}"))
-    summed = placed.groupBy("symbol", "calc_date").agg(*aggs).where(F.col("n") >= seed)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(float(a)).alias("ewma_lambda"),
-                F.sqrt(
-                    TRADING_DAYS
-                    * (F.pow(F.lit(float(a)), F.col("n") - seed) * F.col("v0") + (1 - float(a)) * F.col(f"tail{k}"))
-                ).alias("ewma_vol"),
-            )
-            for k, a in enumerate(lambdas)
-        ]
-    )
-    return summed.select("symbol", "calc_date", F.inline(rows))
-
-
 def momentum(month_prices: DataFrame, short_rates: DataFrame, skip: int = 1, months_back: int = 16) -> DataFrame:
     """Skip-month momentum over 6 and 12 months in excess of the monthly rate.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.functions.dates import month_end_before
-from crosstide.operators import backtest, crosssection, fundamentals, ic, metrics, positions, selection, timeline
+from crosstide.operators import backtest, crosssection, fundamentals, ic, metrics, positions, rolling, selection, timeline
 from crosstide.operators.ranking import rank_pct
 from crosstide.plans.scenarios import Liquidity, Rules, Settings, cost_table, portfolio_scenarios, rules_table
 from crosstide.session import materialize, settle
@@ -74,7 +74,7 @@ def metric_panel(
         accounts.select("symbol", "calc_date", "pb_ratio", "asset_growth", "roe", "leverage"),
         fundamentals.earnings_stability(filings, last_date),
         timeline.momentum(month_prices, short_rates(rates, calendar, country)),
-        timeline.realised_volatility(prices, last_date).select(
+        rolling.realised_volatility(prices, last_date).select(
             "symbol", "calc_date", "volatility_3m", "volatility_12m"
         ),
     )
@@ -134,7 +134,7 @@ def build_positions(
 ) -> tuple[DataFrame, DataFrame]:
     """(selection status, portfolio positions) of every scenario and date."""
     picked = materialize(selection.select_names(selection.sector_ranks(composite, universe), rules), "selection")
-    vols = timeline.ewma_volatility(prices, last_date, lambdas, settings.ewma_window_days, settings.ewma_seed)
+    vols = rolling.ewma_volatility(prices, last_date, lambdas, settings.ewma_window_days, settings.ewma_seed)
     scored = materialize(positions.risk_adjusted(selection.selected(picked).drop("ord"), vols, rules), "scored")
     adv = timeline.trailing_liquidity(
         prices, last_date, settings.liquidity.adtv_rows, 1, settings.liquidity.sizing_window_days

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from crosstide.operators import backtest, crosssection, ic, metrics, positions, quality, ranking, selection, timeline
+from crosstide.operators import backtest, crosssection, ic, metrics, positions, quality, ranking, rolling, selection, timeline
 from crosstide.operators import merging
 from crosstide.plans.scenarios import Rules, portfolio_scenarios, rules_table
 
@@ -131,7 +131,7 @@ PRICE = "symbol string, trade_date date, adjusted_close double, volume double"
 def test_ewma_closed_form_equals_recursion(spark):
     rows = daily(120)
     last = F.lit(D(2022, 5, 31))
-    got = timeline.ewma_volatility(spark.createDataFrame(rows, PRICE), last, (0.94, 0.9)).toPandas()
+    got = rolling.ewma_volatility(spark.createDataFrame(rows, PRICE), last, (0.94, 0.9)).toPandas()
     frame = pd.DataFrame(rows, columns=["s", "d", "p", "v"])
     for _, g in got.iterrows():
         p = frame[(frame.s == g.symbol) & (frame.d < g.calc_date)].sort_values("d")["p"].to_numpy()
