@@ -11,7 +11,7 @@ from crosstide.catalog.registry import FILINGS, PRICES, PRICES_NATION, RATES, UN
 from crosstide.operators import quality
 from crosstide.operators.timeline import latest_by
 from crosstide.plans import panels
-from crosstide.session import materialize
+from crosstide.session import ScratchTable
 from crosstide.sources import control, landed, sinks
 
 # --- semi-structured ------------------------------------------------------------------
@@ -239,16 +239,23 @@ def line_item_melt(spark, sf):
     with_(PRICES_NATION, select=f"SELECT symbol, trade_date, {r('ln(adjusted_close)')} AS log_close, CAST(volume AS BIGINT) AS volume FROM prices"),
 )
 def price_reshape(spark, sf):
-    p = panels.prices_nation(spark, sf)
-    nations = [x[0] for x in panels.table(spark, sf, "nation").select("n_name").orderBy("n_name").collect()]
-    wide = p.groupBy(F.col("trade_date").alias("Date")).pivot("symbol", nations).agg(
-        F.max("adjusted_close").alias("c"), F.max("volume").alias("v")
-    )
-    named = wide.withColumnsRenamed(
-        {**{f"{n}_c": f"{n}|Adj Close" for n in nations}, **{f"{n}_v": f"{n}|Volume" for n in nations}}
-    )
-    file = materialize(named, "wide-prices")  # the landed file
-    bars_back = landed.price_bars(file)
+    """Prices laid out as landed wide files, one for each year, and read back."""
+    p = panels.prices_nation(spark, sf).withColumn("year", F.year("trade_date"))
+    names = p.select("year", "symbol").distinct().groupBy("year").agg(F.array_sort(F.collect_set("symbol")).alias("names"))
+    entries = F.map_from_entries(F.collect_list(F.struct("symbol", F.struct("adjusted_close", "volume"))))
+    days = p.groupBy("year", "trade_date").agg(entries.alias("bars")).join(names, "year")
+
+    def cells(field):
+        return F.transform("names", lambda n: F.coalesce(F.try_element_at("bars", n)[field].cast("string"), F.lit("")))
+
+    def titles(field):
+        return F.transform("names", lambda n: F.concat(n, F.lit(f"|{field}")))
+
+    rows = days.select("year", F.concat_ws(",", F.col("trade_date").cast("string"), cells("adjusted_close"), cells("volume")).alias("value"))
+    heads = names.select("year", F.concat_ws(",", F.lit("Date"), titles("Adj Close"), titles("Volume")).alias("value"))
+    files = ScratchTable(spark, "wide-prices").path
+    heads.unionByName(rows).repartition("year").sortWithinPartitions("year", F.desc("value")).write.partitionBy("year").text(files)
+    bars_back = landed.price_bars(landed.wide_price_files(spark, files))
     return tidy(bars_back.select("symbol", "trade_date", F.log("adjusted_close").alias("log_close"), "volume"))
 
 

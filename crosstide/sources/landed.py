@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,24 +28,52 @@ PRICE_COLUMNS = {
 }
 
 
-def price_bars(wide: DataFrame, separator: str = "|", date: str = "Date") -> DataFrame:
-    """Long daily bars from one wide frame with two-level column names.
+def price_bars(lines: DataFrame, separator: str = "|", date: str = "Date") -> DataFrame:
+    """Long daily bars from the lines of landed wide files with two-level column names.
 
-    A column is 'Close|ABC' or 'ABC|Close'; the level that holds the price
-    names is found from the columns.  Currency, if landed, is 'Currency|ABC'.
+    ``lines`` has ``value``, a line of comma-separated cells, and optionally ``file``;
+    each file starts with its header, the one line whose first cell is ``date``.  A
+    column is 'Close|ABC' or 'ABC|Close'; the level that holds the price names is found
+    from each header.  Currency, if landed, is 'Currency|ABC'.
+
+    Cells are an array beside the array of names, so the plan is the same for any number
+    of symbols.  Headers are joined by file: one row for each file, of the width of a
+    line.  Cells beyond the header, empty cells and columns of other names are left out; a
+    line without a date gives bars without one, a file without a header none.  Where
+    two cells give the same field of a (symbol, day), the greater text stands.
     """
+    if "file" not in lines.columns:
+        lines = lines.withColumn("file", F.lit(""))
     wanted = {**PRICE_COLUMNS, "Currency": "currency"}
-    levels = {c: c.split(separator, 1) for c in wide.columns if separator in c}
-    fields_first = any(first in wanted for first, _ in levels.values())
-    cells = wide.select(
-        F.to_date(date).alias("trade_date"), *[F.col(f"`{c}`").cast("string").alias(c) for c in levels]
-    ).unpivot(["trade_date"], [F.col(f"`{c}`") for c in levels], "name", "value")
-    parts = F.split("name", f"[{separator}]", 2)
-    field, symbol = (parts[0], parts[1]) if fields_first else (parts[1], parts[0])
+    names = F.array(*[F.lit(name) for name in wanted])
+    cells = lines.select("file", F.split("value", ",", -1).alias("cells"))
+    is_header = F.trim(F.col("cells")[0]) == date
+    levels = F.transform("cells", lambda c: F.split(F.trim(c), f"[{separator}]", 2))
+    headers = cells.where(is_header).groupBy("file").agg(F.max("cells").alias("cells")).select(
+        "file", levels.alias("levels")
+    )
+    fields_first = F.exists("levels", lambda c: (F.size(c) == 2) & F.array_contains(names, c[0]))
+    columns = headers.select(
+        "file",
+        F.transform(
+            "levels",
+            lambda c: F.when(
+                F.size(c) == 2,
+                F.when(fields_first, F.struct(c[0].alias("field"), c[1].alias("symbol"))).otherwise(
+                    F.struct(c[1].alias("field"), c[0].alias("symbol"))
+                ),
+            ),
+        ).alias("columns"),
+    )
+    rows = cells.where(~is_header).join(columns, "file")
+    long = rows.select(
+        F.trim(F.col("cells")[0]).try_cast("date").alias("trade_date"),
+        F.inline(F.arrays_zip("columns", "cells")),
+    ).where("columns is not null and trim(cells) <> ''")
+    field = F.col("columns.field")
     bars = (
-        cells.where("value is not null")
-        .groupBy(symbol.alias("symbol"), "trade_date")
-        .agg(*[F.max(F.when(field == f, F.col("value"))).alias(stored) for f, stored in wanted.items()])
+        long.groupBy(F.col("columns.symbol").alias("symbol"), "trade_date")
+        .agg(*[F.max(F.when(field == f, F.trim("cells"))).alias(stored) for f, stored in wanted.items()])
     )
     prices = [c for c in PRICE_COLUMNS.values() if c != "volume"]
     return bars.where(F.coalesce(*prices).isNotNull()).select(
@@ -57,6 +85,11 @@ def price_bars(wide: DataFrame, separator: str = "|", date: str = "Date") -> Dat
     )
 
 
+def wide_price_files(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of landed wide files with the file each is from; a large file is read in byte ranges."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
 def missing_symbols(expected: DataFrame, returned: DataFrame, status: DataFrame) -> DataFrame:
     """Expected symbols without rows, split by a landed (symbol, active) status table."""
     reason = F.when(F.col("active").isNull() | ~F.col("active"), "delisted").otherwise("fetch_error")

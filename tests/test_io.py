@@ -94,3 +94,33 @@ def test_every_check_sql_has_its_query():
     from __spark_entry__ import oracle_sql, queries
 
     assert set(oracle_sql()) <= set(queries()) and len(queries()) >= 90
+
+
+WIDE = "file string, value string"
+
+
+def test_wide_price_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Close|AA,Close|B.B,Volume|AA,Currency|AA,Other|AA\n2024-01-02,1.5,,10,USD,9\n2024-01-03,x,2.25,11.0,,9,7,7\n")
+    (tmp_path / "b.csv").write_text("Date,CC|Adj Close,CC|Close\n2024-01-02,3,\n2024-01-04,,\n")
+    (tmp_path / "c.csv").write_text("2024-01-02,1\n")  # no header
+    got = landed.price_bars(landed.wide_price_files(spark, str(tmp_path))).collect()
+    found = {(r.symbol, str(r.trade_date)): (r.close_price, r.adjusted_close, r.volume, r.currency) for r in got}
+    assert found == {
+        ("AA", "2024-01-02"): (1.5, None, 10, "USD"),
+        ("AA", "2024-01-03"): (None, None, 11, None),
+        ("B.B", "2024-01-03"): (2.25, None, None, None),
+        ("CC", "2024-01-02"): (None, 3.0, None, None),
+    }
+    assert len(got) == 4
+    assert landed.price_bars(spark.createDataFrame([], WIDE)).count() == 0
+
+
+def test_wide_price_plan_does_not_grow_with_symbols(spark):
+    sizes = []
+    for n in (25, 5000):
+        head = ",".join(["Date"] + [f"Close|S{i}" for i in range(n)])
+        lines = [("f", head), ("f", ",".join(["2024-01-02"] + [str(i) for i in range(n)]))]
+        bars = landed.price_bars(spark.sparkContext.parallelize(lines, 2).toDF(WIDE))
+        sizes.append(bars._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        assert bars.agg(F.sum("close_price")).first()[0] == n * (n - 1) / 2
+    assert sizes[0] == sizes[1]
