@@ -105,6 +105,36 @@ def volatility_3m_12m(spark, sf):
     return tidy(out.select("symbol", "calc_date", "volatility_3m", "volatility_12m", "price_age_days"))
 
 
+# steps of 400, so that many days repeat the price of the day before
+COARSE = "coarse AS (SELECT symbol, trade_date, floor(adjusted_close / 400) * 400 + 1 AS price FROM prices)"
+
+
+@query(
+    "volatility_flags",
+    with_(
+        PRICES, CALENDAR, COARSE,
+        f"""win AS (
+  SELECT c.d AS calc_date, p.symbol, p.trade_date,
+         ln(p.price / lag(p.price) OVER (PARTITION BY c.d, p.symbol ORDER BY p.trade_date)) AS ret
+  FROM cal c JOIN coarse p ON p.trade_date <= c.d AND p.trade_date >= {bme_before_sql('c.d', 16)}),
+num AS (SELECT *, row_number() OVER (PARTITION BY calc_date, symbol ORDER BY ret IS NULL, trade_date DESC) AS rn FROM win),
+flags AS (
+  SELECT symbol, calc_date, CAST(calc_date - max(trade_date) AS INTEGER) AS price_age_days,
+    CASE WHEN count(ret) FILTER (rn <= 63) >= 50 THEN count(*) FILTER (rn <= 63 AND ret = 0) > 0.10 * count(ret) FILTER (rn <= 63) END AS volatility_3m_stale,
+    CASE WHEN count(ret) FILTER (rn <= 252) >= 70 THEN count(*) FILTER (rn <= 252 AND ret = 0) > 0.10 * count(ret) FILTER (rn <= 252) END AS volatility_12m_stale
+  FROM num GROUP BY 1, 2)""",
+        select="""SELECT symbol, calc_date, price_age_days, price_age_days > 5 AS price_old, volatility_3m_stale, volatility_12m_stale,
+  price_age_days <= 5 AND NOT coalesce(volatility_3m_stale, false) AND NOT coalesce(volatility_12m_stale, false) AS usable FROM flags""",
+    ),
+)
+def volatility_flags(spark, sf):
+    """Quality of each month end's volatility: age of the price, share of zero returns."""
+    p = panels.prices(spark, sf)
+    coarse = p.withColumn("adjusted_close", F.floor(F.col("adjusted_close") / 400) * 400 + F.lit(1.0))
+    windows = {"volatility_3m": (63, 50), "volatility_12m": (252, 70)}
+    return rolling.stale_flags(rolling.realised_volatility(coarse, panels.last_month_end(spark, sf), windows=windows))
+
+
 @query(
     "ewma_vol",
     with_(
