@@ -11,6 +11,7 @@ from crosstide.catalog.series import ASOF, MOMENTUM, SHORT_RATES
 from crosstide.functions.dates import rebalance_calendar
 from crosstide.operators import fundamentals, merging, timeline
 from crosstide.plans import panels, strategy
+from crosstide.session import materialize
 
 LATEST = """latest AS (
   SELECT s.symbol, s.d AS calc_date, f.* EXCLUDE (symbol)
@@ -121,9 +122,9 @@ vols AS (SELECT symbol, calc_date,
     ),
 )
 def nine_metric_panel(spark, sf):
-    prices = panels.prices(spark, sf)
+    prices = materialize(panels.prices(spark, sf), "prices")
     out = strategy.metric_panel(
-        prices, panels.fundamentals(spark, sf), panels.rates(spark, sf), rebalance_calendar(prices),
+        prices, materialize(panels.fundamentals(spark, sf), "filings"), panels.rates(spark, sf), rebalance_calendar(prices),
         panels.last_month_end(spark, sf), "NATION_3",
     )
     return tidy(out.withColumn("log_pb", F.log("pb_ratio")).drop("pb_ratio"))
