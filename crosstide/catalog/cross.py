@@ -166,8 +166,8 @@ wpairs AS (SELECT w.d, w.lb, s.month, factor_name, score, ret FROM wins w
 
 
 def ic_inputs(spark, sf):
-    prices = panels.prices(spark, sf)
-    return panels.month_scores(spark, sf), prices, rebalance_calendar(prices)
+    prices = materialize(panels.prices(spark, sf), "prices")
+    return materialize(panels.month_scores(spark, sf), "month-scores"), prices, rebalance_calendar(prices)
 
 
 @query(

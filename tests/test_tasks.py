@@ -1,9 +1,12 @@
 """The number of tasks follows the rows, not the bytes that adaptive execution merges by."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from crosstide import session
 from crosstide.functions.dates import rebalance_calendar
+from crosstide.operators import ranking
 from crosstide.plans import panels, strategy
 from crosstide.session import materialize
 
@@ -23,3 +26,13 @@ def test_bars_and_metrics_are_dealt_by_rows(spark, monkeypatch):
         prices, filings, panels.rates(spark, SF), rebalance_calendar(prices), panels.last_month_end(spark, SF), "NATION_3"
     )
     assert panel.rdd.getNumPartitions() == -(-prices.count() // 500)
+
+
+def test_rows_are_ranked_where_they_are(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0.0, -0.0, round(rng.random(), 2), rng.gauss(0, 1)]), float(i % 7)) for g in "ab" for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = ranking.row_ranks(df, ["g"], {"x": "rx", "y": "ry"}).toPandas()
+    assert len(got) == len(rows)
+    for value, rank in (("x", "rx"), ("y", "ry")):
+        assert (got[rank] == got.groupby("g")[value].rank()).all()
