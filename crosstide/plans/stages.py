@@ -54,23 +54,30 @@ class Stage:
     rules: str = ""
 
 
-def _month(column: str):
-    return F.date_format(F.col(column), "yyyy-MM")
-
-
 def _number(month: str) -> int:
     return int(month[:4]) * 12 + int(month[5:])
 
 
 def fingerprints(rows: DataFrame, date: str | None) -> dict[str | None, str]:
-    """Content by month: count and sums of two row hashes, so neither order nor layout matters."""
-    values = F.struct(*sorted(rows.columns))
-    of = rows.groupBy((_month(date) if date else F.lit(None).cast("string")).alias("month")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64(values, F.lit(1)).cast("decimal(38,0)")).alias("a"),
-        F.sum(F.xxhash64(values, F.lit(2)).cast("decimal(38,0)")).alias("b"),
-    )
-    return {r.month: f"{r.n}:{r.a}:{r.b}" for r in of.collect()}  # one row for each month
+    """Content by month: count and sums of two row hashes, so neither order nor layout matters.
+
+    The thirds of a hash are summed as whole numbers (exact below 2 ** 39 rows a month).
+    """
+    columns = sorted(rows.columns)
+    low = F.lit((1 << 24) - 1)
+    thirds = [
+        f.alias(f"{name}{k}")
+        for name, hashed in (("a", F.xxhash64(*columns, F.lit(1))), ("b", F.xxhash64(*columns, F.lit(2))))
+        for k, f in enumerate((F.shiftright(hashed, 48), F.shiftright(hashed, 24).bitwiseAND(low), hashed.bitwiseAND(low)))
+    ]
+    number = (F.year(date) * 12 + F.month(date) - 1) if date else F.lit(None).cast("int")
+    sums = [F.sum(x).alias(x) for x in ("a0", "a1", "a2", "b0", "b1", "b2")]
+    of = rows.select(number.alias("number"), *thirds).groupBy("number").agg(F.count(F.lit(1)).alias("n"), *sums)
+    found = of.collect()  # one row for each month
+    return {
+        None if r.number is None else f"{r.number // 12:04d}-{r.number % 12 + 1:02d}": ":".join(map(str, r[1:]))
+        for r in found
+    }
 
 
 def _fingerprint(stage: Stage, month: str, inputs: dict[str, dict[str | None, str]]) -> str:

@@ -102,3 +102,11 @@ def test_new_months_empty_inputs_and_nulls(spark, tmp_path):
     odd = spark.createDataFrame([(None, None, None, None), ("X", dt.date(2024, 1, 1), None, "s")] * 2, "symbol string, day date, rate double, source string")
     assert set(fingerprints(odd, "day")) == {None, "2024-01"}
     assert fingerprints(odd, "day") != fingerprints(odd.distinct(), "day")
+
+
+def test_fingerprints_sum_whole_numbers(spark):
+    """Thirds of two hashes as 64-bit sums; decimals of 38 digits took most of a fingerprint's time."""
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (1, dt.date(2024, 1, 5)), (2, None)], "v int, day date")
+    found = fingerprints(rows, "day")
+    assert {m: len(f.split(":")) for m, f in found.items()} == {None: 7, "2024-01": 7}
+    assert found["2024-01"].startswith("2:")
