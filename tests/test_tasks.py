@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from crosstide import session
 from crosstide.functions.dates import rebalance_calendar
 from crosstide.operators import ranking
+from crosstide.operators.timeline import latest_by
 from crosstide.plans import panels, strategy
 from crosstide.session import materialize
+from crosstide.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +38,12 @@ def test_rows_are_ranked_where_they_are(spark):
     assert len(got) == len(rows)
     for value, rank in (("x", "rx"), ("y", "ry")):
         assert (got[rank] == got.groupby("g")[value].rank()).all()
+
+
+def test_inserted_bars_stay_in_their_tasks(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    bars = tables.to_table(panels.prices(spark, SF), "price_data")
+    keys = list(tables.KEYS["price_data"])
+    unique = latest_by(bars, keys, [c for c in bars.columns if c not in keys])
+    assert unique.rdd.getNumPartitions() == -(-n // 500)
