@@ -221,6 +221,7 @@ def components(links: DataFrame) -> DataFrame:
     Every node points at its smallest neighbour and then at that one's label,
     with both ends of each link carried over to the labels until all agree.
     Labels only go down, so they have settled when their sum stays as it is.
+    No side of a join is sent through the driver, whatever its size.
     """
     links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -229,11 +230,11 @@ def components(links: DataFrame) -> DataFrame:
     before = labels.agg(total).first()[0]
     while True:
         # the label of the label, then the smallest label in the neighbourhood
-        hop = labels.join(labels.select(F.col("node").alias("component"), F.col("component").alias("far")), "component", "left").select(
+        hop = labels.join(dealt(labels.select(F.col("node").alias("component"), F.col("component").alias("far"))), "component", "left").select(
             "node", F.least("component", F.coalesce("far", "component")).alias("component")
         )
-        near = both.join(hop.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooks = hop.join(near, "node").select(F.col("component").alias("node"), F.col("near").alias("component")).where("component < node")
+        near = both.join(dealt(hop.select(F.col("node").alias("b"), "component")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hooks = hop.join(dealt(near), "node").select(F.col("component").alias("node"), F.col("near").alias("component")).where("component < node")
         following = hop.union(near).union(hooks).groupBy("node").agg(F.min("component").alias("component"))
         labels = materialize(following, "labels")
         after = labels.agg(total).first()[0]

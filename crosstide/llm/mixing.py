@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from crosstide.llm.common import materialize
 
-
 WORD = r"[^\x20\x09-\x0D]+"
 CELL = 256  # documents of an average cell
 GROUP = 4096  # cells of a group
@@ -71,19 +70,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), percent
 
 
 def inclusion(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows (.., source, size) with certain, rest, q and the inclusion probability ``p`` of one more copy (0 where no source needs one)."""
+    """Rows (.., source, size) with certain, rest, q and the inclusion probability ``p`` of one more copy (0 where no source needs one).
+
+    What is known of a source is stored, one row each, so that each pass over
+    the documents is a plan of its own and none holds the ones before.
+    """
     means = sized.groupBy("source").agg(F.floor(F.sum("size") / F.count(F.lit(1))).alias("mean_size"))
     targets = targets.withColumnRenamed("source", "target_source")
-    by_source = means.join(targets, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
+    by_source = means.join(materialize(targets, "targets"), F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
+    by_source = materialize(by_source, "sources")
     place = F.floor(F.lit(float(LEVELS)) * F.col("size") / (F.col("size") + F.col("mean_size")))
 
     def with_source(rows, sources):
         return rows.join(sources.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
-    placed = with_source(sized, by_source).withColumn("place", F.when(F.col("size") > 0, place).otherwise(F.lit(0)))
-    mean_place = placed.groupBy("source").agg(F.try_divide(F.sum(F.col("size") * F.col("place")), F.sum("size")).alias("mean_place"))
+    def placed(sources):
+        return with_source(sized, sources).withColumn("place", F.when(F.col("size") > 0, place).otherwise(F.lit(0)))
+
+    mean_place = placed(by_source).groupBy("source").agg(F.try_divide(F.sum(F.col("size") * F.col("place")), F.sum("size")).alias("mean_place"))
+    known = materialize(with_source(by_source, mean_place), "sources")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = with_source(placed, mean_place).withColumn("share", share).withColumn("certain", F.floor("share"))
+    out = placed(known).withColumn("share", share).withColumn("certain", F.floor("share"))
     out = out.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size")).withColumn("q", F.col("share") - F.col("certain"))
     lean = (F.col("place") - F.col("mean_place")) / float(2 * LEVELS)
     return out.withColumn("p", F.when(F.col("q") > 0, F.col("q") * (1 + (1 - F.col("q")) * lean)).otherwise(0.0)).drop("share", "place", "mean_place", "mean_size")
@@ -119,8 +126,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: in
     ranked = ranked.withColumn("odds", F.when(F.col("q") > 0, F.col("u") / (1 - F.col("u")) / own))
     spread = F.when(F.col("q") > 0, F.col("odds") * even / (1 + F.col("odds") * even)).otherwise(F.col("u"))
     ranked = ranked.withColumn("cell", F.least(F.floor(spread * cells), F.lit(cells - 1)))
-    before = words_before(ranked.groupBy("source", "cell").agg(F.sum("size").alias("words")))
-    before = before.withColumnsRenamed({"source": "cell_source", "cell": "cell_no"})
+    by_cell = materialize(ranked.groupBy("source", "cell").agg(F.sum("size").alias("words")), "cells")
+    before = materialize(words_before(by_cell).withColumnsRenamed({"source": "cell_source", "cell": "cell_no"}), "before")
     ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("cell") == F.col("cell_no")))
     inside = Window.partitionBy("source", "cell").orderBy("odds", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2

@@ -50,3 +50,21 @@ def test_repeated_rows_and_ids_with_two_texts(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 150").first().text
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, text("a")), (1, item + " " + text("b"))]], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.text for r in corpus_pipeline.decontamination(spark, docs, SF).collect()] == [text("a")]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_driver_plans_one_pass_at_a_time(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: seen.append(_plan(df)) or corpus_pipeline.materialize(df, name))
+    seen.append(_plan(mixing.mix_sources(docs)))
+    assert len(seen) > 4 and max(plan.count("Exchange") for plan in seen) <= 12
+
+    seen.clear()
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: seen.append(_plan(df)) or corpus_pipeline.materialize(df, name))
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long")
+    assert {tuple(r) for r in jaccard_join.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+    assert len(seen) > 2 and not any("BroadcastExchange" in plan for plan in seen)
