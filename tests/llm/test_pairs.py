@@ -151,3 +151,17 @@ def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(1).standard_normal((5, 64))
     assert np.allclose(np.linalg.norm(neighbours.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
     assert neighbours.matrix(pa.array([[1.0], [2.0, 3.0]]), 3).tolist() == [[1, 0, 0], [2, 3, 0]]
+
+
+def test_removal_leaves_no_shuffle_files_behind(spark):
+    def shuffled():
+        stored = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f"{stored.apply(i)}" for i in range(stored.size()) if stored.apply(i).getName().startswith("shuffle_")}
+
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdef ") for _ in range(900))
+    rows = [(i, shared[: 500 + 40 * i] + "".join(rng.choice("ghijk ") for _ in range(600))) for i in range(8)]
+    before = shuffled()
+    left = suffix_dedup.remove_repeats(docs(spark, rows))
+    assert not shuffled() - before
+    assert left.where("n_removed = 0").count() == 0
