@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.operators.timeline import latest_by
+from crosstide.session import in_tasks, tasks_for
 from crosstide.sources import commits
 from crosstide.sources.tables import KEYS, SCENARIO_TABLES, SCHEMAS, conformed, partition_column, read_table, stored_schema, to_table, with_partition
 
@@ -37,18 +38,19 @@ def write(df: DataFrame, location: str, name: str, if_exists: str = "append", ba
     return commits.append(rows, root, column, batch)
 
 
-def absent_rows(incoming: DataFrame, existing: DataFrame, keys) -> DataFrame:
+def absent_rows(incoming: DataFrame, existing: DataFrame, keys, tasks: int | None = None) -> DataFrame:
     """Incoming rows whose key is not stored yet, one per key.
 
     With an ``_arrival`` column the first arrival of a key is taken; without one
     the greatest row, so that the choice does not depend on the order of reading.
+    With ``tasks`` both sides are dealt by key to so many.
     """
     if ARRIVAL in incoming.columns:
         unique = latest_by(incoming.withColumn("_order", -F.col(ARRIVAL)), keys, ["_order"]).drop("_order", ARRIVAL)
     else:
         rest = [c for c in incoming.columns if c not in keys]
         unique = latest_by(incoming, keys, rest) if rest else incoming.distinct()
-    return unique.join(existing.select(*keys), list(keys), "left_anti")
+    return in_tasks(unique, tasks, *keys).join(in_tasks(existing.select(*keys), tasks, *keys), list(keys), "left_anti")
 
 
 def prepare_insert(df: DataFrame, location: str, name: str, batch: str | None = None) -> commits.Insert:
@@ -58,11 +60,14 @@ def prepare_insert(df: DataFrame, location: str, name: str, batch: str | None =
     """
     spark, column = df.sparkSession, partition_column(name)
     incoming = to_table(df, name, also=(ARRIVAL,))
-    values = None
+    values = tasks = None
     if column:  # as many values as the batch has months, years or scenarios
-        values = [r[0] for r in with_partition(incoming, name).select(F.col(column).cast("string")).distinct().collect()]
+        held = with_partition(incoming, name).groupBy(F.col(column).cast("string").alias("value")).count().collect()
+        values = [r[0] for r in held]
+        before = commits.rows_of(spark, f"{location}/{name}", stored_schema(name), values)
+        tasks = tasks_for(spark, max(sum(r[1] for r in held), before))
     return commits.prepare_insert(
-        lambda stored: with_partition(absent_rows(incoming, conformed(stored, name), KEYS[name]), name),
+        lambda stored: with_partition(absent_rows(incoming, conformed(stored, name), KEYS[name], tasks), name),
         values, spark, f"{location}/{name}", stored_schema(name), column, KEYS[name], batch,
     )
 

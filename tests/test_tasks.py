@@ -10,7 +10,7 @@ from crosstide.operators import ranking
 from crosstide.operators.timeline import latest_by
 from crosstide.plans import panels, strategy
 from crosstide.session import materialize
-from crosstide.sources import tables
+from crosstide.sources import commits, sinks, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,27 @@ def test_inserted_bars_stay_in_their_tasks(spark, monkeypatch):
     keys = list(tables.KEYS["price_data"])
     unique = latest_by(bars, keys, [c for c in bars.columns if c not in keys])
     assert unique.rdd.getNumPartitions() == -(-n // 500)
+
+
+def test_keys_of_two_writers_are_compared_in_tasks_by_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    written = []
+    plain = commits.write_aside
+    monkeypatch.setattr(commits, "write_aside", lambda df, *a: written.append(df.rdd.getNumPartitions()) or plain(df, *a))
+
+    def rates(first, last, rate):
+        days = spark.range(first, last).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("country"), F.lit("2024-01-31").cast("date").alias("rate_date"))
+        return days.select("*", F.lit(rate).alias("rate"), F.lit("s").alias("source"))
+
+    place = str(tmp_path)
+    one = sinks.prepare_insert(rates(0, 100, 1.0), place, "risk_free_rates")
+    two = sinks.prepare_insert(rates(40, 200, 2.0), place, "risk_free_rates")
+    assert commits.commit_insert(spark, one) == 100
+    assert commits.commit_insert(spark, two) == 100
+    assert sinks.insert_if_absent(rates(150, 230, 3.0), place, "risk_free_rates") == 30
+    stored = tables.read_table(spark, place, "risk_free_rates")
+    assert {r.rate: r["count"] for r in stored.groupBy("rate").count().collect()} == {1.0: 100, 2.0: 100, 3.0: 30}
+    # keys of both batches, the rest of the second, and the third against all that is stored
+    assert written[2] == 16
+    partitioned = tables.partition_column("risk_free_rates") is not None
+    assert not partitioned or written == [10, 16, 16, 20]
