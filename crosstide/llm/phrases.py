@@ -1,7 +1,9 @@
 """Phrase collocation mining: Misra-Gries summaries in hash partitions, then exact counts.
 
 Texts of one language are put together into chunks of some megabytes, with a
-piece break between two texts. A phrase is one to three words that follow each
+piece break between two texts. A chunk is stored as rows of some 100 kB that
+follow each other; Python workers put them together again, so that neither rows
+nor batches are large in Spark. A phrase is one to three words that follow each
 other within a piece; it has a 64-bit hash, whose upper bits name its hash
 partition.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,12 @@ from pyspark.sql import functions as F
 
 from crosstide.llm.common import dealt, discard, materialize, mix, running_sums, small_batches, span_hashes
 
-CHUNK = 4 << 20  # bytes of text in a chunk; one longer text is a chunk of its own
+CHUNK = 4 << 20  # bytes of text in the chunks of all languages together; one longer text ends them
 SEGMENT = 2 << 20  # bytes of a chunk that are taken apart at a time
-MASS = 1 << 25  # occurrences in a hash partition
+ROW = 192 << 10  # bytes of a chunk in a row; a longer stretch without a piece break is a row of its own
+SENT = 1 << 20  # bytes in a batch between Spark and Python
+MASS = 1 << 23  # occurrences in a hash partition
+WORDS = 1 << 19  # words of the chunks that a task counts
 BATCH = 1 << 15  # candidates of a language ranked together
 
 _SPLIT = np.zeros(256, bool)
@@ -47,24 +53,46 @@ _BETWEEN[[9, 32]] = True
 _BREAKS = re.compile(rb"[.,;:!?\n-\r]")
 _UPPER, _LOWERED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _BITS = 21  # of a word's number inside a segment
+_ENTRIES = pa.schema({"part": pa.int64(), "chunk": pa.int64(), "entries": pa.binary()})
+
+
+def stretches(text: bytes):
+    """A text in parts of about ROW bytes, cut where a piece ends."""
+    begin = 0
+    while begin < len(text):
+        found = _BREAKS.search(text, begin + ROW)
+        end = found.end() if found else len(text)
+        yield text[begin:end]
+        begin = end
 
 
 def _chunks(batches):
-    """Rows (lang, text) to chunks (chunk, lang, n_words, body) with A-Z lowered."""
+    """Rows (lang, text) to rows (chunk, lang, n_words, body) of chunks, with A-Z lowered."""
     lower = bytes.maketrans(_UPPER, _LOWERED)
     held: dict[str, list[bytes]] = {}
     size, number = 0, TaskContext.get().partitionId() << 32
 
+    def row(lang, parts):
+        body = b"\n".join(parts).translate(lower)
+        inside = ~_BETWEEN[np.frombuffer(body, np.uint8)]
+        n = int(np.count_nonzero(inside[1:] & ~inside[:-1]) + inside[:1].sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([lang]), pa.array([n], pa.int64()), pa.array([body], pa.binary())],
+            names=["chunk", "lang", "n_words", "body"],
+        )
+
     def flush():
         nonlocal number
         for lang, texts in held.items():
-            body = b"\n".join(texts).translate(lower)
-            inside = ~_BETWEEN[np.frombuffer(body, np.uint8)]
-            n = int(np.count_nonzero(inside[1:] & ~inside[:-1]) + inside[:1].sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([lang]), pa.array([n], pa.int64()), pa.array([body], pa.binary())],
-                names=["chunk", "lang", "n_words", "body"],
-            )
+            parts, filled = [], 0
+            for part in (p for text in texts for p in stretches(text)):
+                if parts and filled + len(part) > ROW:
+                    yield row(lang, parts)
+                    parts, filled = [], 0
+                parts.append(part)
+                filled += len(part)
+            if parts:
+                yield row(lang, parts)
             number += 1
 
     for batch in batches:
@@ -79,14 +107,36 @@ def _chunks(batches):
     yield from flush()
 
 
-def segments(body: bytes):
-    """The chunk in parts of about SEGMENT bytes, cut where a piece ends."""
-    begin = 0
-    while begin < len(body):
-        found = _BREAKS.search(body, begin + SEGMENT)
-        end = found.end() if found else len(body)
-        yield body[begin:end]
-        begin = end
+def segments(batches):
+    """Rows (chunk, lang, body) to (chunk, lang, about SEGMENT bytes of the chunk); rows without lang stay single."""
+    own, held, size = None, [], 0
+    for batch in batches:
+        for chunk, lang, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held and (lang is None or own != (chunk, lang) or size >= SEGMENT):
+                yield *own, b"\n".join(held)
+                held, size = [], 0
+            own = chunk, lang
+            held.append(body.as_buffer().to_pybytes())
+            size += len(held[-1])
+    if held:
+        yield *own, b"\n".join(held)
+
+
+def _sent(rows, schema: pa.Schema):
+    """Rows that end with bytes, in batches of about SENT bytes."""
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= SENT:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 class Segment:
@@ -134,10 +184,10 @@ class Segment:
         return parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
 
 
-def hash_counts(body: bytes, lang: str, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the phrases of a chunk and their counts."""
+def hash_counts(parts, lang: str, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the phrases of a chunk, given in parts, and their counts."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for part in segments(body):
+    for part in parts:
         segment = Segment(part, lang, longest)
         hashes += segment.hashes
         counts += segment.counts
@@ -181,18 +231,15 @@ def _hashed(parts: int, longest: int, counted: bool):
     With counts, a row with chunk -1 brings the mass of the chunk in the partition.
     """
 
-    def run(batches):
-        for batch in batches:
-            for chunk, lang, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                hashes, counts = hash_counts(body.as_buffer().to_pybytes(), lang, longest)
-                cuts = _cut(hashes, parts)
-                rows = [(p, chunk, packed(hashes[a:b], counts[a:b] if counted else None)) for p, a, b in cuts]
+    def rows(batches):
+        for (chunk, lang), own in groupby(segments(batches), lambda row: row[:2]):
+            hashes, counts = hash_counts((body for _, _, body in own), lang, longest)
+            for p, a, b in _cut(hashes, parts):
+                yield p, chunk, packed(hashes[a:b], counts[a:b] if counted else None)
                 if counted:
-                    rows += [(p, -1, int(counts[a:b].sum()).to_bytes(8, "little")) for p, a, b in cuts]
-                columns = [pa.array([row[k] for row in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "entries"])
+                    yield p, -1, int(counts[a:b].sum()).to_bytes(8, "little")
 
-    return run
+    return lambda batches: _sent(rows(batches), _ENTRIES)
 
 
 class Summary:
@@ -281,32 +328,30 @@ def _counted(longest: int):
 
     def run(batches):
         current, kept = None, []
-        for batch in batches:
-            for chunk, lang, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if chunk != current:
-                    current, kept = chunk, []
-                if lang is None:
-                    kept.append(unpacked(body.as_buffer().to_pybytes(), counted=False)[0])
-                    continue
-                wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *kept]))
-                if not len(wanted):
-                    continue
-                for part in segments(body.as_buffer().to_pybytes()):
-                    segment = Segment(part, lang, longest)
-                    for size in range(1, longest + 1):
-                        hashes = segment.hashes[size - 1]
-                        keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes)
-                        for at in range(0, len(keep), 50_000):
-                            some = keep[at : at + 50_000]
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array([lang] * len(some), pa.string()),
-                                    pa.array(np.full(len(some), size, np.int32)),
-                                    segment.phrases(size, some).cast(pa.string()),
-                                    pa.array(segment.counts[size - 1][some]),
-                                ],
-                                names=["lang", "size", "phrase", "times"],
-                            )
+        for chunk, lang, body in segments(batches):
+            if chunk != current:
+                current, kept = chunk, []
+            if lang is None:
+                kept.append(unpacked(body, counted=False)[0])
+                continue
+            wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *kept]))
+            if not len(wanted):
+                continue
+            segment = Segment(body, lang, longest)
+            for size in range(1, longest + 1):
+                hashes = segment.hashes[size - 1]
+                keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes)
+                for at in range(0, len(keep), 20_000):
+                    some = keep[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang] * len(some), pa.string()),
+                            pa.array(np.full(len(some), size, np.int32)),
+                            segment.phrases(size, some).cast(pa.string()),
+                            pa.array(segment.counts[size - 1][some]),
+                        ],
+                        names=["lang", "size", "phrase", "times"],
+                    )
 
     return run
 
@@ -314,7 +359,7 @@ def _counted(longest: int):
 def frequent_phrases(chunks: DataFrame, threshold: int, longest: int = 3) -> DataFrame:
     """(lang, size, phrase, f) of every phrase with f >= threshold, f being exact."""
     words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    parts = max(64, longest * words // MASS)
+    parts = max(192, longest * words // MASS)
     bodies, hashed = chunks.select("chunk", "lang", "body"), "part long, chunk long, entries binary"
     own = bodies.mapInArrow(_hashed(parts, longest, True), hashed)
     survivors = own.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_summarise(threshold), hashed)
@@ -324,7 +369,7 @@ def frequent_phrases(chunks: DataFrame, threshold: int, longest: int = 3) -> Dat
     own = bodies.mapInArrow(_hashed(parts, longest, False), hashed).unionByName(survivors)
     marked = own.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_surviving, "chunk long, lang string, body binary")
     marked = materialize(marked, "marked")
-    tasks = max(64, chunks.count() // 2)
+    tasks = max(64, words // WORDS)
     both = marked.unionByName(bodies).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("lang").asc_nulls_first())
     counts = both.mapInArrow(_counted(longest), "lang string, size int, phrase string, times long")
     exact = counts.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("f")).where(F.col("f") >= threshold)
@@ -376,7 +421,7 @@ def mine_phrases(docs: DataFrame, threshold: int = 10, percent: int = 50, most:
     or one without a phrase that occurs ``threshold`` times, gives no rows. Other
     columns than lang and text are not read.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=SENT)
     texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
     chunks = materialize(texts.mapInArrow(_chunks, "chunk long, lang string, n_words long, body binary"), "chunks")
     total = chunks.groupBy("lang").agg(F.sum("n_words").alias("n"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crosstide.llm import phrases
@@ -96,3 +97,18 @@ def test_rounds_of_ranking(spark, monkeypatch):
     for lang in "ab":
         plain_first = sorted((-r.score, r.phrase) for r in rows.collect() if r.lang == lang)[:5]
         assert sorted((r.rank, -r.score, r.phrase) for r in got if r.lang == lang) == [(k, *x) for k, x in enumerate(plain_first, 1)]
+
+
+def test_rows_and_batches_stay_small(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice(["red fox ", "été ", "ran, ", "of.\n"]) + str(rng.randrange(5000)) for _ in range(200_000))
+    rows = [("en", long), ("en", "a b. " * 30_000), ("fr", "only once")]
+    chunks = docs(spark, rows).coalesce(1).select("lang", "text").mapInArrow(phrases._chunks, "chunk long, lang string, n_words long, body binary").collect()
+    assert max(len(r.body) for r in chunks) <= 250_000 < len(long)
+    words = lambda text: len(re.findall(rb"[^ \t.,;:!?\n-\r]+", text))
+    assert sum(r.n_words for r in chunks) == sum(words(t.encode()) for _, t in rows) == sum(words(r.body) for r in chunks)
+    own = [pa.RecordBatch.from_pylist([{"chunk": r.chunk, "lang": r.lang, "body": r.body}]) for r in chunks]
+    hashed = list(phrases._hashed(64, 3, True)(own))
+    assert len(hashed) > 1 and max(b.nbytes for b in hashed) < 2_000_000
+    entries = [(r["chunk"], r["part"]) for b in hashed for r in b.to_pylist() if r["chunk"] >= 0]
+    assert len(entries) == len(set(entries))
