@@ -35,7 +35,9 @@ LEAST = 5  # labelled documents that hold a feature
 PENALTY = 0.0005
 PREDICT_FROM = 0.7
 _SLOTS = 18  # bits of the table that sorts out most n-grams before the exact look-up
-_KEPT = 1 << 21  # counted n-grams that a task keeps before it folds them
+_KEPT = 1 << 20  # counted n-grams that a task keeps before it folds them
+_TEXT = 256 << 10  # bytes of text worked on at a time; one longer text is worked on alone
+_ONE = 1 << 32  # what a text of label 1 adds to a count; one of label 0 adds 1
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -51,33 +53,46 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield span_hashes(sums, bounds[whole], bounds[whole + n]), text[whole]
 
 
-def _fold(keys: list, ones: list, zeros: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(at, np.concatenate(ones), len(found)).astype(np.int64), np.bincount(at, np.concatenate(zeros), len(found)).astype(np.int64)
+def _fold(kept: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their counts from lists of both."""
+    grams, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
+    kept.clear()
+    order = np.argsort(grams)
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.concatenate([np.ones(len(grams[:1]), bool), grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _count(batches):
-    """Rows (label, text) to (gram, ones, zeros): documents of the task that hold the n-gram."""
-    kept = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    size = 0
+    """Rows (label, text) to (gram, ones, zeros): documents that hold the n-gram.
+
+    A task sends what it has counted when it holds many n-grams, so one n-gram may come more than once.
+    """
+    kept, size = [], 0
+
+    def rows():
+        grams, counts = _fold(kept)
+        for cut in range(0, len(grams), 50_000):
+            part = slice(cut, cut + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(grams[part])), pa.array(counts[part] // _ONE), pa.array(counts[part] % _ONE)], names=["gram", "ones", "zeros"])
+
     for batch in batches:
         labels = batch.column(0).to_numpy(zero_copy_only=False)
-        for at, data, offsets in pieces(*flat(batch.column(1))):
-            by_order = [(h, np.searchsorted(t, np.arange(len(offsets)))) for h, t in ngrams(data, offsets)]
-            for i in range(len(offsets) - 1):
-                for hashes, cuts in by_order:
-                    own = np.unique(hashes[cuts[i] : cuts[i + 1]])
-                    one = np.full(len(own), labels[at + i] == 1, np.int64)
-                    for store, values in zip(kept, (own, one, 1 - one), strict=True):
-                        store.append(values)
-                    size += len(own)
-                if size > _KEPT:
-                    kept = tuple([x] for x in _fold(*kept))
-                    size = len(kept[0][0]) // 2
-    grams, ones, zeros = _fold(*kept)
-    for cut in range(0, len(grams), 50_000):
-        part = slice(cut, cut + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(grams[part])), pa.array(ones[part]), pa.array(zeros[part])], names=["gram", "ones", "zeros"])
+        for at, data, offsets in pieces(*flat(batch.column(1)), _TEXT):
+            for hashes, text in ngrams(data, offsets):
+                cuts = np.searchsorted(text, np.arange(len(offsets)))
+                own = [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                ones = np.repeat(labels[at : at + len(own)] == 1, [len(o) for o in own])
+                kept.append((np.concatenate(own), np.where(ones, _ONE, 1)))
+                size += len(ones)
+            if size > _KEPT:
+                kept.append(_fold(kept))
+                size = len(kept[0][0])
+            if size > _KEPT // 2 and len(kept) == 1:
+                yield from rows()
+                size = 0
+    if kept:
+        yield from rows()
 
 
 class Lookup:
@@ -107,17 +122,16 @@ def _describe(grams: np.ndarray, ratios: np.ndarray):
     def run(batches):
         lookup = Lookup(grams)
         for batch in batches:
-            places, values = [], []
-            for _, data, offsets in pieces(*flat(batch.column(2))):
+            for at, data, offsets in pieces(*flat(batch.column(2)), _TEXT):
                 text, feature = lookup.present(data, offsets)
                 feature = feature[order := np.lexsort((feature, text))].astype(np.int32)
                 cuts = np.searchsorted(text[order], np.arange(len(offsets)))
-                places += [feature[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-                values += [ratios[feature[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
-                names=["label", "share", "places", "values"],
-            )
+                places = [feature[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                values = [ratios[feature[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).slice(at, len(places)) for k in (0, 1)), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
+                    names=["label", "share", "places", "values"],
+                )
 
     return run
 
@@ -127,7 +141,7 @@ def _score(grams: np.ndarray, weights: np.ndarray, bias: float):
         lookup = Lookup(grams) if len(grams) else None
         for batch in batches:
             sums = np.full(len(batch), bias)
-            for at, data, offsets in pieces(*flat(batch.column(2))) if lookup else ():
+            for at, data, offsets in pieces(*flat(batch.column(2)), _TEXT) if lookup else ():
                 text, feature = lookup.present(data, offsets)
                 sums[at : at + len(offsets) - 1] += np.bincount(text, weights[feature], len(offsets) - 1)
             score = 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
@@ -192,7 +206,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
     n-gram and get the score of the bias. A table without usable labels gives
     one score to all, an empty one no rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=1 << 20)
     folded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 3, 1).alias("held_out"), F.lower("text").alias("text"))
     taught = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("label_id", 3, 1))
     taught = materialize(taught.where("label_id is not null"), "taught")

@@ -87,3 +87,25 @@ def test_no_usable_labels_and_empty_tables(spark):
         assert len(got) == 2 and len({r.score for r in got}) == 1
     assert toxicity.score_toxicity(table.limit(0), labels(spark, [(1, 1)])).collect() == []
     assert toxicity.score_toxicity(table, labels(spark, [(1, 1), (2, 0)]), sample=1).count() == 2
+
+
+def test_tasks_hold_few_counts_and_send_small_batches(monkeypatch):
+    monkeypatch.setattr(toxicity, "_KEPT", 2000)
+    monkeypatch.setattr(toxicity, "_TEXT", 1000, raising=False)
+    rng = random.Random(7)
+    rows = [(i % 2, "".join(rng.choice("abcdefghijklmnopé ") for _ in range(rng.randint(0, 300)))) for i in range(400)]
+    ones, zeros = Counter(), Counter()
+    for one, text in rows:
+        (ones if one else zeros).update(plain_ngrams(text))
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([t for _, t in own])], names=["label", "text"]) for own in (rows[i : i + 20] for i in range(0, 400, 20))]
+    taken, counted, early = [], Counter(), 0
+    for got in toxicity._count(taken.append(b) or b for b in batches):
+        early += len(taken) < 10
+        for r in got.to_pylist():
+            counted[r["gram"]] += (r["ones"] << 32) + r["zeros"]
+    assert early > 2  # counts leave the task long before its last text
+    assert sorted(counted.values()) == sorted((ones[g] << 32) + zeros[g] for g in set(ones) | set(zeros))
+    grams = np.array(list(counted), np.int64).view(np.uint64)[:3000]
+    described = list(toxicity._describe(grams, np.ones(len(grams)))(pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1)], names=["label", "share", "text"]) for b in batches))
+    assert [k for b in described for k in b.column(0).to_pylist()] == [k for k, _ in rows]
+    assert len(described) > len(batches) and max(b.num_rows for b in described) < 20
