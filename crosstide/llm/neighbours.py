@@ -46,7 +46,7 @@ def rotate(vectors: np.ndarray, table: int) -> np.ndarray:
         out = out * s
         step = 1
         while step < size:
-            out = out.reshape(n, -1, 2, step)
+            out = out.reshape(n, size // (2 * step), 2, step)  # also without rows
             out = np.concatenate([out[:, :, :1] + out[:, :, 1:], out[:, :, :1] - out[:, :, 1:]], 2).reshape(n, size)
             step *= 2
         out = out / math.sqrt(size)

@@ -147,6 +147,18 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("vec_id >= 1000"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_neighbours_of_batches_without_queries(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neighbours, "small_batches", lambda spark, rows: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3"))
+    values = np.random.default_rng(5).standard_normal((61, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect()
+    best = {q: [int(i) for i in np.argsort(-(values @ values[q]), kind="stable") if i != q][:5] for q in (0, 20, 40, 60)}
+    assert [(r.query_id, r.vec_id) for r in got] == [(q, i) for q, found in best.items() for i in found]
+    assert neighbours.rotate(np.zeros((0, 64)), 3).shape == (0, 64)
+
+
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(1).standard_normal((5, 64))
     assert np.allclose(np.linalg.norm(neighbours.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
