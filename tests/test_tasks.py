@@ -9,6 +9,7 @@ from crosstide.functions.dates import rebalance_calendar
 from crosstide.operators import ranking
 from crosstide.operators.timeline import latest_by
 from crosstide.plans import panels, strategy
+from crosstide.plans.scenarios import Rules
 from crosstide.session import materialize
 from crosstide.sources import commits, sinks, tables
 
@@ -71,3 +72,23 @@ def test_keys_of_two_writers_are_compared_in_tasks_by_rows(spark, monkeypatch, t
     assert written[2] == 16
     partitioned = tables.partition_column("risk_free_rates") is not None
     assert not partitioned or written == [10, 16, 16, 20]
+
+
+def test_a_stage_of_the_run_leaves_its_table_only(spark):
+    def shuffled():
+        stored = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f"{stored.apply(i)}" for i in range(stored.size()) if stored.apply(i).getName().startswith("shuffle_")}
+
+    prices = materialize(panels.prices(spark, SF), "prices")
+    scores = materialize(panels.month_scores(spark, SF), "scores")
+    panel = materialize(panels.month_panel(spark, SF), "panel")
+    calendar = rebalance_calendar(prices)
+    before, written = shuffled(), len(session._written)
+    weights, composite = strategy.ic_and_composite(scores, prices, calendar, [Rules()], 3)
+    assert not shuffled() - before and len(session._written) == written + 1
+    assert weights.count() and composite.count()
+    session.let_go(spark)
+    before = shuffled()
+    zscores, factors = strategy.score_panel(panel)
+    assert not shuffled() - before and len(session._written) == written + 2
+    assert zscores.count() == factors.count() == panel.count()
