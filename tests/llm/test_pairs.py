@@ -159,6 +159,43 @@ def test_neighbours_of_batches_without_queries(spark, monkeypatch):
     assert neighbours.rotate(np.zeros((0, 64)), 3).shape == (0, 64)
 
 
+def test_neighbours_move_vectors_once(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    def shuffled():
+        stored = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f"{stored.apply(i)}" for i in range(stored.size()) if stored.apply(i).getName().startswith("shuffle_")}
+
+    values = np.random.default_rng(6).standard_normal((4000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<float>")
+    before = shuffled()
+    found = neighbours.search(table, F.col("vec_id") % 20 == 0)
+    assert found.count() == 200 * 20
+    assert sum(os.path.getsize(f) for f in shuffled() - before) < 5 * values.nbytes
+
+
+def test_nearest_of_blocks_equals_plain_products(monkeypatch):
+    rng = np.random.default_rng(7)
+    values = rng.standard_normal((1500, 16)) * rng.uniform(1e-3, 50, (1500, 1))
+    values[200:700], values[700:900] = values[200], values[201] * 1.0000001
+    ids = rng.permutation(5000)[:1500].astype(np.int64)
+    asked, everywhere = np.arange(0, 1500, 7), np.full((1500, neighbours.TABLES * 2 * neighbours.AXES // 8), 255, np.uint8)
+    cells = rng.integers(0, 2 * neighbours.AXES, (1500, neighbours.TABLES)).astype(np.uint8)
+    cells[:, 3:] = 5
+    monkeypatch.setattr(neighbours, "AT_ONCE", 50)
+    monkeypatch.setattr(neighbours, "PRODUCTS", 900)
+    monkeypatch.setattr(neighbours, "CHOSEN", 700)
+    for kind in ("f8", "f4"):
+        v = values.astype(kind)
+        q, found, score = neighbours.nearest(v[asked], ids[asked], everywhere[asked], v, ids, cells, 9)
+        for a in asked:
+            products = (v.astype(float) * v[a].astype(float)).sum(1)
+            best = [i for i in np.lexsort((ids, -products)) if i != a][:9]
+            assert found[q == ids[a]].tolist() == ids[best].tolist() and score[q == ids[a]].tolist() == products[best].tolist()
+
+
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(1).standard_normal((5, 64))
     assert np.allclose(np.linalg.norm(neighbours.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
